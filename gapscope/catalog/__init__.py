@@ -5,7 +5,7 @@ import importlib
 
 from .core import REGISTRY, Entry
 
-MODULES = ("history",)
+MODULES = ("history", "market")
 
 
 def load_registry() -> dict[str, Entry]:

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 TICKS = """ticks AS (
-  SELECT event_id, epoch_ms(ts) AS ts, 'I' || (user_id % 8) AS ticker,
+  SELECT event_id, epoch_us(ts) // 1000 AS ts, 'I' || (user_id % 8) AS ticker,
          CASE event_type WHEN 'purchase' THEN 'token' WHEN 'view' THEN 'perp' WHEN 'signup' THEN 'listed'
                          WHEN 'click' THEN 'equity' ELSE 'other' END AS leg,
          100 + (value - 50) / 50 AS price, value,
@@ -24,6 +24,59 @@ LEGS = QUOTES + """, ranked AS (
          CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE last END AS mid
   FROM ranked WHERE rn = 1)"""
 
+PEG = LEGS + """, cells AS (
+  SELECT snap_ts, ticker, max(CASE WHEN leg = 'token' THEN symbol END) AS token_symbol,
+         max(CASE WHEN leg = 'token' THEN mid END) AS token_mid, max(CASE WHEN leg = 'token' THEN k % 3 END) AS token_levels,
+         max(CASE WHEN leg = 'perp' THEN mid END) AS perp_mid, max(CASE WHEN leg = 'listed' THEN mid END) AS listed_mid,
+         max(CASE WHEN leg = 'equity' THEN last END) AS equity_price,
+         max(CASE WHEN leg = 'equity' THEN CASE k % 4 WHEN 0 THEN 'REGULAR' WHEN 1 THEN 'POST' WHEN 2 THEN 'CLOSED' ELSE 'PRE' END END) AS market_state,
+         ticker IN ('I0', 'I1', 'I2', 'I3') AS triple_listed
+  FROM legs GROUP BY snap_ts, ticker), gaps AS (
+  SELECT *, listed_mid AS listed_adj, (token_mid - perp_mid) / perp_mid * 100 AS premium_pct,
+         (token_mid - equity_price) / equity_price * 100 AS true_gap_pct,
+         greatest(abs((token_mid - perp_mid) / perp_mid * 100), abs((listed_mid - perp_mid) / perp_mid * 100),
+                  abs((token_mid - listed_mid) / listed_mid * 100)) AS worst FROM cells), peg AS (
+  SELECT snap_ts, ticker, token_symbol, token_mid, token_levels, perp_mid, listed_mid, equity_price, market_state, triple_listed,
+         listed_adj, premium_pct,
+         CASE WHEN abs(premium_pct) > 2 THEN 'DISLOCATED' WHEN abs(premium_pct) >= 0.5 THEN 'STRETCHED' WHEN premium_pct IS NOT NULL THEN 'NORMAL' END AS state,
+         coalesce(abs(premium_pct) > 0.32, false) AS tradeable, true_gap_pct,
+         CASE WHEN abs(true_gap_pct) > 2 THEN 'DISLOCATED' WHEN abs(true_gap_pct) >= 0.5 THEN 'STRETCHED' WHEN true_gap_pct IS NOT NULL THEN 'NORMAL' END AS true_state,
+         CASE WHEN triple_listed THEN worst END AS max_disagreement_pct,
+         coalesce(CASE WHEN triple_listed THEN worst > 1 END, false) AS flagged FROM gaps)"""
+
+CAUSE = """caused AS (
+  SELECT *, CASE WHEN true_gap_pct IS NULL THEN 'UNKNOWN' WHEN abs(true_gap_pct) < 0.5 THEN 'NONE'
+                 WHEN coalesce(token_levels, 0) <= 0 AND token_mid IS NULL THEN 'LIQUIDITY_TRAP'
+                 WHEN fresh THEN CASE WHEN earnings THEN 'EARNINGS' ELSE 'NEWS' END WHEN macro_active THEN 'MACRO' WHEN flagged THEN 'ISSUER'
+                 WHEN abs(premium_pct) < 0.5 THEN 'PERP_ILLUSION' ELSE 'NOISE' END AS cause FROM context), classified AS (
+  SELECT *, CASE WHEN cause IN ('UNKNOWN', 'NEWS', 'EARNINGS', 'MACRO') THEN 'ABSTAIN' WHEN cause = 'NONE' THEN 'NONE'
+                 WHEN cause IN ('LIQUIDITY_TRAP', 'ISSUER') THEN 'AVOID' ELSE 'FADE' END AS action,
+         CASE cause WHEN 'UNKNOWN' THEN 0.3::DOUBLE WHEN 'NONE' THEN 0.2::DOUBLE WHEN 'LIQUIDITY_TRAP' THEN 0.7::DOUBLE WHEN 'NEWS' THEN 0.8::DOUBLE
+                    WHEN 'EARNINGS' THEN 0.8::DOUBLE WHEN 'MACRO' THEN 0.75::DOUBLE WHEN 'ISSUER' THEN 0.6::DOUBLE
+                    WHEN 'PERP_ILLUSION' THEN least(0.7::DOUBLE, 0.4 + abs(true_gap_pct) * 0.1)
+                    ELSE least(0.65::DOUBLE, 0.35 + abs(true_gap_pct) * 0.1) END AS confidence FROM caused)"""
+
+NO_EVENTS = "context AS (SELECT *, false AS fresh, false AS earnings, false AS macro_active FROM peg)"
+
+CERT = """scored AS (
+  SELECT *, CASE cause WHEN 'NONE' THEN 'FAIR' WHEN 'NOISE' THEN 'MISPRICED' WHEN 'PERP_ILLUSION' THEN 'MISPRICED' WHEN 'NEWS' THEN 'NEWS-DRIVEN'
+                       WHEN 'EARNINGS' THEN 'NEWS-DRIVEN' WHEN 'MACRO' THEN 'MACRO-RISK' WHEN 'ISSUER' THEN 'ISSUER-RISK'
+                       WHEN 'LIQUIDITY_TRAP' THEN 'LIQUIDITY-TRAP' ELSE 'STALE' END AS label,
+         least(100, greatest(0, floor(0.25 * (CASE grade WHEN 'A' THEN 100.0 WHEN 'B' THEN 80.0 WHEN 'C' THEN 60.0 WHEN 'D' THEN 35.0 ELSE 50.0 END)
+           + 0.2 * (CASE WHEN coalesce(token_levels, 0) > 0 THEN 100.0 WHEN token_mid IS NOT NULL THEN 60.0 ELSE 15.0 END)
+           + 0.15 * (CASE WHEN market_state = 'REGULAR' THEN 100.0 WHEN equity_price IS NOT NULL THEN 70.0 ELSE 25.0 END)
+           + 0.25 * (CASE WHEN fresh THEN 40.0 WHEN macro_active THEN 50.0 ELSE 100.0 END)
+           + 0.15 * (CASE action WHEN 'FADE' THEN 100.0 WHEN 'NONE' THEN 90.0 WHEN 'ABSTAIN' THEN 60.0 WHEN 'AVOID' THEN 40.0 ELSE 50.0 END) + 0.5)))::BIGINT AS safety_score
+  FROM graded), policed AS (
+  SELECT *, CASE WHEN label = 'MISPRICED' THEN CASE WHEN coalesce(true_gap_pct, 0) < 0 THEN 'LONG-ONLY FADE' ELSE 'WATCH' END
+                 WHEN label = 'FAIR' THEN 'NORMAL' WHEN label IN ('NEWS-DRIVEN', 'MACRO-RISK', 'STALE') THEN 'ABSTAIN'
+                 WHEN label = 'ISSUER-RISK' THEN 'AVOID' ELSE 'BLOCK' END AS policy FROM scored), certs AS (
+  SELECT *, equity_price IS NULL AS anchor_stale, CASE WHEN equity_price IS NULL THEN 'STALE' ELSE label END AS classification,
+         CASE WHEN equity_price IS NULL THEN 'ABSTAIN' ELSE policy END AS allowed_policy,
+         CASE WHEN equity_price IS NULL OR policy IN ('BLOCK', 'AVOID', 'ABSTAIN', 'WATCH') THEN 0
+              ELSE greatest(0, floor((safety_score - 60) / 40 * 100 + 0.5)) END::BIGINT AS max_size_usd,
+         snap_ts AS issued_at, snap_ts + 3600000 * 4 AS expires_at FROM policed)"""
+
 BARS = """bars AS (
   SELECT 'D' || (l_suppkey % 25) AS instrument,
          CASE l_returnflag WHEN 'A' THEN 'token' WHEN 'N' THEN 'perp' ELSE 'equity' END AS leg,

@@ -155,8 +155,8 @@ def asof_join(
     """
     rank_left, rank_right = (0, 1) if forward else (1, 0)
     packed = F.struct(F.col(right_time).alias("matched_time"), *[F.col(v) for v in values])
-    ties = [F.col(t).cast("string").alias(f"__tie{i}") for i, t in enumerate(tie)]
-    no_ties = [F.lit(None).cast("string").alias(f"__tie{i}") for i in range(len(tie))]
+    ties = [F.col(t).alias(f"__tie{i}") for i, t in enumerate(tie)]
+    no_ties = [F.lit(None).cast(right.schema[t].dataType).alias(f"__tie{i}") for i, t in enumerate(tie)]
     r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(rank_right).alias("__side"), *ties,
                      packed.alias("__right"))
     l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(rank_left).alias("__side"), *no_ties,

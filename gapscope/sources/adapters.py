@@ -69,6 +69,31 @@ def legs(spark: SparkSession, sf_dir: str, bucket_ms: int = SNAPSHOT_MS) -> Data
             .select("snap_ts", "ticker", "leg", "q.*").withColumn("mid", P.mid(F.col("bid"), F.col("ask"), F.col("last"))))
 
 
+TRIPLE_LISTED = ("I0", "I1", "I2", "I3")
+
+
+def assembled(spark: SparkSession, sf_dir: str, bucket_ms: int = SNAPSHOT_MS) -> DataFrame:
+    """Snapshot rows with all legs, from one aggregation: the latest quote of each leg per cell."""
+    q = quotes(spark, sf_dir)
+    at = F.struct("ts", "event_id")
+    rec = F.struct("symbol", "bid", "ask", "last", "k", "ts")
+    pick = lambda leg: F.max_by(rec, F.when(F.col("leg") == leg, at)).alias(leg)
+    cells = q.groupBy(((F.floor(F.col("ts") / bucket_ms) + 1) * bucket_ms).alias("snap_ts"), "ticker").agg(
+        pick("token"), pick("perp"), pick("listed"), pick("equity"))
+    mid = lambda leg: P.mid(F.col(f"{leg}.bid"), F.col(f"{leg}.ask"), F.col(f"{leg}.last")).alias(f"{leg}_mid")
+    k = F.col("equity.k") % 4
+    state = F.when(k == 0, "REGULAR").when(k == 1, "POST").when(k == 2, "CLOSED").when(k == 3, "PRE")
+    return cells.select(
+        "snap_ts", "ticker", F.col("token.symbol").alias("token_symbol"), mid("token"), (F.col("token.k") % 3).alias("token_levels"),
+        mid("perp"), mid("listed"), F.col("equity.last").alias("equity_price"), state.alias("market_state"),
+        F.col("ticker").isin(*TRIPLE_LISTED).alias("triple_listed"))
+
+
+def peg(spark: SparkSession, sf_dir: str, bucket_ms: int = SNAPSHOT_MS) -> DataFrame:
+    from ..operators.peg import derive
+    return derive(assembled(spark, sf_dir, bucket_ms))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily closes per desk and leg; at most one row per (instrument, leg, day)."""
     li = table(spark, sf_dir, "lineitem")
