@@ -5,7 +5,7 @@ import importlib
 
 from .core import REGISTRY, Entry
 
-MODULES = ("history", "market")
+MODULES = ("history", "market", "research")
 
 
 def load_registry() -> dict[str, Entry]:

@@ -147,3 +147,26 @@ DECISIONS = """decisions0 AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts)
+
+SESSION_TICKS = """st AS MATERIALIZED (
+  SELECT *, printf('s%03d', (snap_ts - 1704067200000 - 21600000) // 259200000) AS session,
+         (snap_ts - 1704067200000 - 21600000) % 259200000 // 21600000 AS tick, token_mid AS price FROM peg)"""
+
+ORDER_TRIALS = """trials AS (
+  SELECT o_custkey % 40 AS config_order, printf('C%02d', o_custkey % 40) AS config_id, printf('%04d-q%d', year(o_orderdate), quarter(o_orderdate)) AS session,
+         round(sum((o_totalprice - 250000) / 99991), 6) AS net_pnl, count(*) AS trades, count(*) FILTER ((o_totalprice - 250000) / 99991 > 0) AS wins,
+         count(*) FILTER (NOT ((o_totalprice - 250000) / 99991 > 0)) AS losses, round(-min(least((o_totalprice - 250000) / 99991, 0)), 6) AS max_drawdown,
+         round(sum(o_totalprice / 9999991), 6) AS fees FROM orders GROUP BY ALL)"""
+
+TRADE_LOG = """tl0 AS (
+  SELECT *, o_orderkey AS k, CASE WHEN o_orderkey % 5 < 2 THEN 'BUY' WHEN o_orderkey % 5 = 2 THEN 'SELL' ELSE 'BLOCK' END AS direction,
+         1000.0::DOUBLE + (o_orderkey * 37 % 5000) / 100.0::DOUBLE AS balance_before FROM orders), tl1 AS (
+  SELECT *, CASE WHEN direction = 'BLOCK' THEN 0.0::DOUBLE ELSE (o_totalprice % 100 - 55) / 100 END AS balance_change FROM tl0), tlog AS (
+  SELECT epoch_ms(o_orderdate) AS ts, k AS seq, 'run' || (o_custkey % 6) AS run_id, 'I' || (o_custkey % 8) AS asset, direction,
+         CASE WHEN direction = 'BLOCK' THEN 0 ELSE o_totalprice / 1000 END AS price, CASE WHEN direction = 'BLOCK' THEN 0 ELSE 1.0 + k % 3 END AS quantity,
+         CASE WHEN direction = 'BLOCK' THEN 0 ELSE o_totalprice / 1000 * (1.0 + k % 3) END AS notional, balance_before,
+         balance_before + balance_change + CASE WHEN k % 97 = 0 THEN 0.01 ELSE 0 END AS balance_after, balance_change,
+         CASE WHEN k % 89 <> 0 THEN 'cert' ELSE '' END AS certificate_id, CASE WHEN direction = 'BLOCK' THEN 'REJECT' ELSE 'ALLOW' END AS verdict,
+         CASE WHEN k % 83 <> 0 THEN 'rule' ELSE '' END AS reason, CASE WHEN k % 79 <> 0 THEN sha256(CAST(k AS VARCHAR)) ELSE 'bad' END AS ledger_hash,
+         CASE WHEN direction = 'BLOCK' AND k % 73 <> 0 THEN 'DENY_' || (k % 4) ELSE '' END AS denied_reason,
+         CASE WHEN direction <> 'BLOCK' THEN 'size_aware' ELSE '' END AS fill_model FROM tl1)"""

@@ -68,24 +68,35 @@ def norm_inv(p: Column) -> Column:
 _M32 = 0xFFFFFFFF
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _low32(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_M32))
+
+
 def _imul(x: Column, y: Column) -> Column:
     """Low 32 bits of a product of two 32-bit values held in longs, by 16-bit halves."""
-    lo = x.bitwiseAND(F.lit(0xFFFF))
-    hi = F.shiftright(x, 16)
-    cross = (hi * y).bitwiseAND(F.lit(0xFFFF))
-    return (lo * y + F.shiftleft(cross, 16)).bitwiseAND(F.lit(_M32))
+    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
+    return _low32(low * y + F.shiftleft((high * y).bitwiseAND(F.lit(0xFFFF)), 16))
+
+
+def _mix(a: Column, shift: int, odd: int) -> Column:
+    return _imul(a.bitwiseXOR(F.shiftright(a, shift)), a.bitwiseOR(F.lit(odd).cast("long")))
 
 
 def seeded_uniform(seed: Column, k: Column) -> Column:
-    """The k-th draw (k >= 1) in [0, 1) of the 32-bit generator started at ``seed``."""
+    """The k-th draw (k >= 1) in [0, 1) of the 32-bit generator started at ``seed``.
+
+    Draw k depends on the seed and k alone, so any draw is one expression.
+    """
     step = F.lit(0x6D2B79F5).cast("long")
-    a = (seed.cast("long") + (k.cast("long") % (1 << 32)).bitwiseAND(F.lit(0xFFFF)) * step
-         + F.shiftleft((F.shiftright(k.cast("long"), 16).bitwiseAND(F.lit(0xFFFF)) * step)
-                       .bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_M32))
-    t = _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long")))
-    u = _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))
-    t2 = (t + u).bitwiseAND(F.lit(_M32)).bitwiseXOR(t)
-    return t2.bitwiseXOR(F.shiftright(t2, 14)) / F.lit(4294967296.0)
+    start = _let(_low32(k.cast("long")), lambda n: _low32(seed.cast("long") + _imul(n, step)))
+    first = _let(start, lambda a: _mix(a, 15, 1))
+    second = _let(first, lambda t: _low32(t + _mix(t, 7, 61)).bitwiseXOR(t))
+    return _let(second, lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0))
 
 
 def expected_max_sharpe(variance: Column, trials: Column) -> Column:

@@ -213,3 +213,50 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.struct(F.lit(g).alias("gate"), (k % m != 0).alias("passed"))
                   for g, m in (("max_position", 3), ("stale_data", 4), ("net_edge", 5))]).alias("gates"),
         (k % 900).alias("prompt_tokens"), (k % 300).alias("completion_tokens"))
+
+
+def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peg rows with their three-day session and the snapshot's position in it."""
+    rows = peg(spark, sf_dir)
+    at = F.col("snap_ts") - EPOCH_2024 - SNAPSHOT_MS
+    return rows.select("*", F.format_string("s%03d", F.floor(at / SESSION_MS)).alias("session"),
+                       F.floor(at % SESSION_MS / SNAPSHOT_MS).alias("tick"), F.col("token_mid").alias("price"))
+
+
+def order_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second trial table: one configuration per customer bucket, one session per quarter."""
+    o = table(spark, sf_dir, "orders")
+    session = F.format_string("%04d-q%d", F.year("o_orderdate"), F.quarter("o_orderdate"))
+    cfg = F.col("o_custkey") % 40
+    pnl = (F.col("o_totalprice") - 250_000) / 99_991
+    return o.groupBy(cfg.alias("config_order"), session.alias("session")).agg(
+        F.round(F.sum(pnl), 6).alias("net_pnl"), F.count(F.lit(1)).alias("trades"), F.sum(F.when(pnl > 0, 1).otherwise(0)).alias("wins"),
+        F.sum(F.when(pnl > 0, 0).otherwise(1)).alias("losses"), F.round(-F.min(F.least(pnl, F.lit(0.0))), 6).alias("max_drawdown"),
+        F.round(F.sum(F.col("o_totalprice") / 9_999_991), 6).alias("fees")).withColumn("config_id", F.format_string("C%02d", "config_order"))
+
+
+def order_token_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    pnl = (F.col("o_totalprice") - 250_000) / 99_991
+    return o.groupBy(F.format_string("C%02d", F.col("o_custkey") % 40).alias("config_id"), F.col("o_orderpriority").alias("ticker")).agg(
+        F.sum(pnl).alias("pnl"))
+
+
+def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading-log rows from orders: fills, blocks, running balances with a few broken rows."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    direction = F.when(k % 5 < 2, "BUY").when(k % 5 == 2, "SELL").otherwise("BLOCK")
+    before = 1000.0 + (k * 37 % 5000) / 100.0
+    change = F.when(direction == "BLOCK", 0.0).otherwise((F.col("o_totalprice") % 100 - 55) / 100)
+    return o.select(
+        epoch_ms("o_orderdate").alias("ts"), k.alias("seq"), F.concat(F.lit("run"), (F.col("o_custkey") % 6).cast("string")).alias("run_id"),
+        F.concat(F.lit("I"), (F.col("o_custkey") % TICKERS).cast("string")).alias("asset"), direction.alias("direction"),
+        F.when(direction == "BLOCK", 0.0).otherwise(F.col("o_totalprice") / 1000).alias("price"),
+        F.when(direction == "BLOCK", 0.0).otherwise(1.0 + k % 3).alias("quantity"),
+        F.when(direction == "BLOCK", 0.0).otherwise(F.col("o_totalprice") / 1000 * (1.0 + k % 3)).alias("notional"),
+        before.alias("balance_before"), (before + change + F.when(k % 97 == 0, 0.01).otherwise(0.0)).alias("balance_after"), change.alias("balance_change"),
+        F.when(k % 89 != 0, F.lit("cert")).otherwise("").alias("certificate_id"), F.when(direction == "BLOCK", "REJECT").otherwise("ALLOW").alias("verdict"),
+        F.when(k % 83 != 0, "rule").otherwise("").alias("reason"), F.when(k % 79 != 0, F.sha2(k.cast("string"), 256)).otherwise("bad").alias("ledger_hash"),
+        F.when(direction == "BLOCK", F.when(k % 73 != 0, F.concat(F.lit("DENY_"), (k % 4).cast("string"))).otherwise("")).otherwise("").alias("denied_reason"),
+        F.when(direction != "BLOCK", "size_aware").otherwise("").alias("fill_model"))
