@@ -108,7 +108,7 @@ FILLS = """fills AS (
   SELECT o_custkey AS account_id, 'P' || (l_partkey % 5) AS symbol,
          CASE WHEN (l_partkey % 5) % 2 = 0 THEN 'perp' ELSE 'spot' END AS market,
          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
-         l_quantity AS qty, l_extendedprice / l_quantity AS price, epoch_ms(o_orderdate) AS ts,
+         l_quantity AS qty, l_extendedprice / l_quantity / 0.9973::DOUBLE AS price, epoch_ms(o_orderdate) AS ts,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, epoch_ms(l_shipdate) AS ship,
          row_number() OVER (PARTITION BY o_custkey, l_partkey % 5
            ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_shipdate) AS pos

@@ -152,7 +152,7 @@ def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills per (account, symbol) in a total order; ``R`` lines sell and even parts are perps."""
     li = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", epoch_ms("o_orderdate").alias("ts"))
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.col("l_extendedprice") / F.col("l_quantity") / 0.9973
     fills = li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         epoch_ms("l_shipdate").alias("ship"), (F.col("l_partkey") % 5).alias("sym"),
@@ -260,3 +260,75 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 83 != 0, "rule").otherwise("").alias("reason"), F.when(k % 79 != 0, F.sha2(k.cast("string"), 256)).otherwise("bad").alias("ledger_hash"),
         F.when(direction == "BLOCK", F.when(k % 73 != 0, F.concat(F.lit("DENY_"), (k % 4).cast("string"))).otherwise("")).otherwise("").alias("denied_reason"),
         F.when(direction != "BLOCK", "size_aware").otherwise("").alias("fill_model"))
+
+
+def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account events with funding rows: perp lines with line number 7 settle funding at the mark."""
+    fills = account_events(spark, sf_dir)
+    seventh = F.col("event_key").substr(17, 4) == "0007"
+    return fills.withColumn("rate", F.when((F.col("market") == "perp") & seventh, 0.0001))
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order event logs: submission, reply, one fill per line item, and an end that depends on the status."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    ev = lambda seq, kind: F.struct(F.lit(seq).cast("long").alias("seq"), kind.alias("type"))
+    status = F.col("o_orderstatus")
+    head = F.array_compact(F.array(
+        ev(0, F.when(k % 11 == 0, "Deny").otherwise("Submit")), ev(1, F.when(k % 13 == 0, "Reject").otherwise("Accept")),
+        F.when(status == "F", ev(10**15, F.lit("CancelRequest"))), F.when(status == "F", ev(10**15 + 1, F.lit("CancelAck"))), F.when(status == "O", ev(10**15, F.lit("Expire")))))
+    own = o.select(k.alias("order_id"), F.explode(head).alias("e")).select("order_id", "e.seq", "e.type", F.lit(None).cast("double").alias("fill_qty"))
+    li = table(spark, sf_dir, "lineitem")
+    seq = 2 + F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_quantity").cast("long") * 100 + (F.col("l_discount") * 100).cast("long")
+    fills = li.select(F.col("l_orderkey").alias("order_id"), seq.alias("seq"), F.lit("Fill").alias("type"), F.col("l_quantity").alias("fill_qty"))
+    out = own.unionByName(fills)
+    return out.select("order_id", "seq", "type", F.when((F.col("type") == "Deny") & (F.col("order_id") % 2 == 0), "STALE_ANCHOR").alias("reason"), "fill_qty",
+                      (60.0 + F.col("order_id") % 100).alias("order_qty"))
+
+
+def queue_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggressor trades (line items) against one resting order per order key."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey")
+    seq = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_quantity").cast("long") * 100 + (F.col("l_discount") * 100).cast("long")
+    return li.select(k.alias("order_id"), seq.alias("seq"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("order_side"), F.lit(1500.0).alias("order_price"),
+                     (30.0 + k % 40).alias("order_qty"), (k % 35).cast("double").alias("ahead_qty"), F.when(F.col("l_returnflag") == "R", "buy").otherwise("sell").alias("trade_side"),
+                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("trade_price"), F.col("l_quantity").alias("trade_qty"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded outcomes of the decision log."""
+    d = decisions(spark, sf_dir).filter(F.col("grade_pnl").isNotNull())
+    g = F.col("grade_pnl")
+    return d.select("ticker", "ts", P.premium_bucket(g).alias("bucket"), g.alias("premium_pct"), (g / 2).alias("pnl_pct"), (F.abs(g) / 3).alias("narrowing_pp"),
+                    (F.col("prompt_tokens") % 48).alias("hold_bars"), F.col("captured").alias("converged"), (F.col("ts") + 365 * DAY_MS).alias("expires_at"))
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade proposals with the scalar inputs of the gates."""
+    o = table(spark, sf_dir, "orders")
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    return o.select(
+        k.alias("proposal_id"), (k % 12).cast("double").alias("size_pct"), (p % 200 / 100).alias("expected_edge_pct"), (k % 5).cast("double").alias("leverage"),
+        (k % 9 == 0).alias("is_basis"), (k % 6).cast("double").alias("existing_pct"), (k % 55).cast("double").alias("gross_pct"),
+        F.when(k % 4 == 0, "DISLOCATED").when(k % 4 == 1, "STRETCHED").when(k % 4 == 2, "NORMAL").alias("peg_state"), (k % 45 / 100.0).alias("slippage_pct"),
+        (k % 100 / 100.0).alias("confidence"), (k % 10 != 0).alias("grounded"), (k % 4).alias("correlated_open"), F.lit(0.32).alias("fee_round_trip_pct"),
+        (k % 75).cast("double").alias("data_age_sec"), (k % 50 == 0).alias("kill_switch"), F.when(k % 3 != 0, (k % 20).cast("double")).alias("vol_pct"),
+        F.when(k % 8 != 0, (k % 60 - 30).cast("double")).alias("anchor_deviation_pct"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
+        (95 + k % 10).cast("double").alias("mark"), F.when(k % 7 != 0, F.lit(99.0)).alias("stop"), (k % 37 == 0).alias("pre_open_cutoff"),
+        (p % 500 / 100 - 3.2).alias("daily_pnl_pct"))
+
+
+def order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their quote, cap, cash, position and venue rules."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"), F.when(k % 2 == 0, "spot").otherwise("perp").alias("market"),
+        (F.col("l_quantity") - F.when(k % 41 == 0, F.col("l_quantity")).otherwise(0.0)).alias("qty"), F.when(k % 5 != 0, price * 0.999).alias("bid"),
+        F.when(k % 7 != 0, price * 1.001).alias("ask"), F.when(k % 35 != 0, price).alias("last"), F.when(k % 4 == 0, price).alias("limit_price"), price.alias("reference_price"),
+        F.when(k % 29 == 0, "HALTED").otherwise("ACTIVE").alias("trading_state"), F.lit(70_000.0).alias("max_notional_usd"), (k % 90_000).cast("double").alias("cash"),
+        (k % 30).cast("double").alias("position_units"), (k % 6 == 0).alias("reduce_only"), F.lit(0.05).alias("tick_size"), F.when(k % 3 == 0, 2.0).otherwise(1.0).alias("lot_size"),
+        F.lit(2.0).alias("min_qty"), F.when(k % 2 == 0, 45.0).alias("max_qty"), F.lit(5_000.0).alias("min_notional"), F.lit(80_000.0).alias("max_notional"))
