@@ -171,12 +171,12 @@ def _(spark, sf):
 def with_books(q):
     """Five levels per side around the last price; size and spacing follow ``k``, some levels are bad."""
     lv = lambda sign: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(
-        (F.col("last") * (1 + sign * i * 0.0005)).alias("price"), F.when((F.col("k") + i) % 9 == 0, 0.0).otherwise(((F.col("k") + i) % 7 + 1).cast("double")).alias("size")))
+        (F.col("last") * (1 + sign * i * 0.0005 / 0.9973)).alias("price"), F.when((F.col("k") + i) % 9 == 0, 0.0).otherwise(((F.col("k") + i) % 7 + 1).cast("double")).alias("size")))
     return q.select("*", F.when(F.col("k") % 27 != 0, lv(-1)).alias("bids"), F.when(F.col("k") % 28 != 0, lv(1)).alias("asks"))
 
 
 BOOKS = """lv AS (
-  SELECT q.event_id, q.ticker, q.leg, q.k, q.last, q.bid, q.ask, q.bid_size, q.ask_size, s.side, i.i, q.last * (1 + s.sg * i.i * 0.0005) AS price, CASE WHEN (q.k + i.i) % 9 = 0 THEN 0 ELSE ((q.k + i.i) % 7 + 1)::DOUBLE END AS size,
+  SELECT q.event_id, q.ticker, q.leg, q.k, q.last, q.bid, q.ask, q.bid_size, q.ask_size, s.side, i.i, q.last * (1 + s.sg * i.i * 0.0005 / 0.9973) AS price, CASE WHEN (q.k + i.i) % 9 = 0 THEN 0 ELSE ((q.k + i.i) % 7 + 1)::DOUBLE END AS size,
          CASE WHEN s.side = 'bid' THEN q.k % 27 <> 0 ELSE q.k % 28 <> 0 END AS has FROM quotes q CROSS JOIN (VALUES ('bid', -1), ('ask', 1)) s(side, sg) CROSS JOIN range(1, 6) i(i))"""
 
 
@@ -207,7 +207,7 @@ CALIBRATION = """cal0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 
 @query("calibration_by_tier", Q.with_(Q.QUOTES, CALIBRATION) + """, clv AS (
-  SELECT q.symbol, q.k, q.last, s.side, i.i, q.last * (1 + s.sg * i.i * 0.0005) AS price, CASE WHEN (q.k + i.i) % 9 = 0 THEN 0 ELSE ((q.k + i.i) % 7 + 1)::DOUBLE END AS size, CASE WHEN s.side = 'bid' THEN q.k % 27 <> 0 ELSE q.k % 28 <> 0 END AS has
+  SELECT q.symbol, q.k, q.last, s.side, i.i, q.last * (1 + s.sg * i.i * 0.0005 / 0.9973) AS price, CASE WHEN (q.k + i.i) % 9 = 0 THEN 0 ELSE ((q.k + i.i) % 7 + 1)::DOUBLE END AS size, CASE WHEN s.side = 'bid' THEN q.k % 27 <> 0 ELSE q.k % 28 <> 0 END AS has
   FROM cal0 q CROSS JOIN (VALUES ('bid', -1), ('ask', 1)) s(side, sg) CROSS JOIN range(1, 6) i(i)), nt AS (SELECT symbol, sum(price * size) FILTER (side = 'bid' AND has) AS bn, sum(price * size) FILTER (side = 'ask' AND has) AS an FROM clv GROUP BY symbol), tier AS (
   SELECT symbol, CASE WHEN bn IS NULL OR an IS NULL THEN 'D' WHEN least(bn, an) >= 10000 THEN 'A' WHEN least(bn, an) >= 2000 THEN 'B' ELSE 'C' END AS tier FROM nt), cs AS (
   SELECT q.*, t.tier, sd.side, n.notional, CASE WHEN sd.side = 'buy' THEN q.ask ELSE q.bid END AS touch FROM cal0 q JOIN tier t USING (symbol) CROSS JOIN (VALUES ('buy'), ('sell')) sd(side) CROSS JOIN (VALUES (100.0::DOUBLE), (500.0), (2000.0)) n(notional) WHERE q.bid > 0 AND q.ask > 0), cq AS (

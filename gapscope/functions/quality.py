@@ -1,6 +1,8 @@
 """Quality rules of quotes, books and reference prices, and how verdicts merge."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ def merge_quality(base: Column, other: Column) -> Column:
         F.array_distinct(F.concat(base["reasons"], other["reasons"])).alias("reasons"))
 
 
+def merge_all(parts: Sequence[Column]) -> Column:
+    """Merge several verdict columns at once."""
+    rank = F.greatest(*[status_rank(p["status"]) for p in parts])
+    return F.struct(
+        F.get(F.array(*[F.lit(s) for s in STATUSES]), rank).alias("status"),
+        F.greatest(F.lit(0.0), F.least(*[p["score"] for p in parts])).alias("score"),
+        F.array_distinct(F.concat(*[p["reasons"] for p in parts])).alias("reasons"))
+
+
 def quote_defects(bid: Column, ask: Column, last: Column, ts: Column, now: Column, ttl_ms: int = 30_000,
                   max_spread_bps: float = 500.0) -> dict[str, Column]:
     """Flag columns of a quote and the first defect in rule order."""

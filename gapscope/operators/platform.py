@@ -42,36 +42,41 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sequence_status(df: DataFrame, slice_ms: int = HOUR_MS, keys: Sequence[str] = STREAM) -> DataFrame:
     """Compare each sequence number with the highest one that arrived before it on its stream."""
-    prior = running(df.filter(F.col("sequence").isNotNull()), keys, ["received_at", "event_id"],
+    prior = running(df, keys, ["received_at", "event_id"],
                     {"prior_sequence": ("max", F.col("sequence"))}, F.floor(F.col("received_at") / slice_ms),
                     exclusive=True)
     p, s = F.col("prior_sequence"), F.col("sequence")
-    status = (F.when(p.isNull(), "first").when(s <= p, "regression").when(s == p + 1, "contiguous").otherwise("gap"))
+    status = (F.when(s.isNull(), "unsequenced").when(p.isNull(), "first").when(s <= p, "regression").when(s == p + 1, "contiguous").otherwise("gap"))
     return prior.withColumn("sequence_status", status).withColumn("expected_sequence", p + 1)
 
 
+def add_quality(rows: DataFrame, sequence_status: Column) -> DataFrame:
+    """Merge policy, age, content and sequence verdicts into one quality column.
+
+    Parts are merged side by side, which equals merging them in turn: the worst status, the lowest
+    score, all reasons in order.
+    """
+    known = F.col("reliability").isNotNull()
+    clear = F.struct(F.lit("valid").alias("status"), F.col("reliability").alias("score"), F.array().cast("array<string>").alias("reasons"))
+    bid, ask, last = F.col("payload.bid"), F.col("payload.ask"), F.col("payload.last")
+    parts = {
+        "__policy": F.when(known, clear).otherwise(QL.verdict("degraded", 0.5, "unregistered_source")),
+        "__age": F.when(F.col("received_at") - F.col("effective_at") > F.col("max_age_ms"),
+                        QL.verdict("degraded", 0.4, "effective_data_stale")).otherwise(QL.verdict("valid", 1)),
+        "__content": (F.when(F.col("kind") == "market.quote", QL.quote_quality(bid, ask, last))
+                      .when(F.col("kind") == "equity.quote", QL.equity_quality(F.lit(None).cast("double"), last))
+                      .otherwise(QL.verdict("valid", 1))),
+        "__seq": (F.when(sequence_status == "regression", QL.verdict("quarantined", 0, "sequence_regression"))
+                  .when(sequence_status == "gap", QL.verdict("degraded", 0.5, "sequence_gap")).otherwise(QL.verdict("valid", 1))),
+    }
+    out = rows.withColumns(parts)
+    return out.withColumn("quality", QL.merge_all([F.col(p) for p in parts])).drop(*parts)
+
+
 def assess(df: DataFrame, policies: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """Quality of every event from its source policy, its payload and its sequence."""
     rows = sequence_status(df, slice_ms).join(F.broadcast(policies), "source", "left")
-    known = F.col("reliability").isNotNull()
-    start = F.struct(F.lit("valid").alias("status"), F.lit(1.0).alias("score"),
-                     F.array().cast("array<string>").alias("reasons"))
-    policy = F.when(known, F.struct(F.lit("valid").alias("status"), F.col("reliability").alias("score"),
-                                    F.array().cast("array<string>").alias("reasons"))
-                    ).otherwise(QL.verdict("degraded", 0.5, "unregistered_source"))
-    stale = F.when(F.col("received_at") - F.col("effective_at") > F.col("max_age_ms"),
-                   QL.verdict("degraded", 0.4, "effective_data_stale")).otherwise(QL.verdict("valid", 1))
-    bid, ask, last = F.col("payload.bid"), F.col("payload.ask"), F.col("payload.last")
-    content = (F.when(F.col("kind") == "market.quote", QL.quote_quality(bid, ask, last))
-               .when(F.col("kind") == "equity.quote", QL.equity_quality(F.lit(None).cast("double"), last))
-               .otherwise(QL.verdict("valid", 1)))
-    seq = (F.when(F.col("sequence_status") == "regression", QL.verdict("quarantined", 0, "sequence_regression"))
-           .when(F.col("sequence_status") == "gap", QL.verdict("degraded", 0.5, "sequence_gap"))
-           .otherwise(QL.verdict("valid", 1)))
-    merged = start
-    for part in (policy, stale, content, seq):
-        merged = QL.merge_quality(merged, part)
-    return rows.withColumn("quality", merged).select(*df.columns, "sequence_status", "expected_sequence", "quality")
+    return add_quality(rows, F.col("sequence_status")).select(*df.columns, "sequence_status", "expected_sequence", "quality")
 
 
 def identity_hash(df: DataFrame) -> DataFrame:
