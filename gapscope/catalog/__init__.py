@@ -5,7 +5,7 @@ import importlib
 
 from .core import REGISTRY, Entry
 
-MODULES = ("history", "market", "research", "ledger", "streams")
+MODULES = ("history", "market", "research", "ledger", "streams", "composites")
 
 
 def load_registry() -> dict[str, Entry]:

@@ -191,7 +191,7 @@ def _(spark, sf):
     return M.tracking_error(aligned(spark, sf, True))
 
 
-@query("token_quality", Q.with_(ALIGNED) + """, tq AS (
+TOKEN_QUALITY = Q.with_(ALIGNED) + """, tq AS (
   SELECT instrument, count(*) AS n_days, avg(abs((token_close - equity_close) / equity_close * 100)) AS ma,
          stddev_pop((token_close - equity_close) / equity_close * 100) AS sd FROM aligned GROUP BY instrument), sc AS (
   SELECT *, CASE WHEN n_days < 5 THEN 0 ELSE greatest(0, least(100, 100 - ma * 25)) END AS tracking_component,
@@ -200,7 +200,10 @@ def _(spark, sf):
   SELECT instrument, n_days, CASE WHEN n_days < 5 THEN 'n/a' WHEN quality_score >= 85 THEN 'A' WHEN quality_score >= 70 THEN 'B'
          WHEN quality_score >= 55 THEN 'C' ELSE 'D' END AS grade, quality_score,
          CASE WHEN n_days < 5 THEN 'n/a' WHEN ma < 1.5 THEN 'tight' WHEN ma < 3 THEN 'loose' ELSE 'poor' END AS tracking_grade,
-         tracking_component, stability_component, liquidity_component FROM fin""",
+         tracking_component, stability_component, liquidity_component FROM fin"""
+
+
+@query("token_quality", TOKEN_QUALITY,
        "quality_score tracking_component stability_component liquidity_component")
 def _(spark, sf):
     return M.token_quality(M.tracking_error(aligned(spark, sf, True)))

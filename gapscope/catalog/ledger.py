@@ -15,7 +15,7 @@ from ..sources import adapters as A
 from ..sources import readers as RD
 from . import sqlbase as Q
 from .core import query
-from .history import WALK
+from .history import TOKEN_QUALITY, WALK
 from .market import certificates
 from .research import ticks as recorded_ticks
 from ..operators import arena as AR
@@ -299,9 +299,10 @@ def _(spark, sf):
     return V.active_at(facts(spark, sf), F.lit(1_705_298_400_000 + 200_000)).groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hypotheses", None)
+@query("hypotheses", Q.with_(Q.PEG, CARDS) + """ SELECT DISTINCT CASE WHEN fair_value IS NOT NULL THEN 'equity_gap' ELSE 'perp_gap' END AS source, round(greatest(0.3, least(3, abs(premium_pct))) * k, 3) AS entry_pct, round(greatest(0.5, least(5, magnitude)), 3) AS take_profit_pct
+  FROM cards, (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) z(k) WHERE premium_pct IS NOT NULL""")
 def _(spark, sf):
-    return L.hypotheses(facts(spark, sf), F.col("observed_at") + 1)
+    return L.hypotheses(facts(spark, sf), F.col("observed_at") + 1).drop("strategy_hash")
 
 
 @query("grounding_check", Q.with_(Q.PEG, CARDS) + """, ids AS (SELECT event_id, list(fact_id) AS ids FROM facts GROUP BY event_id), q AS (
@@ -454,7 +455,13 @@ def _(spark, sf):
     return M.performance_summary(A.order_trials(spark, sf), ["config_id"], ["session"], "net_pnl")
 
 
-@query("performance_by_mode", None)
+PERF_COLS = """n, n >= 10 AS reliable, total_pnl, total_pnl / 1000 * 100 AS total_return_pct, mr * 100 AS mean_return_pct, coalesce(mr / nullif(sd, 0), 0) AS sharpe, coalesce(mr / nullif(dd, 0), 0) AS sortino, coalesce(total_pnl / 1000 / nullif(mdd, 0), 0) AS calmar,
+    mdd * 100 AS max_drawdown_pct, CASE WHEN loss > 0 THEN win / loss WHEN win <= 0 THEN 0 END AS profit_factor, total_pnl / n AS expectancy, coalesce(wins / nullif(wins + losses, 0) * 100, 0) AS win_rate_pct, wins, losses"""
+
+
+@query("performance_by_mode", Q.with_(Q.ORDER_TRIALS) + ", trials2 AS (SELECT config_id || '/all' AS config_id, session, net_pnl FROM trials UNION ALL SELECT config_id || '/forward', session, net_pnl FROM trials WHERE session > '1999-q4'), " +
+       PERF.replace("FROM trials ", "FROM trials2 ") + f" SELECT split_part(config_id, '/', 1) AS config_id, split_part(config_id, '/', 2) AS mode, {PERF_COLS} FROM pf",
+       "total_pnl total_return_pct mean_return_pct sharpe sortino calmar max_drawdown_pct profit_factor expectancy win_rate_pct", 9)
 def _(spark, sf):
     t = A.order_trials(spark, sf)
     modes = t.withColumn("mode", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("session") > "1999-q4", F.lit("forward"))))))
@@ -515,7 +522,7 @@ def _(spark, sf):
     return p.orderBy(F.abs("premium_pct").desc(), "ticker", "snap_ts").limit(5).select("snap_ts", "ticker", "premium_pct")
 
 
-@query("quality_board", None)
+@query("quality_board", TOKEN_QUALITY, "quality_score tracking_component stability_component liquidity_component")
 def _(spark, sf):
     from ..operators import series as S
     leg = lambda n: A.bars(spark, sf).filter(F.col("leg") == n)

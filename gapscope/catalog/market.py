@@ -388,17 +388,28 @@ def _(spark, sf):
     return PL.anchor_consensus(q, F.lit(A.EPOCH_2024 + 30 * A.DAY_MS), 2.5)
 
 
-@query("exchange_calendar_orders", None)
+CALENDAR = """cd AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS orders FROM orders GROUP BY 1), ck AS (
+  SELECT *, dayofweek(d) AS wd, month(d) AS mo, day(d) AS dd FROM cd), cr AS (
+  SELECT *, CASE WHEN wd IN (0, 6) THEN 'Weekend' WHEN (mo = 1 AND dd = 1) OR (mo = 1 AND dd = 2 AND wd = 1) THEN 'New Year''s Day' WHEN mo = 1 AND wd = 1 AND dd BETWEEN 15 AND 21 THEN 'Martin Luther King Jr. Day'
+    WHEN mo = 2 AND wd = 1 AND dd BETWEEN 15 AND 21 THEN 'Washington''s Birthday' WHEN d IN (DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13') THEN 'Good Friday'
+    WHEN mo = 5 AND wd = 1 AND dd >= 25 THEN 'Memorial Day' WHEN mo = 6 AND (dd = 19 OR (dd = 18 AND wd = 5) OR (dd = 20 AND wd = 1)) THEN 'Juneteenth National Independence Day'
+    WHEN mo = 7 AND (dd = 4 OR (dd = 3 AND wd = 5) OR (dd = 5 AND wd = 1)) THEN 'Independence Day' WHEN mo = 9 AND wd = 1 AND dd <= 7 THEN 'Labor Day' WHEN mo = 11 AND wd = 4 AND dd BETWEEN 22 AND 28 THEN 'Thanksgiving Day'
+    WHEN mo = 12 AND (dd = 25 OR (dd = 24 AND wd = 5) OR (dd = 26 AND wd = 1)) THEN 'Christmas Day'
+    WHEN (mo = 7 AND dd = 3 AND wd BETWEEN 1 AND 4) OR (mo = 7 AND dd = 2 AND wd = 5) OR (mo = 7 AND dd = 2 AND wd = 4) THEN 'Day before Independence Day closure' WHEN mo = 11 AND wd = 5 AND dd BETWEEN 23 AND 29 THEN 'Day after Thanksgiving' WHEN mo = 12 AND dd = 24 THEN 'Christmas Eve' END AS reason FROM ck), cs AS (
+  SELECT *, CASE WHEN reason IS NULL THEN 'regular' WHEN reason = 'Weekend' THEN 'weekend' WHEN reason LIKE 'Day %' OR reason = 'Christmas Eve' THEN 'early_close' ELSE 'holiday' END AS state FROM cr)"""
+
+
+@query("exchange_calendar_orders", Q.with_(CALENDAR) + " SELECT state, reason, sum(orders)::BIGINT AS orders, count(*) AS days FROM cs GROUP BY state, reason")
 def _(spark, sf):
     cal = K.exchange_calendar(spark, "1995-01-01", "2001-12-31")
     days = A.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
     return days.join(F.broadcast(cal), "date").groupBy("state", "reason").agg(F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("days"))
 
 
-PHASES = """et AS (
-  SELECT event_id, ts, timezone('America/New_York', timezone('UTC', make_timestamp(ts * 1000))) AS local FROM ticks), ph0 AS (
-  SELECT event_id, ts, CAST(local AS DATE) AS et_date, hour(local) * 60 + minute(local) AS m, dayofweek(local) AS wd FROM et), phases AS (
-  SELECT *, CASE WHEN wd IN (0, 6) THEN 'WEEKEND' WHEN et_date IN (DATE '2024-01-01', DATE '2024-01-15') THEN 'HOLIDAY' WHEN m >= 570 AND m < 960 THEN 'STAND_DOWN'
+# New York is five hours behind UTC for the whole span of the event stream.
+PHASES = """ph0 AS (
+  SELECT event_id, ts, CAST(make_timestamp((ts - 18000000) * 1000) AS DATE) AS et_date, (ts - 18000000) // 60000 % 1440 AS m, dayofweek(make_timestamp((ts - 18000000) * 1000)) AS wd FROM ticks), phases AS (
+  SELECT *, wd NOT IN (0, 6) AND et_date NOT IN (DATE '2024-01-01', DATE '2024-01-15') AS trading, CASE WHEN wd IN (0, 6) THEN 'WEEKEND' WHEN et_date IN (DATE '2024-01-01', DATE '2024-01-15') THEN 'HOLIDAY' WHEN m >= 570 AND m < 960 THEN 'STAND_DOWN'
                 WHEN m >= 960 AND m < 1200 THEN 'EARNINGS_SPRINT' WHEN m >= 1200 OR m < 240 THEN 'OVERNIGHT' ELSE 'PRE_OPEN' END AS phase FROM ph0)"""
 
 
@@ -406,7 +417,7 @@ def phased(spark, sf, df):
     return K.session_phase(df, K.exchange_calendar(spark, "2023-12-01", "2024-03-01"))
 
 
-@query("session_phases", None)
+@query("session_phases", Q.with_(Q.TICKS, PHASES) + """ SELECT phase, phase IN ('WEEKEND', 'HOLIDAY', 'EARNINGS_SPRINT', 'OVERNIGHT') AS entries_allowed, count(*) AS events, count(*) FILTER (trading AND m >= 565 AND m < 570) AS cutoff_events FROM phases GROUP BY phase""")
 def _(spark, sf):
     p = phased(spark, sf, A.ticks(spark, sf).select("event_id", "ts"))
     return p.groupBy("phase", "entries_allowed").agg(F.count(F.lit(1)).alias("events"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as NU
 from ..functions import rules as R
 from ..operators import arena as AR
 from ..operators import backtests as B
@@ -216,10 +217,17 @@ def _(spark, sf):
     return AR.threshold_sweep(ticks(spark, sf))
 
 
-@query("best_threshold", None)
+@query("best_threshold", Q.with_(*ST_CERT) + """, th AS (
+  SELECT c.*, t.threshold, """ + verdict_sql("50", "'buy'") + """ <> 'REJECT' AS ok FROM certs c CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]) AS threshold) t
+  WHERE token_mid > 0 AND true_gap_pct <= -t.threshold), fe AS (SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY threshold, session, ticker) AS entry_tick FROM th),
+  ends AS (SELECT session, max(tick) AS tick FROM st GROUP BY session), fin AS (SELECT s.session, s.ticker, s.token_mid AS final_mid FROM st s JOIN ends USING (session, tick)), sw AS (
+  SELECT threshold, count(*) FILTER (ok) AS fills, count(*) FILTER (NOT ok) AS blocks,
+    coalesce(sum(50 * (coalesce(final_mid, token_mid) / token_mid - 1) - 0.05 * (1 + coalesce(final_mid, token_mid) / token_mid)) FILTER (ok), 0) AS net_pnl
+  FROM fe LEFT JOIN fin USING (session, ticker) WHERE entry_tick IS NULL OR fe.tick <= entry_tick GROUP BY threshold)
+  SELECT threshold, net_pnl, fills, blocks FROM sw ORDER BY round(net_pnl, 9) DESC, threshold LIMIT 1""", "net_pnl")
 def _(spark, sf):
     s = AR.threshold_sweep(ticks(spark, sf))
-    return s.agg(F.max_by(F.struct("threshold", "net_pnl", "fills", "blocks"), F.struct("net_pnl", -F.col("threshold"))).alias("b")).select("b.*")
+    return s.agg(F.max_by(F.struct("threshold", "net_pnl", "fills", "blocks"), F.struct(F.round("net_pnl", 9), -F.col("threshold"))).alias("b")).select("b.*")
 
 
 @query("agent_bench", Q.with_(*ST_CERT) + """, tasks AS (
@@ -384,19 +392,25 @@ def _(spark, sf):
     return W.expected_vs_actual(A.order_trials(spark, sf).filter("config_id = 'C00'").select("session", "net_pnl"))
 
 
-@query("strategy_families", None)
+@query("family_sweep", None)
 def _(spark, sf):
-    fam = W.strategy_families(spark)
-    hits = A.session_ticks(spark, sf).agg(F.count(F.lit(1)).alias("ticks"))
-    return fam.groupBy("family").agg(F.count(F.lit(1)).alias("configs"), F.avg("entry_pct").alias("entry_pct")).join(F.broadcast(hits))
+    series = cut_lineage(W.session_series(A.session_ticks(spark, sf)))
+    trades = W.fold_trades(W.strategy_families(series, sizing=False), ["family", "config_id"])
+    net = F.col("ratio") * (1 - W.FEE) - (1 + W.FEE)
+    per = trades.groupBy("family", "config_id").agg(F.count("ratio").alias("trades"), F.coalesce(F.sum(net), F.lit(0.0)).alias("unit_return"))
+    return per.groupBy("family").agg(F.count(F.lit(1)).alias("configs"), F.sum("trades").alias("trades"), F.max("unit_return").alias("best_return"),
+                                     F.max_by("config_id", F.struct(F.round("unit_return", 9), "config_id")).alias("best_config"))
 
 
-@query("strategy_violations", None)
+@query("strategy_violations", """WITH s AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE s_name END AS id, s_acctbal / 1000 AS entry, s_acctbal / 9000 AS notional, s_suppkey % 4 AS conc, s_suppkey % 5 AS hold FROM supplier), v AS (
+  SELECT unnest(list_filter([CASE WHEN id = '' THEN 'id_required' END, CASE WHEN entry < 0 OR notional < 0 THEN 'numbers_must_be_non_negative' END, CASE WHEN NOT (notional > 0 AND notional <= 1) THEN 'notional_out_of_range' END,
+    CASE WHEN conc < 1 THEN 'max_concurrent_not_positive' END, CASE WHEN hold < 1 THEN 'max_hold_not_positive' END], lambda x: x IS NOT NULL)) AS violation FROM s) SELECT violation, count(*) AS n FROM v GROUP BY violation""")
 def _(spark, sf):
-    fam = W.strategy_families(spark).withColumn("fee_pct", F.lit(0.1))
-    t = A.session_ticks(spark, sf).agg(F.max("true_gap_pct").alias("widest"))
-    return fam.join(F.broadcast(t)).withColumn("v", R.strategy_violations()).groupBy(F.size("v").alias("violations")).agg(
-        F.count(F.lit(1)).alias("configs"), F.sum(F.when(F.col("entry_pct") > F.col("widest"), 1).otherwise(0)).alias("never_reached"))
+    s = A.table(spark, sf, "supplier")
+    k, b = F.col("s_suppkey"), F.col("s_acctbal")
+    cfg = s.select(F.when(k % 9 == 0, "").otherwise(F.col("s_name")).alias("config_id"), (b / 1000).alias("entry_pct"), (b / 9000).alias("notional_pct"), F.lit(0.1).alias("exit_pct"),
+                   F.lit(1.0).alias("take_profit_pct"), F.lit(1.0).alias("stop_loss_pct"), F.lit(0.1).alias("fee_pct"), (k % 4).alias("max_concurrent"), (k % 5).alias("max_hold"))
+    return cfg.select(F.explode(R.strategy_violations()).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stability_surface", None)
@@ -476,7 +490,39 @@ def _(spark, sf):
     return C.complete_matrix(A.order_trials(spark, sf))[0]
 
 
-@query("overfit_stats", None)
+def _poly(x: str, cs, tail=None) -> str:
+    acc = f"({cs[0]!r}::DOUBLE)"
+    for c in cs[1:]:
+        acc = f"({acc} * {x} + ({c!r}::DOUBLE))"
+    return acc if tail is None else f"({acc} * {x} + {tail})"
+
+
+def _norm_inv_sql(p: str) -> str:
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(1 - {p}))"
+    mid = f"{_poly(f'({q} * {q})', NU.ACKLAM_A)} * {q} / {_poly(f'({q} * {q})', NU.ACKLAM_B, 1)}"
+    return f"CASE WHEN {p} <= {1 - NU.ACKLAM_LOW!r} THEN {mid} ELSE -{_poly(t, NU.ACKLAM_C)} / {_poly(t, NU.ACKLAM_D, 1)} END"
+
+
+def _norm_cdf_sql(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + {NU.ERF_P!r}::DOUBLE * {x}))"
+    e = f"(1 - {_poly(t, tuple(reversed(NU.ERF_A)))} * {t} * exp(-{x} * {x}))"
+    return f"0.5 * (1 + CASE WHEN {z} < 0 THEN -{e} ELSE {e} END)"
+
+
+OVERFIT = """oc AS (SELECT net_pnl / 1000 AS r FROM trials WHERE config_id = 'C00'), om AS (SELECT count(*) AS n, avg(r) AS m, stddev_pop(r) AS sp, stddev_samp(r) AS ss FROM oc), o1 AS (
+  SELECT n, m / ss AS sr, (SELECT avg(pow((r - m) / sp, 3)) FROM oc, om) AS skew, (SELECT avg(pow((r - m) / sp, 4)) FROM oc, om) AS kurtosis FROM om), o2 AS (
+  SELECT *, (SELECT count(*) FROM shp) AS n_trials, (SELECT var_samp(sharpe) FROM shp WHERE sharpe <> 0) AS v FROM o1), o3 AS (
+  SELECT *, 1 - 1.0::DOUBLE / n_trials AS pa, 1 - 1 / (n_trials * exp(1.0::DOUBLE)) AS pb FROM o2), o4 AS (
+  SELECT *, sqrt(v) * ((1 - 0.5772156649015329::DOUBLE) * (""" + _norm_inv_sql("pa") + ") + 0.5772156649015329::DOUBLE * (" + _norm_inv_sql("pb") + """)) AS sr0,
+    greatest(1e-12, 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr) AS rad, 0.95::DOUBLE AS pc FROM o3), o5 AS (
+  SELECT *, sr * sqrt(n - 1.0::DOUBLE) / sqrt(rad) AS z0, (sr - sr0) * sqrt(n - 1.0::DOUBLE) / sqrt(rad) AS z1 FROM o4), o6 AS (
+  SELECT n_trials, n AS n_observations, sr AS raw_sharpe, skew, kurtosis, sqrt(v) AS trial_sharpe_stdev, sr0 AS expected_max_sharpe, """ + _norm_cdf_sql("z0") + " AS probabilistic_sharpe, " + _norm_cdf_sql("z1") + """ AS deflated_sharpe,
+    CASE WHEN sr > 0 THEN 1 + rad * pow((""" + _norm_inv_sql("pc") + """) / sr, 2) END AS min_track_record FROM o5)"""
+
+
+@query("overfit_stats", Q.with_(Q.ORDER_TRIALS, SHARPES, OVERFIT) + """ SELECT *, deflated_sharpe >= 0.95 AS significant, CASE WHEN deflated_sharpe >= 0.95 THEN 'survives_selection' WHEN raw_sharpe <= expected_max_sharpe THEN 'below_luck_bar' ELSE 'too_short_to_confirm' END AS verdict FROM o6""",
+       "raw_sharpe skew kurtosis trial_sharpe_stdev expected_max_sharpe probabilistic_sharpe deflated_sharpe min_track_record", 7)
 def _(spark, sf):
     t = A.order_trials(spark, sf)
     return C.overfit_stats(t.filter("config_id = 'C00'"), C.complete_matrix(t)[0])

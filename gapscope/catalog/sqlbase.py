@@ -96,7 +96,7 @@ EVENTS_PROV = TICKS + """, prov AS (
          CASE WHEN event_type IN ('purchase', 'view', 'signup') THEN 'market.quote'
               WHEN event_type = 'click' THEN 'equity.quote' ELSE 'market.trade' END AS kind,
          event_type AS source, ticker AS instrument, ts AS effective_at, ts + k * 60000 AS observed_at,
-         ts + k * 60000 AS received_at, event_id - event_id % 4 AS sequence,
+         ts + k * 60000 AS received_at, ts // 7200000 AS sequence,
          CASE WHEN k % 31 <> 0 AND k % 17 <> 0
               THEN price - (price * k / 20000.0) * (CASE WHEN k % 23 = 0 THEN -1.0 ELSE 1.0 END) END AS bid,
          CASE WHEN k % 31 <> 0 AND k % 19 <> 0

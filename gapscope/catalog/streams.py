@@ -67,10 +67,13 @@ def _(spark, sf):
     return drained(spark, FL.burst_limit(landed(spark, sf, t, "bursts"), 3, 3_600_000, 600_000), "bursts").groupBy("key", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_quality_windows", None)
+@query("stream_quality_windows", Q.with_(Q.EVENTS_PROV, ASSESS) + """, q AS (SELECT received_at // 86400000 AS day, source || '|' || kind || '|' || instrument AS stream, CASE WHEN content IN ('no_positive_price', 'crossed_quote', 'invalid_equity_price') THEN 'quarantined'
+  WHEN reliability IS NULL OR stale OR content = 'one_sided_quote' THEN 'degraded' ELSE 'valid' END AS status FROM assessed)
+  SELECT day, stream, status, count(*) AS events FROM q WHERE (day + 1) * 86400000 <= (SELECT max(received_at) FROM prov) - 10800000 GROUP BY ALL""")
 def _(spark, sf):
     q = FL.stream_quality(prov_stream(spark, sf), policies(spark))
-    return drained(spark, FL.quality_windows(q, "1 day", "3 hours"), "windows")
+    w = drained(spark, FL.quality_windows(q, "1 day", "3 hours"), "windows")
+    return w.select(F.floor(F.unix_millis("window_start") / A.DAY_MS).alias("day"), "stream", "status", "events")
 
 
 @query("live_peg", Q.with_(Q.PEG) + " SELECT snap_ts, ticker, token_mid, premium_pct, true_gap_pct FROM peg", "token_mid premium_pct true_gap_pct", 10)

@@ -50,11 +50,19 @@ def sweep_trades(ticks: DataFrame, axes: Mapping[str, Sequence] = STANDARD_GRID)
     per snapshot, so the folded arrays are bounded by the length of a session. ``ratio`` is exit over entry
     price.
     """
+    runs = with_grid(session_series(ticks), axes).filter(F.col("exit_pct") <= F.col("entry_pct"))
+    return fold_trades(runs, ["grid_index"])
+
+
+def session_series(ticks: DataFrame) -> DataFrame:
+    """Ticks of each (session, ticker) in order, with the session's last tick."""
     bar = F.struct(F.col("tick").alias("i"), "true_gap_pct", "premium_pct", "price")
-    # Session ends come from a small aggregate; ticks stay hashed by (session, ticker).
     ends = ticks.groupBy("session").agg(F.max("tick").alias("session_end"))
-    series = ticks.groupBy("session", "ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars")).join(ends, "session")
-    runs = with_grid(series, axes).filter(F.col("exit_pct") <= F.col("entry_pct"))
+    return ticks.groupBy("session", "ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars")).join(ends, "session")
+
+
+def fold_trades(runs: DataFrame, config: Sequence[str]) -> DataFrame:
+    """Run the rules of each row over its own bars; rows name their rule set in ``config``."""
     trade = "array<struct<entry_i:bigint,exit_i:bigint,ratio:double,reason:string>>"
     start = F.struct(F.lit(False).alias("open"), F.lit(0.0).alias("entry"), F.lit(0).cast("long").alias("entry_i"), F.array().cast(trade).alias("trades"))
     momentum = F.col("direction") == "momentum"
@@ -77,14 +85,14 @@ def sweep_trades(ticks: DataFrame, axes: Mapping[str, Sequence] = STANDARD_GRID)
             F.when(opens, x["i"]).otherwise(acc["entry_i"]).alias("entry_i"),
             F.when(closes, F.concat(acc["trades"], done)).otherwise(acc["trades"]).alias("trades"))
 
-    folded = runs.select("session", "ticker", "grid_index", *RULE_COLUMNS, "session_end", F.element_at("bars", -1).alias("last"),
+    folded = runs.select("session", "ticker", *config, *RULE_COLUMNS, "session_end", F.element_at("bars", -1).alias("last"),
                          F.aggregate("bars", start, step).alias("s"))
     final = F.when(F.col("last.i") == F.col("session_end"), F.col("last.price"))
     closing = F.array(F.struct(F.col("s.entry_i").alias("entry_i"), F.col("session_end").alias("exit_i"),
                                (F.coalesce(final, F.col("s.entry")) / F.col("s.entry")).alias("ratio"), F.lit("final_close").alias("reason"))).cast(trade)
     trades = F.when(F.col("s.open"), F.concat("s.trades", closing)).otherwise(F.col("s.trades"))
-    return folded.select("session", "ticker", "grid_index", *RULE_COLUMNS, F.explode_outer(trades).alias("t")).select(
-        "session", "ticker", "grid_index", *RULE_COLUMNS, "t.*")
+    return folded.select("session", "ticker", *config, *RULE_COLUMNS, F.explode_outer(trades).alias("t")).select(
+        "session", "ticker", *config, *RULE_COLUMNS, "t.*")
 
 
 def sweep_trials(trades: DataFrame) -> DataFrame:
@@ -236,43 +244,47 @@ def stability_surface(trials: DataFrame) -> DataFrame:
 
 # --- strategy families -----------------------------------------------------------------------
 
-def _family(spark, name: str, axes: Mapping[str, Sequence], **rules: Column) -> DataFrame:
+def _family(rows: DataFrame, name: str, axes: Mapping[str, Sequence], **rules: Column) -> DataFrame:
     base = {"source": F.lit("equity_gap"), "direction": F.lit("fade"), "entry_pct": F.lit(0.35), "exit_pct": F.lit(0.05),
             "take_profit_pct": F.lit(0.75), "stop_loss_pct": F.lit(2.0), "max_hold": F.lit(30), "notional_pct": F.lit(0.25),
             "max_concurrent": F.lit(3)}
     base.update(rules)
-    grid = with_grid(spark.range(1).select(F.lit(name).alias("family")), {f"p_{k}": v for k, v in axes.items()})
+    grid = with_grid(rows.withColumn("family", F.lit(name)), {f"p_{k}": v for k, v in axes.items()})
     ident = F.concat_ws("_", F.lit(name), *[F.regexp_replace(F.col(f"p_{k}").cast("string"), "[^a-zA-Z0-9]", "_") for k in axes])
-    return grid.select(ident.alias("config_id"), "family", *[
+    return grid.select(*rows.columns, ident.alias("config_id"), "family", *[
         v.cast({"source": "string", "direction": "string", "max_hold": "long", "max_concurrent": "long"}.get(k, "double")).alias(k) for k, v in base.items()])
 
 
-def strategy_families(spark) -> DataFrame:
-    """Six families of strategies, each a parameter grid mapped onto one rule row."""
+def strategy_families(rows: DataFrame, sizing: bool = True) -> DataFrame:
+    """Repeat each row for every strategy of six families, each a parameter grid mapped onto one rule row.
+
+    Without ``sizing`` the grid axes that only scale a position are left out.
+    """
+    size_axes = {"notional": [0.25, 0.5, 0.65], "conc": [2, 5, 8]} if sizing else {"notional": [0.25], "conc": [2]}
     p = lambda n: F.col(f"p_{n}")
-    fade = _family(spark, "GapFade", {
+    fade = _family(rows, "GapFade", {
         "source": ["equity_gap", "perp_gap"], "entry": [0.1, 0.2, 0.35, 0.5, 0.75], "exit": [0.0, 0.05, 0.1], "tp": [0.75, 1.25, 2.0],
-        "sl": [0.75, 1.25, 2.5], "hold": [15, 30, 90, 9999], "notional": [0.25, 0.5, 0.65], "conc": [2, 5, 8]},
+        "sl": [0.75, 1.25, 2.5], "hold": [15, 30, 90, 9999], **size_axes},
         source=p("source"), entry_pct=p("entry"), exit_pct=p("exit"), take_profit_pct=p("tp"), stop_loss_pct=p("sl"), max_hold=p("hold"),
         notional_pct=p("notional"), max_concurrent=p("conc")).filter("exit_pct <= entry_pct")
-    grid = _family(spark, "GridAroundAnchor", {"entry": [20, 40, 60, 80, 120], "step": [10, 20, 30], "levels": [1, 2, 3], "tp": [10, 20, 40]},
+    grid = _family(rows, "GridAroundAnchor", {"entry": [20, 40, 60, 80, 120], "step": [10, 20, 30], "levels": [1, 2, 3], "tp": [10, 20, 40]},
                    entry_pct=p("entry") / 100, exit_pct=F.least(p("entry") / 100, p("step") / 100), take_profit_pct=p("tp") / 100,
                    stop_loss_pct=F.greatest(F.lit(0.8), (p("entry") + p("step") * p("levels")) / 100), max_hold=F.lit(90),
                    notional_pct=F.least(F.lit(0.55), 0.15 * p("levels")), max_concurrent=F.least(F.lit(8), p("levels") * 2))
-    vol = _family(spark, "VolTargetGapFade", {"look": [3, 5, 10, 20], "target": [10, 15, 20, 30], "cap": [25, 50, 100, 200], "gap": [30, 60, 100]},
+    vol = _family(rows, "VolTargetGapFade", {"look": [3, 5, 10, 20], "target": [10, 15, 20, 30], "cap": [25, 50, 100, 200], "gap": [30, 60, 100]},
                   entry_pct=p("gap") / 100, take_profit_pct=F.greatest(F.lit(0.4), p("gap") / 120),
                   stop_loss_pct=F.greatest(F.lit(1.0), p("gap") / 50), max_hold=F.when(p("look") <= 5, 30).otherwise(90),
                   notional_pct=F.least(F.lit(0.65), p("cap") / 300), max_concurrent=F.when(p("target") >= 20, 5).otherwise(3))
-    cross = _family(spark, "CrossSectionMomentum", {"look": [60, 180, 360, 720], "top": [1, 2, 3, 5], "reb": [30, 60, 180], "liq": [0.5, 0.7, 0.85]},
+    cross = _family(rows, "CrossSectionMomentum", {"look": [60, 180, 360, 720], "top": [1, 2, 3, 5], "reb": [30, 60, 180], "liq": [0.5, 0.7, 0.85]},
                     direction=F.lit("momentum"), entry_pct=F.when(p("liq") >= 0.85, 0.2).otherwise(0.35),
                     take_profit_pct=F.when(p("look") >= 360, 1.5).otherwise(0.75), stop_loss_pct=F.when(p("liq") >= 0.7, 1.25).otherwise(2.0),
                     max_hold=F.greatest(F.lit(5), F.floor(p("reb") / 5 + 0.5)), notional_pct=F.least(F.lit(0.5), 0.15 * p("top")),
                     max_concurrent=p("top"))
-    trend = _family(spark, "TrendOvernight", {"fast": [3, 5, 8], "slow": [13, 21, 34], "atr": [7, 10, 14], "mult": [2, 3, 4], "str": [0.2, 0.5, 0.8]},
+    trend = _family(rows, "TrendOvernight", {"fast": [3, 5, 8], "slow": [13, 21, 34], "atr": [7, 10, 14], "mult": [2, 3, 4], "str": [0.2, 0.5, 0.8]},
                     source=F.lit("perp_gap"), direction=F.lit("momentum"), entry_pct=p("str"), exit_pct=F.lit(0.0),
                     take_profit_pct=F.when(p("mult") >= 3, 1.25).otherwise(0.75), stop_loss_pct=F.greatest(F.lit(0.75), p("atr") / 10),
                     max_hold=p("slow"))
-    illusion = _family(spark, "PerpIllusionFade", {"perp": [10, 25, 50], "true": [50, 100, 150], "spread": [20, 40, 80], "grade": ["A", "B", "C"]},
+    illusion = _family(rows, "PerpIllusionFade", {"perp": [10, 25, 50], "true": [50, 100, 150], "spread": [20, 40, 80], "grade": ["A", "B", "C"]},
                        entry_pct=p("true") / 100, exit_pct=p("perp") / 100, take_profit_pct=p("true") / 120,
                        stop_loss_pct=F.greatest(F.lit(1.25), p("true") / 60), max_hold=F.lit(9999),
                        notional_pct=F.when(p("spread") <= 40, 0.45).otherwise(0.25), max_concurrent=F.when(p("grade") == "A", 5).otherwise(3))

@@ -140,7 +140,7 @@ def events_prov(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("kind"), F.col("event_type").alias("source"), F.col("ticker").alias("instrument"),
         F.col("ts").alias("effective_at"), (F.col("ts") + F.col("k") * 60_000).alias("observed_at"),
         (F.col("ts") + F.col("k") * 60_000).alias("received_at"),
-        (F.col("event_id") - F.col("event_id") % 4).alias("sequence"),
+        F.floor(F.col("ts") / 7_200_000).alias("sequence"),
         F.struct(
             F.when(~bad & (F.col("k") % 17 != 0), F.col("price") - half * sign).alias("bid"),
             F.when(~bad & (F.col("k") % 19 != 0), F.col("price") + half * sign).alias("ask"),
