@@ -84,7 +84,7 @@ def _(spark, sf):
     from ..operators.ordered import dense_index
     o = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("account_id"), "o_orderkey", A.epoch_ms("o_orderdate").alias("ts"))
     k = F.col("o_orderkey")
-    j = dense_index(o, ["account_id"], ["o_orderkey"], F.floor(k / 1_000_000), "i")
+    j = dense_index(o, ["account_id"], ["o_orderkey"], F.col("o_orderkey"), "i")
     j = j.select("account_id", (F.col("i") + 1 + F.when(k % 17 == 0, 1).otherwise(0)).alias("sequence"),
                  F.concat(F.lit("e"), (k - F.when(k % 300 == 1, 1).otherwise(0)).cast("string")).alias("id"), "ts")
     return L.journal_check(j)
@@ -115,7 +115,7 @@ ORDER_EVENTS = f"""oe0 AS (
 @query("order_lifecycle_audit", "WITH RECURSIVE " + ORDER_EVENTS + """
   SELECT order_id, max(rn) AS events, CASE WHEN max_by(st, rn) NOT LIKE '!%' THEN max_by(st, rn) END AS status, CASE WHEN max_by(st, rn) LIKE '!%' THEN substr(max_by(st, rn), 2) END AS violation, max(vseq) AS violation_seq FROM ow GROUP BY order_id""")
 def _(spark, sf):
-    return L.lifecycle_audit(L.order_lifecycle(A.order_events(spark, sf), F.floor(F.col("seq") / 10**12)))
+    return L.lifecycle_audit(L.order_lifecycle(A.order_events(spark, sf), F.col("seq")))
 
 
 @query("queue_progress", f"""WITH t AS (
@@ -124,7 +124,7 @@ def _(spark, sf):
   SELECT *, sum(v) OVER (PARTITION BY order_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM t)
   SELECT order_id, max(greatest(0, least(oq, cum - ahead))) AS filled_qty, sum(greatest(0, least(oq, cum - ahead)) - greatest(0, least(oq, cum - v - ahead))) AS fill_qty, min(greatest(0, ahead - cum)) AS ahead_left FROM c GROUP BY order_id""")
 def _(spark, sf):
-    q = L.queue_progress(A.queue_trades(spark, sf), F.floor(F.col("seq") / 10**12))
+    q = L.queue_progress(A.queue_trades(spark, sf), F.col("seq"))
     return q.groupBy("order_id").agg(F.max("filled_qty").alias("filled_qty"), F.sum("fill_qty").alias("fill_qty"), F.min("ahead_left").alias("ahead_left"))
 
 

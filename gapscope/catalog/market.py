@@ -11,6 +11,7 @@ from ..functions import rules as R
 from ..operators import peg as G
 from ..operators import platform as PL
 from ..operators.ordered import asof_join
+from ..session import cut_lineage
 from ..sources import adapters as A
 from . import sqlbase as Q
 from .core import query
@@ -101,7 +102,7 @@ def _(spark, sf):
 
 
 NEWS_CTX = """pts AS (SELECT DISTINCT ticker, snap_ts AS now FROM peg), alias(ticker, pat) AS (VALUES """ + ", ".join(
-    f"('{t}', '{G.mention_pattern(a)}')" for t, a in ALIASES.items()) + f"""), named AS (
+    f"('{t}', '{G.mention_pattern(a)}')" for t, names in ALIASES.items() for a in names) + f"""), named AS (
   SELECT a.ticker, n.published_at AS t, n.news_id, n.title, regexp_matches(n.title, '{CATALYST}') AS catalyst, regexp_matches(n.title, '{EARNINGS}') AS earnings
   FROM news n JOIN alias a ON regexp_matches(n.title, a.pat)), rel AS (
   SELECT p.ticker, p.now, count(n.t) AS relevant_count, count(n.t) FILTER (n.catalyst) AS cats, max_by(n.title, (n.t, n.news_id)) AS latest_title
@@ -115,18 +116,27 @@ NEWS_CTX = """pts AS (SELECT DISTINCT ticker, snap_ts AS now FROM peg), alias(ti
   FROM rel JOIN anyc USING (now) LEFT JOIN topl USING (ticker, now))"""
 
 
-def points(spark, sf):
-    return A.peg(spark, sf).select("ticker", F.col("snap_ts").alias("now"))
+def recorded(spark, sf):
+    """Peg rows kept as the recorded table that several branches read."""
+    return cut_lineage(A.peg(spark, sf))
 
 
-def news_ctx(spark, sf):
-    return G.news_context(points(spark, sf), A.news(spark, sf), ALIASES, catalyst=CATALYST, earnings=EARNINGS)
+def points(peg):
+    return peg.select("ticker", F.col("snap_ts").alias("now"))
+
+
+def news_ctx(spark, sf, peg):
+    return G.news_context(points(peg), A.news(spark, sf), ALIASES, catalyst=CATALYST, earnings=EARNINGS)
+
+
+def macro_ctx(spark, sf, peg):
+    return G.macro_context(points(peg), A.macro_calendar(spark, sf))
 
 
 @query("news_context", Q.with_(Q.PEG, Q.NEWS, NEWS_CTX) + """
   SELECT ticker, now, recent_count, relevant_count, fresh, matched, earnings, latest_title FROM newsctx""")
 def _(spark, sf):
-    return news_ctx(spark, sf)
+    return news_ctx(spark, sf, recorded(spark, sf))
 
 
 MACRO_CTX = """macroctx AS (
@@ -139,7 +149,7 @@ MACRO_CTX = """macroctx AS (
 @query("macro_context", Q.with_(Q.PEG, Q.MACRO, MACRO_CTX) + """
   SELECT ticker, now, date, macro_severity, macro_severity = 'high' AS macro_active FROM macroctx""")
 def _(spark, sf):
-    return G.macro_context(points(spark, sf), A.macro_calendar(spark, sf))
+    return macro_ctx(spark, sf, recorded(spark, sf))
 
 
 CONTEXT = """context AS (
@@ -149,7 +159,8 @@ FULL = (Q.PEG, Q.NEWS, NEWS_CTX, Q.MACRO, MACRO_CTX, CONTEXT, Q.CAUSE)
 
 
 def classified(spark, sf):
-    return G.classify(A.peg(spark, sf), news_ctx(spark, sf), G.macro_context(points(spark, sf), A.macro_calendar(spark, sf)))
+    peg = recorded(spark, sf)
+    return G.classify(peg, news_ctx(spark, sf, peg), macro_ctx(spark, sf, peg))
 
 
 @query("gap_risk_board", Q.with_(*FULL) + """
@@ -166,8 +177,9 @@ def _(spark, sf):
          CASE WHEN n.fresh OR m.macro_severity = 'high' THEN 'high' WHEN m.macro_severity = 'medium' THEN 'medium' ELSE 'none' END AS severity
   FROM newsctx n JOIN macroctx m USING (ticker, now)""")
 def _(spark, sf):
-    m = G.macro_context(points(spark, sf), A.macro_calendar(spark, sf)).select("ticker", "now", "macro_active", "macro_severity")
-    both = news_ctx(spark, sf).join(m, ["ticker", "now"])
+    peg = recorded(spark, sf)
+    m = macro_ctx(spark, sf, peg).select("ticker", "now", "macro_active", "macro_severity")
+    both = news_ctx(spark, sf, peg).join(m, ["ticker", "now"])
     return both.select("ticker", "now", R.perception(F.col("fresh"), F.col("macro_active"), F.col("macro_severity")).alias("p")
                        ).select("ticker", "now", "p.*")
 
@@ -460,7 +472,7 @@ def _(spark, sf):
 def _(spark, sf):
     q = A.quotes(spark, sf).filter(F.col("leg") == "token")
     i = A.intents(spark, sf).select("intent_id", "ticker", "ts")
-    return asof_join(i, q, ["ticker"], "ts", "ts", ["event_id", "last"], lambda t: F.floor(t / A.HOUR_MS), tie=["event_id"])
+    return asof_join(i, q, ["ticker"], "ts", "ts", ["event_id", "last"], tie=["event_id"])
 
 
 @query("asof_forward", Q.with_(Q.QUOTES, Q.INTENTS) + """, tq AS (SELECT ticker, ts, event_id, last FROM quotes WHERE leg = 'token'), fin AS (

@@ -452,7 +452,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = A.premium(spark, sf)
     smp = p.groupBy("instrument", F.year(F.timestamp_millis("ts")).alias("yr")).agg(F.avg("premium_pct").alias("v"))
-    return C.bootstrap_mean_ci(smp, "v", ["instrument", "yr"], F.col("instrument"))
+    return C.bootstrap_mean_ci(smp, "v", ["instrument", "yr"], None)
 
 
 def entries(spark, sf):

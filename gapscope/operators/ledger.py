@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as P
 from ..functions.numeric import ratio
-from .ordered import CHUNK_ROWS, previous_row, running
+from .ordered import CHUNK_ROWS, add_slice, hot_keys, previous_row, running
 from .scans import affine_scan, automaton_scan
 
 SPOT_FEE, PERP_FEE = 0.001, 0.0006
 FLAT = 1e-12
-MONTH_MS = 30 * 86_400_000
 
 
-def position_ledger(fills: DataFrame, order: Sequence[str] = ("ts", "event_key", "ship"), slice_ms: int = MONTH_MS,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def position_ledger(fills: DataFrame, order: Sequence[str] = ("ts", "event_key", "ship"), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running position, average cost, realised PnL, fee, funding and cash change of every event.
 
     ``fills``: account_id, symbol, market (spot/perp), side, qty, price, rate (funding events only, at mark
@@ -27,11 +25,12 @@ def position_ledger(fills: DataFrame, order: Sequence[str] = ("ts", "event_key",
     keys = ["account_id", "symbol"]
     funding = F.col("rate").isNotNull()
     signed = F.when(funding, 0.0).when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    rows = fills.withColumn("__d", signed)
-    slices = F.floor(F.col("ts") / slice_ms)
-    rows = running(rows, keys, order, {"__i": ("sum", F.lit(1).cast("long")), "__s": ("sum", F.col("__d"))}, slices)
+    by = F.col(order[0])
+    hot = hot_keys(fills, keys, by, chunk_rows)
+    rows = add_slice(fills.withColumn("__d", signed), keys, by, hot=hot)
+    rows = running(rows, keys, order, {"__i": ("sum", F.lit(1).cast("long")), "__s": ("sum", F.col("__d"))}, by)
     # Lowest running total before each row: how much selling below zero the spot floor has absorbed.
-    rows = running(rows, keys, order, {"__low": ("min", F.col("__s"))}, slices, exclusive=True)
+    rows = running(rows, keys, order, {"__low": ("min", F.col("__s"))}, by, exclusive=True)
     zero = F.lit(0.0)
     low_before = F.least(zero, F.coalesce("__low", zero))
     spot = F.col("market") == "spot"
@@ -45,7 +44,7 @@ def position_ledger(fills: DataFrame, order: Sequence[str] = ("ts", "event_key",
     a_ = F.when(d == 0, 1.0).when(n == 0, 0.0).when(adds, b / n).when(flips, 0.0).otherwise(1.0)
     b_ = F.when(d == 0, 0.0).when(n == 0, 0.0).when(adds, d * p / n).when(flips, p).otherwise(0.0)
     rows = rows.withColumn("__a", a_).withColumn("__b", b_).withColumn("__i", F.col("__i") - 1)
-    rows = affine_scan(rows, keys, "__i", "__a", "__b", "avg_cost", "avg_before", chunk_rows)
+    rows = affine_scan(rows, keys, "__i", "__a", "__b", "avg_cost", "avg_before", hot, chunk_rows)
     fee = F.when(funding, 0.0).otherwise(q * p * F.when(spot, SPOT_FEE).otherwise(PERP_FEE))
     sells = spot & (F.col("side") == "sell") & ~funding
     closes = ~spot & (d != 0) & ~adds
@@ -78,10 +77,10 @@ def mark_to_market(positions: DataFrame, marks: DataFrame, opening_cash: float =
         (F.sum("cash_change") + opening_cash + F.sum(value)).alias("equity"), F.sum("realized_pnl").alias("realized_pnl"))
 
 
-def journal_check(events: DataFrame, slice_ms: int = MONTH_MS) -> DataFrame:
+def journal_check(events: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """Gaps, regressions and duplicate ids of account journals (account_id, sequence, id, ts)."""
     rows = previous_row(events, ["account_id"], ["sequence", "id"], {"sequence": "prev_sequence", "ts": "prev_ts"},
-                        F.floor(F.col("sequence") / 1000))
+                        F.col("sequence"), slice_rows)
     copies = events.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     flagged = rows.select("account_id",
                           (F.col("sequence") != F.coalesce(F.col("prev_sequence") + 1, F.lit(1))).cast("int").alias("gap"),
@@ -127,7 +126,7 @@ def _lifecycle_table() -> list[list[int]]:
     return [[at[target(s, y)] for y in SYMBOLS] for s in STATES]
 
 
-def order_lifecycle(events: DataFrame, slice_by: Column | None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def order_lifecycle(events: DataFrame, slice_by: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """State of each order before and after each event; the first violation of an order sticks.
 
     ``events``: order_id, seq, type, reason, fill_qty, order_qty. Filled quantities are running sums, which
@@ -135,7 +134,8 @@ def order_lifecycle(events: DataFrame, slice_by: Column | None, chunk_rows: int
     """
     is_fill = F.col("type") == "Fill"
     good_fill = is_fill & F.coalesce(F.col("fill_qty") > 0, F.lit(False))
-    rows = running(events, ["order_id"], ["seq"], {
+    hot = hot_keys(events, ["order_id"], slice_by, chunk_rows)
+    rows = running(add_slice(events, ["order_id"], slice_by, hot=hot), ["order_id"], ["seq"], {
         "__i": ("sum", F.lit(1).cast("long")), "filled_qty": ("sum", F.when(good_fill, F.col("fill_qty")).otherwise(0.0))}, slice_by)
     symbol = (F.when(is_fill & ~good_fill, "Bad").when((F.col("type") == "Deny") & F.col("reason").isNull(), "Bad")
               .when(is_fill & (F.col("filled_qty") > F.col("order_qty") + 1e-9), "FillOver")
@@ -144,7 +144,7 @@ def order_lifecycle(events: DataFrame, slice_by: Column | None, chunk_rows: int
     for i, name in enumerate(SYMBOLS):
         code = F.when(symbol == name, i).otherwise(code)
     rows = rows.withColumn("__sym", F.coalesce(code, F.lit(SYMBOLS.index("Bad"))).cast("int")).withColumn("__i", F.col("__i") - 1)
-    scanned = automaton_scan(rows, ["order_id"], "__i", "__sym", _lifecycle_table(), "__after", "__before", chunk_rows)
+    scanned = automaton_scan(rows, ["order_id"], "__i", "__sym", _lifecycle_table(), "__after", "__before", hot, chunk_rows)
     names = F.array(*[F.lit(s) for s in STATES])
     return scanned.select(*events.columns, "filled_qty", F.get(names, F.col("__before")).alias("status_before"),
                           F.get(names, F.col("__after")).alias("status_after"))

@@ -1,9 +1,9 @@
 """Ordered operators that stay parallel when one key holds a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` sorts each key in one task. The operators here cut a key into
-slices (a monotone function of its order, such as the hour), work inside each slice, and carry a
-one-row summary per slice over the slices of the key. Results equal the plain window exactly, but
-for the last bits of floating sums.
+A plain ``Window.partitionBy(key)`` sorts each key in one task. Here a cheap count finds the hot keys;
+each of those is cut into slices along its order, worked on per slice, and the one-row summaries of the
+slices are carried along the key. Other keys take the plain path in the same plan. Results equal the
+plain window, but for the last bits of floating sums.
 """
 from __future__ import annotations
 
@@ -13,10 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
+SLICE_ROWS = 1_000_000
 
 _SLICE = "__slice"
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], by: Column, rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows, with the origin and width of their slices.
+
+    The table holds at most (all rows / ``rows``) keys, which bounds its broadcast: half a million keys per
+    5e11 rows at the default.
+    """
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(by).alias("__lo"), F.max(by).alias("__hi"))
+    width = F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo")) * float(rows) / F.col("__n"))
+    return agg.filter(F.col("__n") > rows).select(*keys, "__n", "__lo", width.alias("__width"))
+
+
+def add_slice(df: DataFrame, keys: Sequence[str], by: Column, rows: int = SLICE_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """Number the slices of hot keys along ``by``; NULL for every other key."""
+    table = hot if hot is not None else hot_keys(df, keys, by, rows)
+    joined = df.withColumn("__by", by).join(F.broadcast(table), list(keys), "left")
+    spot = F.floor((F.col("__by") - F.col("__lo")) / F.col("__width"))
+    return joined.select(*df.columns, spot.alias(_SLICE))
+
+
 def _local(kind: str, value: Column, win) -> Column:
     if kind == "sum":
         return F.sum(value).over(win)
@@ -56,12 +76,14 @@ def running(
     slice_by: Column | None,
     exclusive: bool = False,
     reverse: bool = False,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min``/``last`` (non-null) from the start of each key.
 
     ``exclusive`` leaves out the current row. ``reverse`` runs from the end of the key, so ``last``
-    then means the next non-null value. ``slice_by`` must be monotone in ``order``; pass ``None``
-    only where the rows of a key are bounded by construction.
+    then means the next non-null value. ``slice_by`` is a number that never falls along ``order``; pass
+    ``None`` only where the rows of a key are bounded by construction. Slices already numbered by
+    ``add_slice`` are used and kept, so several passes share one partitioning.
     """
     end = -1 if exclusive else Window.currentRow
     by = [F.col(c).desc() if reverse else F.col(c) for c in order]
@@ -69,12 +91,13 @@ def running(
         win = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[_local(k, v, win).alias(n) for n, (k, v) in aggs.items()])
 
-    base = df.withColumn(_SLICE, slice_by)
+    base = df if _SLICE in df.columns else add_slice(df, keys, slice_by, slice_rows or SLICE_ROWS)
     groups = [*keys, _SLICE]
     win = Window.partitionBy(*groups).orderBy(*by).rowsBetween(Window.unboundedPreceding, end)
     local = base.select("*", *[_local(k, v, win).alias(f"__l_{n}") for n, (k, v) in aggs.items()])
 
-    totals = base.groupBy(*groups).agg(
+    # Summaries exist for hot keys only; where there is none, this branch is empty and drops out at run time.
+    totals = base.filter(F.col(_SLICE).isNotNull()).groupBy(*groups).agg(
         *[_total(k, v, order, reverse).alias(f"__t_{n}") for n, (k, v) in aggs.items()]
     )
     slice_order = F.col(_SLICE).desc() if reverse else F.col(_SLICE)
@@ -90,18 +113,19 @@ def running(
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], slice_by: Column | None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], slice_by: Column | None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """``lag`` by one row of several columns (``{source: output}``), nulls included."""
     packed = F.struct(*[F.col(s).alias(o) for s, o in columns.items()])
-    out = running(df, keys, order, {"__prev": ("last", packed)}, slice_by, exclusive=True)
+    out = running(df, keys, order, {"__prev": ("last", packed)}, slice_by, exclusive=True, slice_rows=slice_rows)
     return out.select(*df.columns, *[F.col(f"__prev.{o}").alias(o) for o in columns.values()])
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None,
-                index: str = "idx") -> DataFrame:
+                index: str = "idx", slice_rows: int | None = None) -> DataFrame:
     """Zero-based position of each row inside its key."""
-    out = running(df, keys, order, {index: ("sum", F.lit(1).cast("long"))}, slice_by)
+    out = running(df, keys, order, {index: ("sum", F.lit(1).cast("long"))}, slice_by, slice_rows=slice_rows)
     return out.withColumn(index, F.col(index) - 1)
 
 
@@ -143,9 +167,9 @@ def asof_join(
     left_time: str,
     right_time: str,
     values: Sequence[str],
-    slice_by: Callable[[Column], Column],
     forward: bool = False,
     tie: Sequence[str] = (),
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Latest right row at or before each left row (or the first at or after it).
 
@@ -163,8 +187,8 @@ def asof_join(
                     F.struct(*left.columns).alias("__left"))
     both = r.unionByName(l, allowMissingColumns=True)
     order = ["__t", "__side", *[f"__tie{i}" for i in range(len(tie))]]
-    filled = running(both, keys, order, {"__hit": ("last", F.col("__right"))}, slice_by(F.col("__t")),
-                     reverse=forward)
+    filled = running(both, keys, order, {"__hit": ("last", F.col("__right"))}, F.col("__t"),
+                     reverse=forward, slice_rows=slice_rows)
     rows = filled.filter(F.col("__left").isNotNull())
     return rows.select("__left.*", F.col("__hit.matched_time").alias("matched_time"),
                        *[F.col(f"__hit.{v}").alias(v) for v in values])

@@ -1,6 +1,7 @@
 """Instrument ticks: leg assembly, derived gap columns, event cards, perception, certificates."""
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -93,7 +94,7 @@ def merge_cards(*lists: DataFrame) -> DataFrame:
 # --- perception ------------------------------------------------------------------------------
 
 def interval_counts(points: DataFrame, events: DataFrame, keys: Sequence[str], flags: Sequence[str],
-                    slice_ms: int = HOUR_MS, include_lo: bool = True, dtype: str = "long") -> DataFrame:
+                    slice_rows: int | None = None, include_lo: bool = True, dtype: str = "long") -> DataFrame:
     """Running totals of the flagged events up to ``lo`` and up to ``hi`` of each point.
 
     Two readings of one running sum; no (point, event) pair is formed. ``points`` holds the keys, ``lo``
@@ -106,28 +107,39 @@ def interval_counts(points: DataFrame, events: DataFrame, keys: Sequence[str], f
     pid = F.struct("lo", "hi").alias("p")
     axis = axis.unionByName(points.select(*k, F.col("lo").alias("t"), F.lit(lo_side).alias("side"), F.lit("lo").alias("end"), *zero, pid), allowMissingColumns=True)
     axis = axis.unionByName(points.select(*k, F.col("hi").alias("t"), F.lit(2).alias("side"), F.lit("hi").alias("end"), *zero, pid), allowMissingColumns=True)
-    summed = running(axis, k, ["t", "side"], {f"__{f}": ("sum", F.col(f)) for f in flags}, F.floor(F.col("t") / slice_ms))
+    summed = running(axis, k, ["t", "side"], {f"__{f}": ("sum", F.col(f)) for f in flags}, F.col("t"), slice_rows=slice_rows)
     ends = summed.filter(F.col("p").isNotNull()).groupBy(*k, "p").agg(
         *[F.max(F.when(F.col("end") == n, F.col(f"__{f}"))).alias(f"{f}_{n}") for f in flags for n in ("lo", "hi")])
     return ends.select(*k, "p.lo", "p.hi", *[f"{f}_{n}" for f in flags for n in ("lo", "hi")])
 
 
-def mention_pattern(aliases: Sequence[str]) -> str:
-    """Whole-word match for plain words, substring otherwise; case is ignored."""
-    import re
-    parts = []
-    for a in aliases:
-        esc = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", a)
-        parts.append(rf"(^|[^A-Za-z0-9_]){esc}($|[^A-Za-z0-9_])" if re.fullmatch(r"[A-Za-z0-9]+", a) else esc)
-    return "(?i)" + "|".join(parts)
+def mention_pattern(alias: str) -> str:
+    """Whole-word pattern of a plain word, substring pattern of anything else; case is ignored."""
+    esc = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", alias)
+    return f"(?i)(^|[^A-Za-z0-9_]){esc}($|[^A-Za-z0-9_])" if re.fullmatch(r"[A-Za-z0-9]+", alias) else f"(?i){esc}"
 
 
 def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: str = R.CATALYST,
              earnings: str = R.EARNINGS) -> DataFrame:
-    """One row per headline and ticker it names; the alias list is a fixed dimension."""
-    tickers = F.array_compact(F.array(*[
-        F.when(F.col("title").rlike(mention_pattern(names)), F.lit(t)) for t, names in aliases.items()]))
-    return news.filter(F.col("published_at") > 0).select(
+    """One row per headline and ticker it names; the alias list is a fixed dimension.
+
+    Plain words are found by cutting each text into words once, however many tickers there are; names
+    with other characters are searched as phrases.
+    """
+    plain = {t: [a.lower() for a in names if re.fullmatch(r"[A-Za-z0-9]+", a)] for t, names in aliases.items()}
+    wanted = F.array(*[F.lit(a) for a in sorted({a for names in plain.values() for a in names})]).cast("array<string>")
+    words = F.transform(F.array_distinct(F.split("title", "[^A-Za-z0-9_]+")), F.lower)
+    rows = news.filter(F.col("published_at") > 0).withColumn("__w", F.array_intersect(words, wanted))
+
+    def named(ticker: str) -> Column:
+        words = F.arrays_overlap("__w", F.array(*[F.lit(a) for a in plain[ticker]]).cast("array<string>"))
+        for a in aliases[ticker]:
+            if a.lower() not in plain[ticker]:
+                words = words | F.col("title").rlike(mention_pattern(a))
+        return words
+
+    tickers = F.array_compact(F.array(*[F.when(named(t), F.lit(t)) for t in aliases]))
+    return rows.select(
         F.explode(tickers).alias("ticker"), F.col("published_at").alias("t"), "news_id", "title",
         F.col("title").rlike(catalyst).alias("catalyst"), F.col("title").rlike(earnings).alias("earnings"))
 
@@ -142,7 +154,7 @@ def news_context(points: DataFrame, news: DataFrame, aliases: Mapping[str, Seque
     # One pass over the texts; the narrow mention table is kept in the shared folder for its four readers.
     named = cut_lineage(mentions(news, aliases, catalyst, earnings).drop("title"))
     counted = running(named, ["ticker"], ["t", "news_id"], {
-        "rel_i": ("sum", F.lit(1).cast("long")), "cat_i": ("sum", F.col("catalyst").cast("long"))}, F.floor(F.col("t") / HOUR_MS))
+        "rel_i": ("sum", F.lit(1).cast("long")), "cat_i": ("sum", F.col("catalyst").cast("long"))}, F.col("t"))
     flagged = named.select("ticker", "t", F.lit(1).alias("rel"), F.col("catalyst").cast("int").alias("cat"))
     own = interval_counts(asked, flagged, ["ticker"], ["rel", "cat"])
     every = interval_counts(

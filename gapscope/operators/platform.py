@@ -10,7 +10,6 @@ from ..functions import quality as QL
 from ..functions.hashing import canonical_hash
 from .ordered import previous_row, running
 
-HOUR_MS = 3_600_000
 STREAM = ("source", "kind", "instrument")
 
 # Reliability and age limits of the known sources.
@@ -40,11 +39,11 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(fine).drop("reject_reasons"), checked.filter(~fine)
 
 
-def sequence_status(df: DataFrame, slice_ms: int = HOUR_MS, keys: Sequence[str] = STREAM) -> DataFrame:
+def sequence_status(df: DataFrame, keys: Sequence[str] = STREAM, slice_rows: int | None = None) -> DataFrame:
     """Compare each sequence number with the highest one that arrived before it on its stream."""
     prior = running(df, keys, ["received_at", "event_id"],
-                    {"prior_sequence": ("max", F.col("sequence"))}, F.floor(F.col("received_at") / slice_ms),
-                    exclusive=True)
+                    {"prior_sequence": ("max", F.col("sequence"))}, F.col("received_at"),
+                    exclusive=True, slice_rows=slice_rows)
     p, s = F.col("prior_sequence"), F.col("sequence")
     status = (F.when(s.isNull(), "unsequenced").when(p.isNull(), "first").when(s <= p, "regression").when(s == p + 1, "contiguous").otherwise("gap"))
     return prior.withColumn("sequence_status", status).withColumn("expected_sequence", p + 1)
@@ -73,9 +72,9 @@ def add_quality(rows: DataFrame, sequence_status: Column) -> DataFrame:
     return out.withColumn("quality", QL.merge_all([F.col(p) for p in parts])).drop(*parts)
 
 
-def assess(df: DataFrame, policies: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def assess(df: DataFrame, policies: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """Quality of every event from its source policy, its payload and its sequence."""
-    rows = sequence_status(df, slice_ms).join(F.broadcast(policies), "source", "left")
+    rows = sequence_status(df, slice_rows=slice_rows).join(F.broadcast(policies), "source", "left")
     return add_quality(rows, F.col("sequence_status")).select(*df.columns, "sequence_status", "expected_sequence", "quality")
 
 
@@ -125,10 +124,10 @@ def replay(store: DataFrame, as_of: int, kinds: Sequence[str] | None = None, ins
     return out
 
 
-def _floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+def _floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], slice_rows: int | None = None) -> DataFrame:
     """Exact percentile at index floor((n-1)*q), from counts per distinct value."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running(counts, keys, [value], {"__upto": ("sum", F.col("__c"))}, F.floor(F.col(value) / 60_000))
+    cum = running(counts, keys, [value], {"__upto": ("sum", F.col("__c"))}, F.col(value), slice_rows=slice_rows)
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     spans = cum.join(total, list(keys))
     picks = []
@@ -139,7 +138,7 @@ def _floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles
     return spans.groupBy(*keys).agg(*picks)
 
 
-def coverage(df: DataFrame, interval_ms: int = 300_000, keys: Sequence[str] = STREAM, slice_ms: int = HOUR_MS) -> DataFrame:
+def coverage(df: DataFrame, interval_ms: int = 300_000, keys: Sequence[str] = STREAM, slice_rows: int | None = None) -> DataFrame:
     """Per-stream counts, latency percentiles, cadence gaps and estimated missing intervals."""
     k = list(keys)
     rows = df.withColumn("latency_ms", F.greatest(F.lit(0), F.col("received_at") - F.col("effective_at")))
@@ -148,10 +147,10 @@ def coverage(df: DataFrame, interval_ms: int = 300_000, keys: Sequence[str] = ST
         F.count(F.lit(1)).alias("events"), *[F.sum(F.when(status == s, 1).otherwise(0)).alias(s) for s in QL.STATUSES],
         F.min("received_at").alias("first_received_at"), F.max("received_at").alias("last_received_at"),
         F.max("latency_ms").alias("max_latency_ms"))
-    p = _floor_percentiles(rows, k, "latency_ms", (0.5, 0.95)).select(
+    p = _floor_percentiles(rows, k, "latency_ms", (0.5, 0.95), slice_rows).select(
         *k, F.col("p50").alias("p50_latency_ms"), F.col("p95").alias("p95_latency_ms"))
     steps = previous_row(rows.select(*k, "received_at", "event_id"), k, ["received_at", "event_id"],
-                         {"received_at": "prev_received_at"}, F.floor(F.col("received_at") / slice_ms))
+                         {"received_at": "prev_received_at"}, F.col("received_at"), slice_rows)
     delta = F.col("received_at") - F.col("prev_received_at")
     late = delta > interval_ms * 1.5
     gaps = steps.groupBy(*k).agg(

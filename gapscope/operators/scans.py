@@ -2,7 +2,8 @@
 
 Both maps compose, so a chunk is summarised by one map, the summaries of a key are chained, and the
 chunks are then replayed in parallel from their known start. A key with a third of all rows thus
-spreads over as many tasks as it has chunks.
+spreads over as many tasks as it has chunks. ``hot`` names the keys longer than a chunk (``hot_keys`` with
+``chunk_rows``); without any, only the replay runs.
 """
 from __future__ import annotations
 
@@ -26,20 +27,20 @@ def _with_chunk(df: DataFrame, index: str, chunk_rows: int) -> DataFrame:
     return df.withColumn("__chunk", F.floor(F.col(index) / chunk_rows).cast("long"))
 
 
-def _full_chunks(chunked: DataFrame, group: Sequence[str], chunk_rows: int) -> DataFrame:
-    """Rows of the chunks that have a successor; keys shorter than one chunk drop out early."""
-    sizes = chunked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == chunk_rows)
-    return chunked.join(sizes.drop("__n"), group, "left_semi")
+def _full_chunks(chunked: DataFrame, keys: Sequence[str], hot: DataFrame, chunk_rows: int) -> DataFrame:
+    """Rows of the chunks that have a successor. Only keys in ``hot`` can have one."""
+    sized = chunked.join(F.broadcast(hot.select(*keys, "__n")), list(keys))
+    return sized.filter((F.col("__chunk") + 1) * chunk_rows < F.col("__n")).drop("__n")
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], index: str, a: str, b: str, out: str, out_prev: str,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                hot: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``x[n] = a[n] * x[n-1] + b[n]`` from 0, with the value before the row in ``out_prev``."""
     keys = list(keys)
     chunked = _with_chunk(df, index, chunk_rows)
     group = [*keys, "__chunk"]
 
-    full = _full_chunks(chunked, group, chunk_rows)
+    full = _full_chunks(chunked, keys, hot, chunk_rows)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, aa, bb = None, 1.0, 0.0
@@ -94,13 +95,13 @@ def affine_scan(df: DataFrame, keys: Sequence[str], index: str, a: str, b: str,
 
 
 def automaton_scan(df: DataFrame, keys: Sequence[str], index: str, symbol: str, table: Sequence[Sequence[int]],
-                   out: str, out_prev: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   out: str, out_prev: str, hot: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """State of a finite automaton before and after each row; ``table[state][symbol]``, start state 0."""
     keys = list(keys)
     group = [*keys, "__chunk"]
     states = len(table)
     chunked = _with_chunk(df, index, chunk_rows)
-    full = _full_chunks(chunked, group, chunk_rows)
+    full = _full_chunks(chunked, keys, hot, chunk_rows)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, mapping = None, list(range(states))

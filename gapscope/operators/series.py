@@ -63,8 +63,7 @@ def over_series(df: DataFrame, before: int, after: int, columns: Callable[[objec
     if split_rows is None:
         win = Window.partitionBy(*keys).orderBy(order)
         return df.select("*", *[c.alias(n) for n, c in columns(win).items()])
-    slices = F.floor(F.col(order) / (30 * DAY_MS))
-    indexed = dense_index(df, keys, [order], slices, "__idx")
+    indexed = dense_index(df, keys, [order], F.col(order), "__idx", split_rows)
     return halo_window(indexed, keys, "__idx", before, after, columns, split_rows).drop("__idx")
 
 

@@ -10,19 +10,15 @@ from ..functions import rules as R
 from .ordered import asof_join
 from .peg import interval_counts
 
-HOUR_MS = 3_600_000
-DAY_MS = 86_400_000
 
-
-def judge_intents(intents: DataFrame, certificates: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def judge_intents(intents: DataFrame, certificates: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """Verdict of each intent under the newest certificate issued for its ticker by then.
 
     Certificates of a ticker expire in the order they were issued (fixed lifetime), so the newest one
     decides whether any is valid.
     """
     held = ["issued_at", "expires_at", "allowed_policy", "max_size_usd"]
-    both = asof_join(intents, certificates.select("ticker", *held), ["ticker"], "ts", "issued_at", held,
-                     lambda t: F.floor(t / slice_ms))
+    both = asof_join(intents, certificates.select("ticker", *held), ["ticker"], "ts", "issued_at", held, slice_rows=slice_rows)
     v = R.intent_verdict(F.col("issued_at").isNotNull(), F.coalesce(F.col("ts") <= F.col("expires_at"), F.lit(False)),
                          F.col("ticker"), F.col("ticker"), F.col("allowed_policy"), F.col("side"), F.col("size_usd"),
                          F.col("max_size_usd"))
@@ -35,7 +31,7 @@ def first_price_after(orders: DataFrame, prices: DataFrame, keys: Sequence[str],
     at = F.struct(price_time, *tie)
     final = prices.groupBy(*keys).agg(F.max_by(price, at).alias("__final"))
     hit = asof_join(orders, prices.select(*dict.fromkeys([*keys, price_time, price, *tie])), keys, time, price_time, [price],
-                    lambda t: F.floor(t / HOUR_MS), forward=True, tie=tie)
+                    forward=True, tie=tie)
     return hit.join(final, list(keys), "left").select(
         *orders.columns, F.coalesce(price, "__final").alias("fill_price"), "matched_time")
 
@@ -52,7 +48,7 @@ def split_factors(prices: DataFrame, actions: DataFrame, as_of: int) -> DataFram
                          F.when(good, F.ln(F.col("ratio_from") / F.col("ratio_to"))).otherwise(0.0).alias("log_ratio"),
                          F.when(good, 0.0).otherwise(1.0).alias("invalid"))
     spans = prices.select("instrument", F.col("ts").alias("lo"), F.col("target").alias("hi")).distinct()
-    sums = interval_counts(spans, steps, ["instrument"], ["log_ratio", "invalid"], 365 * DAY_MS, include_lo=False, dtype="double")
+    sums = interval_counts(spans, steps, ["instrument"], ["log_ratio", "invalid"], include_lo=False, dtype="double")
     factor = F.when(F.col("invalid_hi") == F.col("invalid_lo"), F.exp(F.col("log_ratio_hi") - F.col("log_ratio_lo")))
     return prices.join(sums.select("instrument", F.col("lo").alias("ts"), F.col("hi").alias("target"), factor.alias("factor")),
                        ["instrument", "ts", "target"])
