@@ -16,11 +16,13 @@ def tracking_error(aligned: DataFrame) -> DataFrame:
         "__tr": (F.col("token_close") - F.lag("token_close").over(w)) / F.lag("token_close").over(w),
         "__er": (F.col("equity_close") - F.lag("equity_close").over(w)) / F.lag("equity_close").over(w)}, order="day")
     prem = (F.col("token_close") - F.col("equity_close")) / F.col("equity_close") * 100
-    enough = (F.count("__tr") >= 3) & (F.var_pop("__tr") > 0) & (F.var_pop("__er") > 0)
+    # corr() raises on a flat series in ANSI mode, so the coefficient is built from its parts.
+    spread = F.stddev_pop("__tr") * F.stddev_pop("__er")
+    correlation = F.when(F.count("__tr") >= 3, ratio(F.covar_pop("__tr", "__er"), spread))
     return rows.groupBy("instrument").agg(
         F.count(F.lit(1)).alias("n_days"), F.avg(F.abs(prem)).alias("mean_abs_premium_pct"),
         F.stddev_pop(prem).alias("stdev_premium_pct"), F.max(F.abs(prem)).alias("max_abs_premium_pct"),
-        F.when(enough, F.corr("__tr", "__er")).alias("return_correlation"))
+        correlation.alias("return_correlation"))
 
 
 def tracking_grade(n_days: Column, mean_abs: Column) -> Column:
