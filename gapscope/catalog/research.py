@@ -289,8 +289,7 @@ def unit_trials(spark, sf):
 
 @query("signal_sweep", "WITH RECURSIVE " + ", ".join(ST) + ", " + SWEEP + " SELECT * FROM utrials", "unit_return unit_fees unit_drawdown")
 def _(spark, sf):
-    return unit_trials(spark, sf).select("grid_index", "session", "trades", "wins", "losses", "unit_return", "unit_fees", "unit_drawdown").withColumn(
-        "grid_index", F.col("grid_index").cast("long"))
+    return unit_trials(spark, sf).select("grid_index", "session", "trades", "wins", "losses", "unit_return", "unit_fees", "unit_drawdown")
 
 
 SIZED = SWEEP + """, trials AS (
@@ -394,8 +393,9 @@ def _(spark, sf):
 
 @query("family_sweep", None)
 def _(spark, sf):
-    series = cut_lineage(W.session_series(A.session_ticks(spark, sf)))
-    trades = W.fold_trades(W.strategy_families(series, sizing=False), ["family", "config_id"])
+    # The rule sets are parameters (a fixed table of the families), so they travel with the task.
+    table = W.strategy_families(spark.range(1), sizing=False).drop("id").toPandas()
+    trades = W.sweep_trades(A.session_ticks(spark, sf), table, ["family", "config_id"])
     net = F.col("ratio") * (1 - W.FEE) - (1 + W.FEE)
     per = trades.groupBy("family", "config_id").agg(F.count("ratio").alias("trades"), F.coalesce(F.sum(net), F.lit(0.0)).alias("unit_return"))
     return per.groupBy("family").agg(F.count(F.lit(1)).alias("configs"), F.sum("trades").alias("trades"), F.max("unit_return").alias("best_return"),
@@ -417,10 +417,11 @@ def _(spark, sf):
 def _(spark, sf):
     t = ticks(spark, sf)
     trials = W.size_trials(W.sweep_trials(W.sweep_trades(t)))
-    best = W.strategy_aggregate(trials, ["config_id", *W.RULE_COLUMNS]).orderBy(
+    best = W.with_rules(W.strategy_aggregate(trials, ["config_id", "grid_index"])).orderBy(
         "verdict", F.col("robustness_score").desc(), F.col("total_pnl").desc(), "config_id").first()
-    near = W.size_trials(W.sweep_trials(W.sweep_trades(t, W.neighbourhood(best.asDict()))), {"notional_pct": [0.35], "max_concurrent": [5]})
-    return W.stability_surface(near.withColumn("grid_index", F.col("config_order")))
+    axes = W.neighbourhood(best.asDict())
+    near = W.size_trials(W.sweep_trials(W.sweep_trades(t, axes)), {"notional_pct": [0.35], "max_concurrent": [5]})
+    return W.with_rules(W.stability_surface(near), axes)
 
 
 # --- controls --------------------------------------------------------------------------------

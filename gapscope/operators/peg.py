@@ -123,13 +123,14 @@ def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: st
              earnings: str = R.EARNINGS) -> DataFrame:
     """One row per headline and ticker it names; the alias list is a fixed dimension.
 
-    Plain words are found by cutting each text into words once, however many tickers there are; names
-    with other characters are searched as phrases.
+    All plain words are found in one pass over each text, however many tickers there are: whole words never
+    overlap, so one alternation misses none. Names with other characters are searched as phrases.
     """
     plain = {t: [a.lower() for a in names if re.fullmatch(r"[A-Za-z0-9]+", a)] for t, names in aliases.items()}
-    wanted = F.array(*[F.lit(a) for a in sorted({a for names in plain.values() for a in names})]).cast("array<string>")
-    words = F.transform(F.array_distinct(F.split("title", "[^A-Za-z0-9_]+")), F.lower)
-    rows = news.filter(F.col("published_at") > 0).withColumn("__w", F.array_intersect(words, wanted))
+    wanted = "|".join(sorted({a for names in plain.values() for a in names}))
+    pattern = rf"(?i)(?<![A-Za-z0-9_])(?:{wanted})(?![A-Za-z0-9_])" if wanted else r"(?!)"
+    words = F.transform(F.array_distinct(F.regexp_extract_all("title", F.lit(pattern), F.lit(0))), F.lower)
+    rows = news.filter(F.col("published_at") > 0).withColumn("__w", words)
 
     def named(ticker: str) -> Column:
         words = F.arrays_overlap("__w", F.array(*[F.lit(a) for a in plain[ticker]]).cast("array<string>"))

@@ -1,9 +1,12 @@
 """Strategy search: rule sweeps over session ticks, aggregation, selection and robustness."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 from math import prod
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,69 +44,114 @@ def config_id(*names: str) -> Column:
 
 
 RULE_COLUMNS = ("source", "direction", "entry_pct", "exit_pct", "take_profit_pct", "stop_loss_pct", "max_hold")
+RULE_TYPES = {"source": "string", "direction": "string", "max_hold": "long"}
+CONFIGS_PER_TASK = 2000
 
 
-def sweep_trades(ticks: DataFrame, axes: Mapping[str, Sequence] = STANDARD_GRID) -> DataFrame:
-    """Trades of every rule set on every (session, ticker), as independent sleeves.
-
-    ``ticks``: session, ticker, tick, true_gap_pct, premium_pct, price. A (session, ticker) holds one row
-    per snapshot, so the folded arrays are bounded by the length of a session. ``ratio`` is exit over entry
-    price.
-    """
-    runs = with_grid(session_series(ticks), axes).filter(F.col("exit_pct") <= F.col("entry_pct"))
-    return fold_trades(runs, ["grid_index"])
+def grid_configs(axes: Mapping[str, Sequence]) -> pd.DataFrame:
+    """All combinations of the axes that keep the exit within the entry, numbered in axis order."""
+    rows = pd.DataFrame(list(product(*axes.values())), columns=list(axes))
+    rows.insert(0, "grid_index", np.arange(len(rows), dtype="int64"))
+    return rows[rows["exit_pct"] <= rows["entry_pct"]].reset_index(drop=True)
 
 
 def session_series(ticks: DataFrame) -> DataFrame:
-    """Ticks of each (session, ticker) in order, with the session's last tick."""
+    """Ticks of each (session, ticker) in order as arrays, with the session's last tick.
+
+    One row per snapshot, so the arrays are bounded by the length of a session.
+    """
     bar = F.struct(F.col("tick").alias("i"), "true_gap_pct", "premium_pct", "price")
     ends = ticks.groupBy("session").agg(F.max("tick").alias("session_end"))
-    return ticks.groupBy("session", "ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars")).join(ends, "session")
-
-
-def fold_trades(runs: DataFrame, config: Sequence[str]) -> DataFrame:
-    """Run the rules of each row over its own bars; rows name their rule set in ``config``."""
-    trade = "array<struct<entry_i:bigint,exit_i:bigint,ratio:double,reason:string>>"
-    start = F.struct(F.lit(False).alias("open"), F.lit(0.0).alias("entry"), F.lit(0).cast("long").alias("entry_i"), F.array().cast(trade).alias("trades"))
-    momentum = F.col("direction") == "momentum"
-
-    def step(acc: Column, x: Column) -> Column:
-        g = F.when(F.col("source") == "equity_gap", x["true_gap_pct"]).otherwise(x["premium_pct"])
-        priced = F.coalesce(x["price"] > 0, F.lit(False))
-        pnl = (x["price"] - acc["entry"]) / acc["entry"] * 100
-        signal_out = F.when(momentum, g <= F.col("exit_pct")).otherwise(g >= -F.col("exit_pct"))
-        reason = (F.when(~(acc["open"] & priced), None).when(pnl >= F.col("take_profit_pct"), "take_profit")
-                  .when(pnl <= -F.col("stop_loss_pct"), "stop_loss").when(x["i"] - acc["entry_i"] >= F.col("max_hold"), "max_hold")
-                  .when(signal_out, "signal_exit"))
-        closes = reason.isNotNull()
-        wants = F.coalesce(F.when(momentum, g >= F.col("entry_pct")).otherwise(g <= -F.col("entry_pct")), F.lit(False))
-        opens = priced & wants & (~acc["open"] | closes)
-        done = F.array(F.struct(acc["entry_i"].alias("entry_i"), x["i"].alias("exit_i"), (x["price"] / acc["entry"]).alias("ratio"),
-                                reason.alias("reason"))).cast(trade)
-        return F.struct(
-            (opens | (acc["open"] & ~closes)).alias("open"), F.when(opens, x["price"]).otherwise(acc["entry"]).alias("entry"),
-            F.when(opens, x["i"]).otherwise(acc["entry_i"]).alias("entry_i"),
-            F.when(closes, F.concat(acc["trades"], done)).otherwise(acc["trades"]).alias("trades"))
-
-    folded = runs.select("session", "ticker", *config, *RULE_COLUMNS, "session_end", F.element_at("bars", -1).alias("last"),
-                         F.aggregate("bars", start, step).alias("s"))
-    final = F.when(F.col("last.i") == F.col("session_end"), F.col("last.price"))
-    closing = F.array(F.struct(F.col("s.entry_i").alias("entry_i"), F.col("session_end").alias("exit_i"),
-                               (F.coalesce(final, F.col("s.entry")) / F.col("s.entry")).alias("ratio"), F.lit("final_close").alias("reason"))).cast(trade)
-    trades = F.when(F.col("s.open"), F.concat("s.trades", closing)).otherwise(F.col("s.trades"))
-    return folded.select("session", "ticker", *config, *RULE_COLUMNS, F.explode_outer(trades).alias("t")).select(
-        "session", "ticker", *config, *RULE_COLUMNS, "t.*")
-
-
-def sweep_trials(trades: DataFrame) -> DataFrame:
+    series = ticks.groupBy("session", "ticker").agg(F.array_sort(F.collect_list(bar)).alias("b")).join(ends, "session")
+    return series.select("session", "ticker", "session_end", *[F.col(f"b.{c}").alias(c) for c in ("i", "true_gap_pct", "premium_pct", "price")])
+
+
+def _walk(bars: tuple, end: int, c: dict) -> pd.DataFrame:
+    """Trades of all rule sets over one series: a loop over ticks, vectors over rule sets."""
+    ticks, true_gap, perp_gap, prices = bars
+    n = len(c["entry_pct"])
+    is_open, entry, entry_i = np.zeros(n, bool), np.zeros(n), np.zeros(n, "int64")
+    traded = np.zeros(n, bool)
+    found = []
+
+    def note(mask, exit_i, ratio, reason):
+        at = np.flatnonzero(mask)
+        traded[at] = True
+        found.append(pd.DataFrame({"__c": at, "entry_i": entry_i[at], "exit_i": exit_i, "ratio": ratio[at], "reason": reason[at]}))
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for i, tg, pg, price in zip(ticks, true_gap, perp_gap, prices):
+            if not price > 0:
+                continue
+            g = np.where(c["equity"], tg, pg)
+            pnl = (price - entry) / entry * 100
+            rules = [pnl >= c["take_profit_pct"], pnl <= -c["stop_loss_pct"], i - entry_i >= c["max_hold"],
+                     np.where(c["momentum"], g <= c["exit_pct"], g >= -c["exit_pct"])]
+            closes = is_open & np.logical_or.reduce(rules)
+            if closes.any():
+                note(closes, i, price / entry, np.select(rules, ["take_profit", "stop_loss", "max_hold", "signal_exit"], ""))
+            opens = np.where(c["momentum"], g >= c["entry_pct"], g <= -c["entry_pct"]) & (~is_open | closes)
+            is_open = opens | (is_open & ~closes)
+            entry, entry_i = np.where(opens, price, entry), np.where(opens, i, entry_i)
+        if is_open.any():
+            last = prices[-1] if ticks[-1] == end else np.nan
+            note(is_open, end, np.where(np.isnan(last), entry, last) / entry, np.full(n, "final_close", dtype=object))
+    idle = np.flatnonzero(~traded)
+    found.append(pd.DataFrame({"__c": idle, "entry_i": pd.array([None] * len(idle), "Int64"), "exit_i": pd.array([None] * len(idle), "Int64"),
+                               "ratio": np.nan, "reason": None}))
+    return pd.concat([f.astype({"entry_i": "Int64", "exit_i": "Int64"}) for f in found], ignore_index=True)
+
+
+def sweep_trades(ticks: DataFrame, configs: pd.DataFrame | Mapping[str, Sequence] = STANDARD_GRID, config: Sequence[str] = ("grid_index",)) -> DataFrame:
+    """Trades of every rule set on every (session, ticker), as independent sleeves.
+
+    ``ticks``: session, ticker, tick, true_gap_pct, premium_pct, price. ``configs``: axes of a grid, or a small
+    table of rule columns named by ``config``. Spark spreads (session, ticker, block of rule sets); inside,
+    rule sets are numpy vectors. ``ratio`` is exit over entry price; a rule set without trades on a series
+    keeps one row without a ratio. Rows name their rule set only; ``with_rules`` adds its columns.
+    """
+    table = configs if isinstance(configs, pd.DataFrame) else grid_configs(configs)
+    table = table[[*config, *RULE_COLUMNS]].reset_index(drop=True)
+    blocks = range(0, len(table), CONFIGS_PER_TASK)
+    runs = session_series(ticks).withColumn("__block", F.explode(F.array(*[F.lit(b) for b in blocks])))
+    runs = runs.repartition(F.col("session"), F.col("ticker"), F.col("__block"))
+    kinds = {c: "long" if str(table[c].dtype).startswith("int") else "string" for c in config}
+    schema = ("session string, ticker string, " + ", ".join(f"{c} {kinds[c]}" for c in config)
+              + ", entry_i long, exit_i long, ratio double, reason string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                part = table.iloc[row[-1]:row[-1] + CONFIGS_PER_TASK].reset_index(drop=True)
+                c = {k: part[k].to_numpy("float64") for k in RULE_COLUMNS if k not in ("source", "direction")}
+                c["equity"], c["momentum"] = (part["source"] == "equity_gap").to_numpy(), (part["direction"] == "momentum").to_numpy()
+                bars = (np.asarray(row.i, "int64"), *[np.asarray(x, "float64") for x in (row.true_gap_pct, row.premium_pct, row.price)])
+                trades = _walk(bars, int(row.session_end), c)
+                out = part[list(config)].take(trades.pop("__c")).reset_index(drop=True)
+                yield pd.concat([out, trades], axis=1).assign(session=row.session, ticker=row.ticker)[
+                    ["session", "ticker", *config, "entry_i", "exit_i", "ratio", "reason"]]
+
+    out = runs.select("session", "ticker", "session_end", "i", "true_gap_pct", "premium_pct", "price", "__block").mapInPandas(run, schema)
+    return out.withColumn("ratio", F.when(~F.isnan("ratio"), F.col("ratio")))
+
+
+def with_rules(df: DataFrame, configs: pd.DataFrame | Mapping[str, Sequence] = STANDARD_GRID, config: Sequence[str] = ("grid_index",)) -> DataFrame:
+    """Add the rule columns of each rule set; the table is a parameter of the search."""
+    table = configs if isinstance(configs, pd.DataFrame) else grid_configs(configs)
+    rules = df.sparkSession.createDataFrame(table[[*config, *RULE_COLUMNS]])
+    return df.join(F.broadcast(rules), list(config))
+
+
+def sweep_trials(trades: DataFrame, config: Sequence[str] = ("grid_index",)) -> DataFrame:
     """One row per (rule set, session) on a unit notional: counts, return, fees, realised drawdown."""
     net = F.col("ratio") * (1 - FEE) - (1 + FEE)
-    keys = ["grid_index", *RULE_COLUMNS, "session"]
+    keys = [*config, "session"]
     rows = trades.select(*keys, "exit_i", F.coalesce(net, F.lit(0.0)).alias("net"), F.col("ratio").isNotNull().cast("int").alias("trade"),
                          F.when(F.col("ratio") * (1 - FEE) >= 1, 1).otherwise(0).alias("win"),
                          F.coalesce((1 + F.col("ratio")) * FEE, F.lit(0.0)).alias("fee"))
     steps = rows.groupBy(*keys, "exit_i").agg(*[F.sum(c).alias(c) for c in ("net", "trade", "win", "fee")])
-    w = Window.partitionBy("grid_index", "session").orderBy("exit_i").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per (rule set, session, tick): bounded by the length of a session.
+    w = Window.partitionBy(*keys).orderBy("exit_i").rowsBetween(Window.unboundedPreceding, 0)
     path = steps.withColumn("eq", F.sum("net").over(w))
     path = path.withColumn("fall", F.greatest(F.lit(0.0), F.max("eq").over(w)) - F.col("eq"))
     return path.groupBy(*keys).agg(
@@ -117,7 +165,7 @@ def size_trials(trials: DataFrame, sizing: Mapping[str, Sequence] = SIZING_GRID)
     scale = START_BALANCE * F.col("notional_pct")
     order = F.col("grid_index") * prod(len(v) for v in sizing.values()) + F.col("size_index")
     return sized.select(
-        order.cast("long").alias("config_order"), F.format_string("cfg_%06d", order.cast("long")).alias("config_id"), *RULE_COLUMNS, *sizing,
+        order.cast("long").alias("config_order"), F.format_string("cfg_%06d", order.cast("long")).alias("config_id"), "grid_index", *sizing,
         F.lit(FEE * 100).alias("fee_pct"), "session", "trades", "wins", "losses", F.round(F.col("unit_return") * scale, 6).alias("net_pnl"),
         F.round(F.col("unit_drawdown") * scale, 6).alias("max_drawdown"), F.round(F.col("unit_fees") * scale, 6).alias("fees"))
 
@@ -237,7 +285,7 @@ def neighbourhood(champion: Mapping) -> dict[str, list]:
 
 def stability_surface(trials: DataFrame) -> DataFrame:
     """Stable or fragile per neighbour of a champion."""
-    agg = trials.groupBy("grid_index", "entry_pct", "take_profit_pct", "stop_loss_pct").agg(
+    agg = trials.groupBy("grid_index").agg(
         F.sum("net_pnl").alias("total_pnl"), F.min("net_pnl").alias("worst_pnl"), F.sum(F.when(F.col("trades") > 0, 1).otherwise(0)).alias("active"))
     return agg.withColumn("status", F.when((F.col("total_pnl") > 0) & (F.col("worst_pnl") >= -5), "stable").otherwise("fragile"))
 
