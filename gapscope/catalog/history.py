@@ -14,7 +14,7 @@ H = 6
 
 
 def leg(spark, sf, name):
-    return A.bars(spark, sf).filter(F.col("leg") == name)
+    return A.bars(spark, sf, name)
 
 
 def aligned(spark, sf, per_day):

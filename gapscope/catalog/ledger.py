@@ -525,7 +525,7 @@ def _(spark, sf):
 @query("quality_board", TOKEN_QUALITY, "quality_score tracking_component stability_component liquidity_component")
 def _(spark, sf):
     from ..operators import series as S
-    leg = lambda n: A.bars(spark, sf).filter(F.col("leg") == n)
+    leg = lambda n: A.bars(spark, sf, n)
     q = M.token_quality(M.tracking_error(S.daily_alignment(leg("token"), leg("equity"), True)))
     return q.orderBy((F.col("grade") == "n/a").cast("int"), F.col("quality_score").desc(), "instrument")
 

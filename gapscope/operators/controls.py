@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from .metrics import moments
-from .ordered import dense_index
+from .ordered import dense_index, with_row
 
 
 def bootstrap_mean_ci(samples: DataFrame, value: str, order: Sequence[str], slice_by: Column | None, iters: int = 2000,
@@ -22,7 +22,7 @@ def bootstrap_mean_ci(samples: DataFrame, value: str, order: Sequence[str], slic
     base = samples.select(F.lit(0).alias("g"), *order, F.col(value).alias("v"))
     indexed = dense_index(base, ["g"], order, slice_by, "pos").select("pos", "v")
     total = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    drawn = indexed.select("pos").join(F.broadcast(total))  # the one-row total
+    drawn = with_row(indexed.select("pos"), total)
     drawn = drawn.select("pos", "n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("it"))
     u = N.seeded_uniform(F.lit(seed), F.col("it").cast("long") * F.col("n") + F.col("pos") + 1)
     picks = drawn.select("it", F.floor(u * F.col("n")).alias("pos")).groupBy("it", "pos").agg(F.count(F.lit(1)).alias("c"))
@@ -30,7 +30,7 @@ def bootstrap_mean_ci(samples: DataFrame, value: str, order: Sequence[str], slic
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)  # iters rows
     lo, hi = int(alpha / 2 * iters), min(iters - 1, int((1 - alpha / 2) * iters))
     ends = ranked.agg(F.max(F.when(F.col("r") == lo, F.col("m"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("m"))).alias("hi"))
-    return total.join(F.broadcast(ends)).select("n", "mean", "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero"))
+    return with_row(total, ends).select("n", "mean", "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero"))
 
 
 def random_capture(indexed: DataFrame, draws: DataFrame, horizon: int, iters: int, seed: int, value: str = "premium_pct") -> DataFrame:
@@ -102,7 +102,7 @@ def complete_matrix(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A missing session adds a 0: it changes the count but neither sum, so no dense table is built.
     agg = trials.groupBy("config_id").agg(F.countDistinct("session").alias("have"), F.sum("net_pnl").alias("s"),
                                           F.sum(F.pow("net_pnl", F.lit(2.0))).alias("ss"), F.min("net_pnl").alias("lo"), F.max("net_pnl").alias("hi"))
-    rows = agg.join(F.broadcast(sessions))
+    rows = with_row(agg, sessions)
     mean = F.col("s") / F.col("t")
     var = (F.col("ss") - F.col("s") * mean) / (F.col("t") - 1)
     flat = ((F.col("lo") == F.col("hi")) & ((F.col("have") == F.col("t")) | (F.col("lo") == 0))) | (F.col("t") < 2)
@@ -115,7 +115,7 @@ def overfit_stats(champion: DataFrame, sharpes: DataFrame, start_balance: float
     r = champion.select((F.col("net_pnl") / start_balance).alias("r"), F.lit(0).alias("g"))
     m = moments(r, ["g"], "r").drop("g")
     search = sharpes.agg(F.count(F.lit(1)).alias("n_trials"), F.var_samp(F.when(F.col("sharpe") != 0, F.col("sharpe"))).alias("v"))
-    rows = m.join(F.broadcast(search)).withColumn("sr", F.when(F.col("stdev_samp") == 0, 0.0).otherwise(F.col("mean") / F.col("stdev_samp")))
+    rows = with_row(m, search).withColumn("sr", F.when(F.col("stdev_samp") == 0, 0.0).otherwise(F.col("mean") / F.col("stdev_samp")))
     rows = rows.withColumn("sr0", N.expected_max_sharpe(F.coalesce("v", F.lit(0.0)), F.col("n_trials")))
     args = (F.col("n"), F.col("skew"), F.col("kurtosis"))
     out = rows.select(

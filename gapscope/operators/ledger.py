@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as P
 from ..functions.numeric import ratio
-from .ordered import CHUNK_ROWS, add_slice, hot_keys, previous_row, running
+from .ordered import CHUNK_ROWS, add_slice, hot_keys, previous_row, running, with_row
 from .scans import affine_scan, automaton_scan
 
 SPOT_FEE, PERP_FEE = 0.001, 0.0006
@@ -308,7 +308,7 @@ def replay_state(events: DataFrame) -> DataFrame:
     """Sum, order count, last sequence and an ordered digest of a durable event log."""
     ids = events.filter(F.col("order_id").isNotNull())
     state = events.agg(F.round(F.sum("amount"), 6).alias("pnl"), F.count("order_id").alias("orders"), F.max("seq").alias("last_seq"))
-    return state.join(F.broadcast(batch_digest(ids, "seq", F.col("order_id").cast("string"))))
+    return with_row(state, batch_digest(ids, "seq", F.col("order_id").cast("string")))
 
 
 def requirement_audit(metrics: DataFrame, rules: Sequence[tuple[str, str, str, float]]) -> DataFrame:

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, ratio
+from .ordered import running
 from .series import over_series
 
 
@@ -57,21 +58,25 @@ def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.when((n < 4) | flat, 3.0).otherwise(F.kurtosis(value) + 3).alias("kurtosis"))
 
 
-def equity_path(df: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str, start: float = 0.0) -> DataFrame:
-    """Running balance, running peak (the start included) and drawdown of a PnL series."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    eq = df.withColumn("equity", F.sum(pnl).over(w) + start)
-    eq = eq.withColumn("peak", F.greatest(F.lit(float(start)), F.max("equity").over(w)))
+def equity_path(df: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str, start: float = 0.0,
+                slice_by: Column | None = None) -> DataFrame:
+    """Running balance, running peak (the start included) and drawdown of a PnL series.
+
+    Give ``slice_by`` (a number that grows along ``order``) for series without a bound on their length.
+    """
+    eq = running(df, by, order, {"equity": ("sum", F.col(pnl))}, slice_by).withColumn("equity", F.col("equity") + start)
+    eq = running(eq, by, order, {"peak": ("max", F.col("equity"))}, slice_by)
+    eq = eq.withColumn("peak", F.greatest(F.lit(float(start)), F.col("peak")))
     return eq.withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
-def risk_adjusted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def risk_adjusted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, slice_by: Column | None = None) -> DataFrame:
     """Trades, population Sharpe, Sortino over losing trades, absolute drawdown, profit factor.
 
     NULL stands for an infinite ratio.
     """
     r = F.col(value)
-    path = equity_path(df, by, order, value)
+    path = equity_path(df, by, order, value, slice_by=slice_by)
     sd, down = F.stddev_pop(r), F.sqrt(F.sum(F.pow(F.least(r, F.lit(0.0)), F.lit(2.0))) / F.count(r))
     win, loss = F.sum(F.greatest(r, F.lit(0.0))), F.sum(-F.least(r, F.lit(0.0)))
     return path.groupBy(*by).agg(
@@ -87,9 +92,9 @@ MIN_RELIABLE_N = 10
 
 
 def performance_summary(df: DataFrame, by: Sequence[str], order: Sequence[str], pnl: str,
-                        start_balance: float = 1000.0) -> DataFrame:
+                        start_balance: float = 1000.0, slice_by: Column | None = None) -> DataFrame:
     """Fifteen-figure performance record of a PnL series, with a flag for too few observations."""
-    path = equity_path(df, by, order, pnl, start_balance)
+    path = equity_path(df, by, order, pnl, start_balance, slice_by)
     p, r = F.col(pnl), F.col(pnl) / start_balance
     fall = F.when(F.col("peak") > 0, F.col("drawdown") / F.col("peak")).otherwise(0.0)
     agg = path.groupBy(*by).agg(

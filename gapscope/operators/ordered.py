@@ -112,6 +112,12 @@ def running(
     )
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (a total, a median) to every row."""
+    one = row.withColumn("__one", F.lit(1))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
 def previous_row(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], slice_by: Column | None,
     slice_rows: int | None = None,

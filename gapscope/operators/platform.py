@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as QL
 from ..functions.hashing import canonical_hash
-from .ordered import previous_row, running
+from .ordered import previous_row, running, with_row
 
 STREAM = ("source", "kind", "instrument")
 
@@ -141,7 +141,8 @@ def _floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles
 def coverage(df: DataFrame, interval_ms: int = 300_000, keys: Sequence[str] = STREAM, slice_rows: int | None = None) -> DataFrame:
     """Per-stream counts, latency percentiles, cadence gaps and estimated missing intervals."""
     k = list(keys)
-    rows = df.withColumn("latency_ms", F.greatest(F.lit(0), F.col("received_at") - F.col("effective_at")))
+    named = df.withColumns({c: F.coalesce(F.col(c), F.lit("_")) for c in k})  # streams without instrument count too
+    rows = named.withColumn("latency_ms", F.greatest(F.lit(0), F.col("received_at") - F.col("effective_at")))
     status = F.col("quality.status")
     base = rows.groupBy(*k).agg(
         F.count(F.lit(1)).alias("events"), *[F.sum(F.when(status == s, 1).otherwise(0)).alias(s) for s in QL.STATUSES],
@@ -177,7 +178,7 @@ def coverage_totals(df: DataFrame) -> DataFrame:
     events = df.agg(F.count(F.lit(1)).alias("events"),
                     *[F.sum(F.when(status == s, 1).otherwise(0)).alias(s) for s in QL.STATUSES],
                     F.min("received_at").alias("first_received_at"), F.max("received_at").alias("last_received_at"))
-    return events.crossJoin(streams)  # one row each
+    return with_row(events, streams)
 
 
 def numeric_consensus(df: DataFrame, by: Sequence[str], max_deviation_pct: float) -> DataFrame:

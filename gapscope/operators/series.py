@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..functions.pricing import premium_pct
-from .ordered import dense_index, halo_window
+from .ordered import dense_index, halo_window, with_row
 
 KEYS = ("instrument",)
 DAY_MS = 86_400_000
@@ -199,7 +199,7 @@ def stress_split(series: DataFrame, stretch: float = 0.5, horizon: int = 6) -> D
     median = stress.agg(F.median("stress").alias("median_stress"))
     ahead = over_series(series, 0, horizon, lambda w: {"__later": F.abs(F.lead("premium_pct", horizon).over(w))})
     now = F.abs(F.col("premium_pct"))
-    hits = ahead.filter(F.col("__later").isNotNull() & (now >= stretch)).join(stress, "ts").join(F.broadcast(median))
+    hits = with_row(ahead.filter(F.col("__later").isNotNull() & (now >= stretch)).join(stress, "ts"), median)
     side = F.when(F.col("stress") >= F.col("median_stress"), "high").otherwise("low")
     return hits.groupBy(side.alias("stress_side")).agg(
         F.first("median_stress").alias("median_stress"), F.count(F.lit(1)).alias("events"),

@@ -11,6 +11,7 @@ from ..functions import execution as X
 from ..functions import pricing as P
 from ..operators import backtests as B
 from ..operators import series as S
+from ..operators.ordered import with_row
 from ..operators.verdicts import first_price_after
 
 
@@ -102,5 +103,5 @@ def half_life_split(report: DataFrame) -> DataFrame:
     """Basis results of the fast and the slow instruments, split at the median half-life."""
     median = report.agg(F.median("half_life_bars").alias("m"))
     fast = F.coalesce(F.col("half_life_bars") <= F.col("m"), F.lit(False))
-    return report.join(F.broadcast(median)).groupBy(F.when(fast, "fast").otherwise("slow").alias("speed")).agg(
+    return with_row(report, median).groupBy(F.when(fast, "fast").otherwise("slow").alias("speed")).agg(
         F.count(F.lit(1)).alias("pairs"), F.sum("trades").alias("trades"), F.sum("wins").alias("wins"), F.sum("total_pnl_pct").alias("total_pnl_pct"))

@@ -47,7 +47,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided quotes with holes: no bid where k % 17 = 0, no ask where k % 19 = 0, some crossed."""
-    t = ticks(spark, sf_dir).filter(F.col("leg") != "other")
+    t = ticks(spark, sf_dir).filter(F.col("event_type").isin("purchase", "view", "signup", "click"))
     half = F.col("price") * F.col("k") / 20_000.0
     sign = F.when(F.col("k") % 23 == 0, -1.0).otherwise(1.0)
     return t.select(
@@ -94,9 +94,13 @@ def peg(spark: SparkSession, sf_dir: str, bucket_ms: int = SNAPSHOT_MS) -> DataF
     return derive(assembled(spark, sf_dir, bucket_ms))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily closes per desk and leg; at most one row per (instrument, leg, day)."""
+def bars(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """Daily closes per desk and leg; at most one row per (instrument, leg, day). ``only`` picks one leg
+    by a filter that reaches the scan."""
     li = table(spark, sf_dir, "lineitem")
+    flag = F.col("l_returnflag")
+    if only is not None:
+        li = li.filter(~flag.isin("A", "N") if only == "equity" else flag == {"token": "A", "perp": "N"}[only])
     leg = (F.when(F.col("l_returnflag") == "A", "token").when(F.col("l_returnflag") == "N", "perp")
            .otherwise("equity"))
     unit = 100 + (F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 300
