@@ -34,7 +34,7 @@ def _(spark, sf):
   SELECT count(*) AS pairs, sum(points)::BIGINT AS observations, sum(events)::BIGINT AS events, sum(captured)::BIGINT AS captured, sum(captured) / sum(events) * 100 AS capture_rate_pct, sum(avg_narrowing_pct * events) / sum(events) AS avg_narrowing_pct, avg(tracking_improvement_pct) AS mean_improvement_pct,
     count(*) FILTER (tracking_improvement_pct > 0) AS pairs_positive, sum(trades)::BIGINT AS trades, sum(wins) / sum(trades) * 100 AS win_rate_pct, sum(total_pnl_pct) AS total_pnl_pct, sum(losses)::BIGINT AS losses, sum(forced_exits)::BIGINT AS forced_exits, sum(avg_hold_bars * trades) / sum(trades) AS avg_hold_bars,
     sum(perp_trades)::BIGINT AS perp_trades, sum(perp_pnl_pct) AS perp_pnl_pct, sum(opportunities)::BIGINT AS opportunities, sum(max_pnl_pct) AS max_pnl_pct, sum(total_pnl_pct) / sum(max_pnl_pct) * 100 AS captured_pct_of_max, median(half_life_bars) AS median_half_life_bars FROM report""",
-       "capture_rate_pct avg_narrowing_pct mean_improvement_pct win_rate_pct total_pnl_pct avg_hold_bars perp_pnl_pct max_pnl_pct captured_pct_of_max median_half_life_bars", 7)
+       "capture_rate_pct avg_narrowing_pct mean_improvement_pct win_rate_pct total_pnl_pct avg_hold_bars perp_pnl_pct max_pnl_pct captured_pct_of_max median_half_life_bars", 5)
 def _(spark, sf):
     return J.history_pool(J.history_report(A.premium(spark, sf)))
 

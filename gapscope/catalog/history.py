@@ -22,7 +22,7 @@ def aligned(spark, sf, per_day):
 
 
 @query("premium_series", Q.with_(Q.PREMIUM) + " SELECT instrument, ts, token_close, perp_close, premium_pct FROM premium",
-       "token_close perp_close premium_pct", 10)
+       "token_close perp_close premium_pct", 8)
 def _(spark, sf):
     return S.premium_series(leg(spark, sf, "token"), leg(spark, sf, "perp"))
 
@@ -30,7 +30,7 @@ def _(spark, sf):
 @query("deviation_series", Q.with_(Q.BARS) + """
   SELECT p.instrument, p.ts, p.close AS perp_close, t.close AS fair_value, (p.close - t.close) / t.close * 100 AS deviation_pct
   FROM bars p JOIN bars t ON p.instrument = t.instrument AND p.ts = t.ts
-  WHERE p.leg = 'perp' AND t.leg = 'token' AND t.close > 0 AND p.close > 0""", "perp_close fair_value deviation_pct", 10)
+  WHERE p.leg = 'perp' AND t.leg = 'token' AND t.close > 0 AND p.close > 0""", "perp_close fair_value deviation_pct", 8)
 def _(spark, sf):
     return S.deviation_series(leg(spark, sf, "perp"), leg(spark, sf, "token"))
 
@@ -42,7 +42,7 @@ ALIGNED = Q.BARS + """, aligned AS (
 
 
 @query("daily_alignment", Q.with_(ALIGNED) + " SELECT instrument, day, ts, token_close, equity_close FROM aligned",
-       "token_close equity_close", 10)
+       "token_close equity_close", 8)
 def _(spark, sf):
     return aligned(spark, sf, True)
 
@@ -242,7 +242,7 @@ def _(spark, sf):
 @query("cost_sweep", "WITH RECURSIVE " + WALK + """
   SELECT fee_pct, count(*) AS trades, avg(CASE WHEN gross - fee_pct > 0 THEN 100.0::DOUBLE ELSE 0 END) AS win_rate_pct,
          sum(gross - fee_pct) AS total_pnl_pct FROM walk, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) f(fee_pct) WHERE gross IS NOT NULL GROUP BY fee_pct""",
-       "win_rate_pct total_pnl_pct")
+       "win_rate_pct total_pnl_pct", 5)
 def _(spark, sf):
     return B.cost_sweep(B.basis_trades(A.premium(spark, sf)))
 

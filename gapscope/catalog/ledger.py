@@ -186,7 +186,7 @@ BOOKS = """lv AS (
          lim IS NOT NULL AND CASE WHEN want = 'ask' THEN price > lim ELSE price < lim END AS beyond FROM o WHERE side = want AND has), tk AS (
   SELECT *, CASE WHEN beyond OR size <= 0 THEN 0 ELSE greatest(0, least(size, qty - coalesce(prior, 0))) END AS take FROM u), r AS (
   SELECT event_id, sum(take) AS fill_qty, sum(take * price) / nullif(sum(take), 0) AS avg_price, max(CASE WHEN i = 1 THEN price END) AS touch, max(want) AS want FROM tk GROUP BY event_id)
-  SELECT q.event_id, coalesce(fill_qty, 0) AS fill_qty, avg_price, coalesce((avg_price - touch) / touch * 100 * CASE WHEN want = 'ask' THEN 1 ELSE -1 END, 0) AS slippage_pct FROM quotes q LEFT JOIN r USING (event_id)""", "avg_price slippage_pct", 10)
+  SELECT q.event_id, coalesce(fill_qty, 0) AS fill_qty, avg_price, coalesce((avg_price - touch) / touch * 100 * CASE WHEN want = 'ask' THEN 1 ELSE -1 END, 0) AS slippage_pct FROM quotes q LEFT JOIN r USING (event_id)""", "avg_price slippage_pct", 7)
 def _(spark, sf):
     q = with_books(A.quotes(spark, sf))
     buy = F.col("k") % 2 == 0
@@ -541,7 +541,7 @@ def _(spark, sf):
     return rec.groupBy(F.concat_ws(":", name, "channel").alias("stream")).agg(F.count(F.lit(1)).alias("records"), F.sum("sequence").alias("sequences"))
 
 
-@query("ingested_candles", """SELECT event_id, epoch_us(ts) // 1000 AS ts, value AS close FROM events WHERE event_id % 5 <> 0""", "close")
+@query("ingested_candles", """SELECT event_id, epoch_us(ts) // 1000 AS ts, value AS close FROM events WHERE event_id % 5 <> 0 AND value > 0""", "close")
 def _(spark, sf):
     e = A.table(spark, sf, "events").select("event_id", A.epoch_ms("ts").alias("ms"), "value")
     close = F.when(F.col("event_id") % 5 == 0, F.lit("-1")).otherwise(F.col("value").cast("string"))

@@ -236,7 +236,8 @@ VERDICTS = """matched AS (
 
 def verdicts(spark, sf):
     from ..operators.verdicts import judge_intents
-    return judge_intents(A.intents(spark, sf), certificates(spark, sf))
+    issued = certificates(spark, sf).select("ticker", "issued_at", "expires_at", "allowed_policy", "max_size_usd")
+    return judge_intents(A.intents(spark, sf), cut_lineage(issued))
 
 
 @query("intent_verdicts", Q.with_(*FULL, GRADED, Q.CERT, Q.INTENTS, VERDICTS) + """
@@ -346,7 +347,7 @@ COVER = """lat AS (
 
 @query("stream_coverage", Q.with_(Q.EVENTS_PROV, ASSESS, COVER) + " SELECT * FROM cover")
 def _(spark, sf):
-    return PL.coverage(assessed(spark, sf), 5_400_000)
+    return PL.coverage(cut_lineage(assessed(spark, sf).select(*PL.STREAM, "event_id", "received_at", "effective_at", "quality")), 5_400_000)
 
 
 @query("coverage_totals", Q.with_(Q.EVENTS_PROV, ASSESS) + """, last AS (
@@ -357,7 +358,7 @@ def _(spark, sf):
     (SELECT count(*) FROM last WHERE r = 1 AND status = 'valid') AS latest_valid, (SELECT count(*) FROM last WHERE r = 1 AND status = 'degraded') AS latest_degraded,
     (SELECT count(*) FROM last WHERE r = 1 AND status = 'quarantined') AS latest_quarantined FROM assessed""")
 def _(spark, sf):
-    return PL.coverage_totals(assessed(spark, sf))
+    return PL.coverage_totals(cut_lineage(assessed(spark, sf).select(*PL.STREAM, "event_id", "received_at", "quality")))
 
 
 @query("latest_event_per_stream", Q.with_(Q.EVENTS_PROV) + """

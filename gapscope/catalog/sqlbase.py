@@ -80,7 +80,7 @@ CERT = """scored AS (
 BARS = """bars AS (
   SELECT 'D' || (l_suppkey % 25) AS instrument,
          CASE l_returnflag WHEN 'A' THEN 'token' WHEN 'N' THEN 'perp' ELSE 'equity' END AS leg,
-         epoch_ms(l_shipdate) AS ts, avg(100 + (l_extendedprice / l_quantity - 1500) / 300) AS close
+         epoch_ms(l_shipdate) AS ts, avg(100 + (l_extendedprice / l_quantity - 1500) / 299.7::DOUBLE) AS close
   FROM lineitem GROUP BY ALL)"""
 
 PREMIUM = BARS + """, premium AS (

@@ -126,23 +126,27 @@ def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: st
     All plain words are found in one pass over each text, however many tickers there are: whole words never
     overlap, so one alternation misses none. Names with other characters are searched as phrases.
     """
-    plain = {t: [a.lower() for a in names if re.fullmatch(r"[A-Za-z0-9]+", a)] for t, names in aliases.items()}
-    wanted = "|".join(sorted({a for names in plain.values() for a in names}))
-    pattern = rf"(?i)(?<![A-Za-z0-9_])(?:{wanted})(?![A-Za-z0-9_])" if wanted else r"(?!)"
-    words = F.transform(F.array_distinct(F.regexp_extract_all("title", F.lit(pattern), F.lit(0))), F.lower)
-    rows = news.filter(F.col("published_at") > 0).withColumn("__w", words)
-
-    def named(ticker: str) -> Column:
-        words = F.arrays_overlap("__w", F.array(*[F.lit(a) for a in plain[ticker]]).cast("array<string>"))
-        for a in aliases[ticker]:
-            if a.lower() not in plain[ticker]:
-                words = words | F.col("title").rlike(mention_pattern(a))
-        return words
-
-    tickers = F.array_compact(F.array(*[F.when(named(t), F.lit(t)) for t in aliases]))
-    return rows.select(
-        F.explode(tickers).alias("ticker"), F.col("published_at").alias("t"), "news_id", "title",
+    owners: dict[str, list[str]] = {}
+    phrases = []
+    for ticker, names in aliases.items():
+        for a in names:
+            if re.fullmatch(r"[A-Za-z0-9]+", a):
+                owners.setdefault(a.lower(), []).append(ticker)
+            else:
+                phrases.append(F.when(F.col("title").rlike(mention_pattern(a)), F.lit(ticker)))
+    found = F.array().cast("array<string>")
+    if owners:
+        pattern = rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(sorted(owners))})(?![A-Za-z0-9_])"
+        lookup = F.create_map(*[x for w, ts in owners.items() for x in (F.lit(w), F.array(*[F.lit(t) for t in ts]))])
+        words = F.array_distinct(F.regexp_extract_all("title", F.lit(pattern), F.lit(0)))
+        found = F.flatten(F.transform(words, lambda w: F.element_at(lookup, F.lower(w))))
+    if phrases:
+        found = F.concat(found, F.array_compact(F.array(*phrases)))
+    # The outer explode keeps the search expression in one place; a plain one would add a filter that repeats it.
+    rows = news.filter(F.col("published_at") > 0).select(
+        F.explode_outer(F.array_distinct(found)).alias("ticker"), F.col("published_at").alias("t"), "news_id", "title",
         F.col("title").rlike(catalyst).alias("catalyst"), F.col("title").rlike(earnings).alias("earnings"))
+    return rows.filter(F.col("ticker").isNotNull())
 
 
 def news_context(points: DataFrame, news: DataFrame, aliases: Mapping[str, Sequence[str]], window_ms: int = 24 * HOUR_MS,

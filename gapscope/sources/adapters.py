@@ -103,7 +103,7 @@ def bars(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame
         li = li.filter(~flag.isin("A", "N") if only == "equity" else flag == {"token": "A", "perp": "N"}[only])
     leg = (F.when(F.col("l_returnflag") == "A", "token").when(F.col("l_returnflag") == "N", "perp")
            .otherwise("equity"))
-    unit = 100 + (F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 300
+    unit = 100 + (F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 299.7
     return (li.select(
         F.concat(F.lit("D"), (F.col("l_suppkey") % DESKS).cast("string")).alias("instrument"),
         leg.alias("leg"), epoch_ms("l_shipdate").alias("ts"), unit.alias("unit"))
@@ -113,7 +113,7 @@ def bars(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame
 def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bars with the three legs side by side, from one scan and one shuffle."""
     li = table(spark, sf_dir, "lineitem")
-    unit = 100 + (F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 300
+    unit = 100 + (F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 299.7
     flag = F.col("l_returnflag")
     return (li.select(
         F.concat(F.lit("D"), (F.col("l_suppkey") % DESKS).cast("string")).alias("instrument"),
