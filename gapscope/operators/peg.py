@@ -142,10 +142,12 @@ def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: st
         found = F.flatten(F.transform(words, lambda w: F.element_at(lookup, F.lower(w))))
     if phrases:
         found = F.concat(found, F.array_compact(F.array(*phrases)))
-    # The outer explode keeps the search expression in one place; a plain one would add a filter that repeats it.
-    rows = news.filter(F.col("published_at") > 0).select(
-        F.explode_outer(F.array_distinct(found)).alias("ticker"), F.col("published_at").alias("t"), "news_id", "title",
+    # Every search runs once per text, before the texts are repeated per ticker.
+    marked = news.filter(F.col("published_at") > 0).select(
+        F.array_distinct(found).alias("__f"), F.col("published_at").alias("t"), "news_id", "title",
         F.col("title").rlike(catalyst).alias("catalyst"), F.col("title").rlike(earnings).alias("earnings"))
+    # The outer explode keeps the search expression in one place; a plain one would add a filter that repeats it.
+    rows = marked.select(F.explode_outer("__f").alias("ticker"), "t", "news_id", "title", "catalyst", "earnings")
     return rows.filter(F.col("ticker").isNotNull())
 
 
