@@ -323,7 +323,7 @@ LOO = """ses AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS pos
   SELECT t.*, s.pos FROM trials t JOIN ses s USING (session)), train AS (
   SELECT h.session, h.pos, t.config_order, any_value(t.config_id) AS config_id, round(sum(t.net_pnl), 6) AS train_pnl, sum(t.trades)::BIGINT AS train_trades
   FROM ses h JOIN tt t ON abs(t.pos - h.pos) > 1 GROUP BY h.session, h.pos, t.config_order), loo AS (
-  SELECT r.session, r.config_id AS selected_config, r.train_pnl, r.train_trades, t.net_pnl AS test_pnl, t.trades AS test_trades FROM (
+  SELECT r.session, r.config_id AS selected_config, r.train_pnl, r.train_trades, coalesce(t.net_pnl, 0) AS test_pnl, coalesce(t.trades, 0) AS test_trades FROM (
     SELECT *, row_number() OVER (PARTITION BY session ORDER BY train_pnl DESC, config_order) AS rn FROM train WHERE train_trades > 0) r
   LEFT JOIN trials t ON t.session = r.session AND t.config_order = r.config_order WHERE rn = 1)"""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.numeric import clamp
+from .ordered import with_row
 
 START_BALANCE = 1000.0
 FEE = 0.001
@@ -207,17 +208,22 @@ def leave_one_out(trials: DataFrame, embargo: int = 1) -> DataFrame:
     """Best configuration per held-out session, trained on the sessions outside the embargo around it.
 
     Training totals are the configuration's total minus the embargoed sessions, so nothing is joined
-    pairwise. Every configuration is assumed to have at most one trial per session; configurations
-    without training trades are skipped and the earliest wins ties.
+    pairwise. A configuration has at most one trial per session and may lack some; sessions are a small
+    dimension. Configurations without training trades are skipped and the earliest wins ties.
     """
     pos = session_index(trials)
     rows = trials.select("config_order", "config_id", "session", "net_pnl", "trades").join(F.broadcast(pos), "session")
-    whole = Window.partitionBy("config_order")
-    near = whole.orderBy("pos").rangeBetween(-embargo, embargo)
-    train = rows.select(
-        "*", F.round(F.sum("net_pnl").over(whole) - F.sum("net_pnl").over(near), 6).alias("train_pnl"),
-        (F.sum("trades").over(whole) - F.sum("trades").over(near)).alias("train_trades"))
-    pick = F.max_by(F.struct("config_id", "train_pnl", "train_trades", F.col("net_pnl").alias("test_pnl"), F.col("trades").alias("test_trades")),
+    cell = F.struct("pos", F.struct("net_pnl", "trades").alias("t"))
+    per = rows.groupBy("config_order", "config_id").agg(
+        F.sum("net_pnl").alias("total_pnl"), F.sum("trades").alias("total_trades"), F.map_from_entries(F.collect_list(cell)).alias("by_pos"))
+    held = pos.agg(F.sort_array(F.collect_list(F.struct("pos", "session"))).alias("held"))
+    folds = with_row(per, held).withColumn("h", F.explode("held"))
+    at = lambda d, f: F.coalesce(F.col("by_pos")[F.col("h.pos") + d][f], F.lit(0))
+    near = lambda f: sum((at(d, f) for d in range(-embargo, embargo + 1)), F.lit(0))
+    train = folds.select(
+        "config_order", "config_id", F.col("h.session").alias("session"), F.round(F.col("total_pnl") - near("net_pnl"), 6).alias("train_pnl"),
+        (F.col("total_trades") - near("trades")).alias("train_trades"), at(0, "net_pnl").alias("test_pnl"), at(0, "trades").alias("test_trades"))
+    pick = F.max_by(F.struct("config_id", "train_pnl", "train_trades", "test_pnl", "test_trades"),
                     F.when(F.col("train_trades") > 0, F.struct("train_pnl", -F.col("config_order"))))
     return train.groupBy("session").agg(pick.alias("p")).select("session", F.col("p.config_id").alias("selected_config"), "p.train_pnl",
                                                                  "p.train_trades", "p.test_pnl", "p.test_trades")
