@@ -5,7 +5,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("language",)
+MODULES = ("binary", "language", "packing")
 
 
 def load() -> tuple[dict, dict[str, str]]:
