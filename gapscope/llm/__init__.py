@@ -5,7 +5,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("secrets", "binary", "language", "packing", "rules")
+MODULES = ("secrets", "chat", "binary", "language", "packing", "rules")
 
 
 def load() -> tuple[dict, dict[str, str]]:
