@@ -51,14 +51,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], split_on: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (ASCII letters lower-cased) of the texts, and the number of words of each text.
 
-    A word's hash is a polynomial over its bytes modulo 2^64, from one running sum over the joined texts.
+    A word's hash is a polynomial over its bytes modulo 2^64, from one running sum over the joined texts. Bytes of
+    ``split_on`` separate words like white space.
     """
     parts = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    between = np.zeros(256, bool)
+    between[[32, *range(9, 14), *split_on]] = True
+    white = between[raw]
     edge = np.flatnonzero(np.diff(white.astype(np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
     code = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)

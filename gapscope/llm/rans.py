@@ -43,6 +43,7 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint32)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
+        self.wide = self.freq.astype(np.uint64), self.start.astype(np.uint64)
         self._symbol: np.ndarray | None = None
 
     @property
@@ -73,6 +74,7 @@ def encode_block(ids: np.ndarray, lengths: list[int], keys: list[int], table: Ta
     n = len(ids)
     lanes = max(1, min(lanes, n))
     steps = -(-n // lanes)
+    freq, start = table.wide
     state = np.full(lanes, TOTAL, np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, int, np.ndarray]] = []
@@ -80,14 +82,14 @@ def encode_block(ids: np.ndarray, lengths: list[int], keys: list[int], table: Ta
     for step in range(steps - 1, -1, -1):
         part = ids[step * lanes:(step + 1) * lanes]
         m = len(part)
-        f, x = table.freq[part].astype(np.uint64), state[:m]
+        f, x = freq[part], state[:m]
         over = x >= f << np.uint64(32 - PRECISION)
         if over.any():
             words.append((x[over] & np.uint64(0xFFFF)).astype("<u2"))
             written += len(words[-1])
             x = np.where(over, x >> np.uint64(16), x)
         high = x // f
-        state[:m] = (high << np.uint64(PRECISION)) + (x - high * f) + table.start[part]
+        state[:m] = (high << np.uint64(PRECISION)) + (x - high * f) + start[part]
         if step and step % CHECKPOINT_STEPS == 0:
             marks.append((step, written, state.astype("<u4")))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u2")

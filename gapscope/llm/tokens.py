@@ -17,7 +17,7 @@ from .common import worker_state
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Distinct chunks a worker remembers; beyond it, unknown chunks are encoded again in each batch.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 700_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # the tokenizer's own pre-tokenisation pattern (fixed value), for text that is lower case already
@@ -56,14 +56,25 @@ class ChunkTokenizer:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        words, plain, parts = self.words, [], []
-        for chunk in chunks:
-            if max(chunk) < "\u0300" and "<|" not in chunk:
-                low = chunk.lower()
-                plain.append(chunk)
-                parts.append((low,) if low.isalpha() else self.pieces(low))
+        words, parts = self.words, []
+        joined = "\n".join(chunks)
+        if max(joined) < "\u0300" and "<|" not in joined:
+            plain = chunks
+        else:
+            plain = []
+            for chunk in chunks:
+                if max(chunk) < "\u0300" and "<|" not in chunk:
+                    plain.append(chunk)
+                else:
+                    into[chunk] = self._encode_whole(chunk)
+            joined = "\n".join(plain)
+        for low in joined.lower().split("\n") if plain else ():
+            if low.isalpha():
+                parts.append((low,))
+            elif low[:-1].isalpha() and not low[-1].isalnum():
+                parts.append((low[:-1], low[-1]))
             else:
-                into[chunk] = self._encode_whole(chunk)
+                parts.append(self.pieces(low))
         fresh = [p for p in set(chain.from_iterable(parts)) if p not in words]
         if fresh:
             ids = np.array(self.bare.encode("\n".join(fresh), add_special_tokens=False).ids, "<u2")
