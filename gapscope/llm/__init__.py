@@ -5,7 +5,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("decontamination", "secrets", "neardup", "chat", "binary", "toxicity", "language", "packing", "rules")
+MODULES = ("decontamination", "secrets", "extraction", "neardup", "chat", "binary", "toxicity", "language", "packing", "rules")
 
 
 def load() -> tuple[dict, dict[str, str]]:

@@ -16,6 +16,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,30 +184,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def involved_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of rows whose id may be in ``ids``: all that are, and few others, without moving the rest.
+def split_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``doc_id`` may be in ``ids`` (column ``id``), and those whose id is not, without moving any text.
 
-    The ids become a bitmap of fixed size, summed in Spark and broadcast; the scan drops what it excludes. Joins on the
-    result stay exact, whatever the map lets through.
+    The ids become a bitmap of fixed size, summed in Spark and broadcast; only a hash of the id is looked up in it. The
+    first part holds every row with one of the ids, and few others; rows with a null id are in the second.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)) + 1  # bitmap functions number values from 1
+    place = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(MAP_BITS)) + 1  # bitmap functions number values from 1
     rows = (ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect())
-    held = {r["bucket"]: bytes(r["bits"]) for r in rows}
-    whole = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
-    for bucket, bits in held.items():
-        whole[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    whole = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
+    for row in rows:
+        whole[(row["bucket"] - 1) * 4096:row["bucket"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     shared = documents.sparkSession.sparkContext.broadcast(whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            p = np.asarray(batch.column("place"))
-            yield batch.select(["doc_id", "text"]).filter(pa.array((bits[p >> 3] >> (p & 7) & 1).astype(bool)))
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        p = places.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (p & 7) & 1).astype(bool))
 
-    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    return numbered.filter(F.col("doc_id").isNotNull()).withColumn("place", at).mapInArrow(run, "doc_id long, text string")
+    looked = maybe(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS))) & F.col("doc_id").isNotNull()
+    return documents.filter(looked), documents.filter(~looked)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,7 +264,8 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
 
     stars = cut_lineage(possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))
     ids = members.select(F.col("node").alias("id")).distinct()
-    texts = cut_lineage(involved_texts(documents, ids))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = cut_lineage(split_by_ids(rows, ids)[0])
     star_links = cut_lineage(confirm(stars, texts, size, share))
     first = cut_lineage(components(star_links))
     labelled = members.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -286,6 +285,19 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``documents``, of each group of near duplicates only the one with the smallest id, once.
+
+    Rows with a null id stay. Only rows of groups, and of ids that repeat, are moved to be told apart.
+    """
+    groups = cut_lineage(link_groups(documents, size, share).filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+                         .agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 or not kept"))
+    touched, others = split_by_ids(documents, groups.select(F.col("doc_id").alias("id")))
+    decided = touched.join(groups.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), F.col("doc_id") == F.col("__id"), "left")
+    kept = decided.filter(F.coalesce("__kept", F.lit(True))).select(*documents.columns).dropDuplicates(["doc_id"])
+    return others.unionByName(kept)
+
+
 @query("op4_neardup")
 def _(spark, sf_dir):
     return link_groups(table(spark, sf_dir, "documents"), size=3, share=(85, 100))
