@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import platform as PL
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import adapters as A
 from ..streaming import flows as FL
 from . import sqlbase as Q
@@ -18,11 +18,25 @@ def folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def landed(spark, sf, df, name):
-    """Write the adapter's rows as landing files, then read them as a stream."""
+#: Landing files come in so many slices of time, written one after the other, and in so many files a trigger.
+SLICES, FILES = 5, 64
+
+
+def landed(spark, sf, df, name, at="received_at", key="stream", margin=60_000):
+    """Write the adapter's rows as landing files in slices of time, then read them as a stream.
+
+    Gives the stream and the delay that no row exceeds: within a slice files come in any order. A last row, one delay
+    and a ``margin`` newer than all others, ends the replay.
+    """
     path = folder(spark, f"landing-{name}")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    rows = cut_lineage(df)
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    width = (high - low) // SLICES + 1
+    for i in range(SLICES):
+        rows.filter(F.floor((F.col(at) - low) / width) == i).write.mode("append").parquet(path)
+    end = spark.range(1).select(*[F.lit("~").alias(f.name) if f.name == key else F.lit(high + 2 * width + margin if f.name == at else None).cast(f.dataType).alias(f.name) for f in df.schema])
+    end.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path), f"{2 * width} milliseconds"
 
 
 def drained(spark, stream, name):
@@ -32,47 +46,73 @@ def drained(spark, stream, name):
     return spark.read.parquet(out)
 
 
-def prov_stream(spark, sf):
-    e = A.events_prov(spark, sf).withColumn("backfill", F.lit(False))
-    return FL.stream_key(landed(spark, sf, e, "prov"))
+def prov_events(spark, sf):
+    return FL.stream_key(A.events_prov(spark, sf).withColumn("backfill", F.lit(False)))
 
 
 @query("stream_continuity", Q.with_(Q.EVENTS_PROV, SEQ) + " SELECT event_id, sequence, sequence_status AS status, expected_sequence FROM seq")
 def _(spark, sf):
-    return drained(spark, FL.continuity(prov_stream(spark, sf)), "continuity").select("event_id", "sequence", "status", "expected_sequence")
+    stream, delay = landed(spark, sf, prov_events(spark, sf), "prov")
+    return drained(spark, FL.continuity(stream, delay), "continuity").select("event_id", "sequence", "status", "expected_sequence")
+
+
+@query("stream_gap_feed", Q.with_(Q.EVENTS_PROV, SEQ) + """ SELECT event_id, expected_sequence AS expected, sequence AS actual,
+  'sequence_' || sequence_status AS reason FROM seq WHERE sequence_status IN ('gap', 'regression')""")
+def _(spark, sf):
+    stream, delay = landed(spark, sf, prov_events(spark, sf), "prov")
+    return FL.gap_feed(drained(spark, FL.continuity(stream, delay), "gaps")).drop("stream")
 
 
-@query("stream_gap_feed", Q.with_(Q.EVENTS_PROV, SEQ) + " SELECT event_id, expected_sequence AS expected, sequence AS actual, 'sequence_' || sequence_status AS reason FROM seq WHERE sequence_status IN ('gap', 'regression')")
+@query("stream_backfill", Q.with_(Q.EVENTS_PROV) + """, marked AS (SELECT *, sequence % 8 = 3 AS backfill FROM prov), live AS (
+  SELECT event_id, max(sequence) OVER (PARTITION BY source, kind, instrument ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+  FROM marked WHERE NOT backfill)
+  SELECT event_id, CASE WHEN backfill THEN 'backfill' WHEN prior IS NULL THEN 'first' WHEN sequence <= prior THEN 'regression' WHEN sequence = prior + 1 THEN 'contiguous' ELSE 'gap' END AS status
+  FROM marked LEFT JOIN live USING (event_id)""")
 def _(spark, sf):
-    return FL.gap_feed(drained(spark, FL.continuity(prov_stream(spark, sf)), "gaps")).drop("stream")
+    """Records with every eighth sequence recovered instead of live: they pass without moving the state."""
+    e = FL.stream_key(A.events_prov(spark, sf))
+    recovered = F.col("sequence") % 8 == 3
+    stream, delay = landed(spark, sf, FL.with_backfill(e.filter(~recovered), e.filter(recovered)), "backfill")
+    return drained(spark, FL.continuity(stream, delay), "backfilled").select("event_id", "status")
+
+
+CARRIED = "struct<source:string,kind:string,effective_at:bigint,payload:struct<bid:double,ask:double,last:double>>"
+
+
+def assessed_stream(spark, sf):
+    """Streaming quality of events whose sequence status comes from the stream's own continuity."""
+    body = F.to_json(F.struct("source", "kind", "effective_at", "payload")).alias("body")
+    stream, delay = landed(spark, sf, prov_events(spark, sf).select("stream", "event_id", "sequence", "received_at", "backfill", body), "quality")
+    checked = FL.continuity(stream, delay, "body").withColumn("b", F.from_json("body", CARRIED)).select("stream", "event_id", "received_at", F.col("status").alias("sequence_status"), "b.*")
+    return FL.stream_quality(checked, policies(spark), F.col("sequence_status"))
 
 
-@query("stream_quality", Q.with_(Q.EVENTS_PROV, ASSESS) + """ SELECT event_id, CASE WHEN content IN ('no_positive_price', 'crossed_quote', 'invalid_equity_price') THEN 'quarantined'
-  WHEN reliability IS NULL OR stale OR content = 'one_sided_quote' THEN 'degraded' ELSE 'valid' END AS status FROM assessed""")
+@query("stream_quality", Q.with_(Q.EVENTS_PROV, ASSESS) + " SELECT event_id, status, round(score, 6) AS score FROM assessed")
 def _(spark, sf):
-    q = FL.stream_quality(prov_stream(spark, sf), policies(spark))
-    return drained(spark, q.select("event_id", "quality.status"), "quality")
+    return drained(spark, assessed_stream(spark, sf).select("event_id", "quality.status", F.round("quality.score", 6).alias("score")), "quality")
 
 
-@query("stream_dedup", "SELECT count(*) AS events FROM events")
+@query("stream_dedup", Q.with_(Q.EVENTS_PROV) + " SELECT event_id, received_at FROM prov")
 def _(spark, sf):
-    e = A.events_prov(spark, sf)
-    twice = e.unionByName(e.filter(F.col("sequence") % 8 == 0)).drop("payload")
-    return drained(spark, FL.dedup_events(landed(spark, sf, twice, "dedup"), "400 hours"), "dedup").agg(F.count(F.lit(1)).alias("events"))
+    e = FL.stream_key(A.events_prov(spark, sf)).drop("payload")
+    twice = e.unionByName(e.filter(F.col("sequence") % 8 == 0))
+    stream, delay = landed(spark, sf, twice, "dedup")
+    return drained(spark, FL.dedup_events(stream, delay), "dedup").filter("event_id IS NOT NULL").select("event_id", "received_at")
 
 
 @query("stream_bursts", None)
 def _(spark, sf):
     t = A.ticks(spark, sf).select(F.col("ticker").alias("key"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("at"))
-    return drained(spark, FL.burst_limit(landed(spark, sf, t, "bursts"), 3, 3_600_000, 600_000), "bursts").groupBy("key", "allowed").agg(F.count(F.lit(1)).alias("n"))
+    stream, delay = landed(spark, sf, t, "bursts", "at", "key")
+    return drained(spark, FL.burst_limit(stream, 3, 3_600_000, 600_000, delay), "bursts").groupBy("key", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_quality_windows", Q.with_(Q.EVENTS_PROV, ASSESS) + """, q AS (SELECT received_at // 86400000 AS day, source || '|' || kind || '|' || instrument AS stream, CASE WHEN content IN ('no_positive_price', 'crossed_quote', 'invalid_equity_price') THEN 'quarantined'
-  WHEN reliability IS NULL OR stale OR content = 'one_sided_quote' THEN 'degraded' ELSE 'valid' END AS status FROM assessed)
-  SELECT day, stream, status, count(*) AS events FROM q WHERE (day + 1) * 86400000 <= (SELECT max(received_at) FROM prov) - 10800000 GROUP BY ALL""")
+@query("stream_quality_windows", Q.with_(Q.EVENTS_PROV, ASSESS) + """ SELECT received_at // 86400000 AS day, source || '|' || kind || '|' || instrument AS stream,
+  CASE WHEN content IN ('no_positive_price', 'crossed_quote', 'invalid_equity_price') THEN 'quarantined'
+  WHEN reliability IS NULL OR stale OR content = 'one_sided_quote' THEN 'degraded' ELSE 'valid' END AS status, count(*) AS events FROM assessed GROUP BY ALL""")
 def _(spark, sf):
-    q = FL.stream_quality(prov_stream(spark, sf), policies(spark))
-    w = drained(spark, FL.quality_windows(q, "1 day", "3 hours"), "windows")
+    stream, delay = landed(spark, sf, prov_events(spark, sf), "windows", margin=2 * A.DAY_MS)
+    w = drained(spark, FL.quality_windows(FL.stream_quality(stream, policies(spark)), "1 day", delay), "windows").filter("stream <> '~'")
     return w.select(F.floor(F.unix_millis("window_start") / A.DAY_MS).alias("day"), "stream", "status", "events")
 
 
@@ -80,10 +120,10 @@ def _(spark, sf):
 def _(spark, sf):
     path, out = folder(spark, "landing-quotes"), folder(spark, "sink-peg")
     q = A.quotes(spark, sf)
-    q.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(q.schema).parquet(path)
-    FL.run_available(FL.live_peg(spark, stream, out, folder(spark, "checkpoint-peg"), A.SNAPSHOT_MS, list(A.TRIPLE_LISTED)), "")
-    return spark.read.option("basePath", out).parquet(out).select("snap_ts", "ticker", "token_mid", "premium_pct", "true_gap_pct")
+    q.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", max(1, FILES // 16)).parquet(path)
+    FL.run_available(FL.live_legs(stream, out, folder(spark, "checkpoint-peg"), A.SNAPSHOT_MS), "")
+    return FL.live_peg(spark, out, list(A.TRIPLE_LISTED)).select("snap_ts", "ticker", "token_mid", "premium_pct", "true_gap_pct")
 
 
 @query("forward_sessions", """SELECT CASE WHEN strftime(o_orderdate, '%Y-%m-%d') > '1999-12-31' THEN 'forward' ELSE 'replay' END AS mode, count(*) AS orders FROM orders GROUP BY 1""")

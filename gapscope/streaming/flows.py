@@ -1,11 +1,13 @@
 """Structured Streaming operators: continuity, quality, dedup, bursts, silence, live ticks.
 
-Per-stream state is a few numbers. A micro-batch is bounded by the source's rate options, and within it
-the rows of one stream are put in arrival order before the state moves.
+Results do not depend on how rows fall into micro-batches. Ordered operators hold a row until the watermark passes its
+time and then fold the rows of a stream in (time, id) order, so their state is a few numbers and the rows of one delay.
+A bounded replay ends with a row that is one delay newer than all others, which lets everything before it pass.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,43 +26,59 @@ def stream_key(df: DataFrame) -> DataFrame:
     return df.withColumn("stream", F.concat_ws("|", "source", "kind", F.coalesce("instrument", F.lit("_"))))
 
 
-def _arrivals(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(frames)
-    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-    return rows.sort_values(["received_at", "event_id"], kind="stable")
+def in_order(stream: DataFrame, key: str, at: str, tie: str, columns: list[str], fold: Callable, out: str, delay: str) -> DataFrame:
+    """Fold the rows of each key in (``at``, ``tie``) order, whatever the micro-batches.
 
-
-def continuity(stream: DataFrame) -> DataFrame:
+    ``fold(key, rows, memory)`` takes rows as lists in the order of ``columns`` and gives output rows and the new memory
+    (any JSON value, null at first). Rows that come more than ``delay`` after a newer one are late and are dropped.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+    at_place, tie_place = columns.index(at), columns.index(tie)
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, rows = (json.loads(x) for x in state.get) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for frame in frames:
+                plain = frame[columns].astype(object)
+                rows += plain.where(plain.notna(), None).values.tolist()
+        passed = state.getCurrentWatermarkMs()
+        ready = sorted((r for r in rows if r[at_place] <= passed), key=lambda r: (r[at_place], r[tie_place]))
+        rest = [r for r in rows if r[at_place] > passed]
+        made, memory = fold(keys[0], ready, memory)
+        state.update((json.dumps(memory), json.dumps(rest)))
+        if rest:
+            state.setTimeoutTimestamp(max(min(r[at_place] for r in rest), passed + 1))
+        yield pd.DataFrame(made, columns=names)
+
+    timed = stream.withColumn("event_time", F.timestamp_millis(at)).withWatermark("event_time", delay)
+    return timed.select(key, *[c for c in columns if c != key], "event_time").groupBy(key).applyInPandasWithState(
+        step, out, "memory string, rows string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def continuity(stream: DataFrame, delay: str = "2 hours", carry: str | None = None) -> DataFrame:
     """Sequence status of each record: first, contiguous, gap or regression.
 
-    ``stream``: stream, event_id, sequence, received_at, backfill. Regressions are not accepted. Records
-    without sequence and backfilled records pass without moving the state; a gap moves it to the record
-    that showed the gap, so a backfill that fills it does not count as regression.
+    ``stream``: stream, event_id, sequence, received_at, backfill, and a string column to ``carry`` along. Regressions
+    are not accepted. Records without sequence and backfilled records pass without moving the state; a gap moves it to
+    the record that showed the gap, so a backfill that fills it does not count as regression.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = _arrivals(frames)
-        status, expected, accepted = [], [], []
-        for seq, backfill in zip(rows["sequence"], rows["backfill"]):
-            if backfill or pd.isna(seq):
-                result, want = "backfill" if backfill else "unsequenced", None
+    def fold(key: str, rows: list, last: int | None) -> tuple[list, int | None]:
+        made = []
+        for event_id, seq, at, backfill, *more in rows:
+            want = None
+            if backfill or seq is None:
+                result = "backfill" if backfill else "unsequenced"
             elif last is None:
-                result, want, last = "first", None, int(seq)
+                result, last = "first", int(seq)
             else:
                 want = last + 1
                 result = "contiguous" if seq == want else "gap" if seq > want else "regression"
                 last = max(last, int(seq))
-            status.append(result)
-            expected.append(want)
-            accepted.append(result != "regression")
-        if last is not None:
-            state.update((last,))
-        yield rows[["event_id", "sequence", "received_at", "backfill"]].assign(
-            stream=key[0], status=status, expected_sequence=pd.array(expected, dtype="Int64"), accepted=accepted)[
-            ["stream", "event_id", "sequence", "received_at", "backfill", "status", "expected_sequence", "accepted"]]
+            made.append([key, event_id, seq, at, backfill, result, want, result != "regression", *more])
+        return made, last
 
-    rows = stream.select("stream", "event_id", "sequence", "received_at", "backfill")
-    return rows.groupBy("stream").applyInPandasWithState(step, CONTINUITY_OUT, "last long", "append", GroupStateTimeout.NoTimeout)
+    columns = ["event_id", "sequence", "received_at", "backfill", *([carry] if carry else [])]
+    return in_order(stream, "stream", "received_at", "event_id", columns, fold, CONTINUITY_OUT + (f", {carry} string" if carry else ""), delay)
 
 
 def gap_feed(checked: DataFrame) -> DataFrame:
@@ -77,7 +95,7 @@ def with_backfill(live: DataFrame, recovered: DataFrame) -> DataFrame:
 
 def stream_quality(stream: DataFrame, policies: DataFrame, sequence_status: Column | None = None) -> DataFrame:
     """Policy, freshness and content quality of streaming events; stateless but for the status given."""
-    rows = stream.join(F.broadcast(policies), "source", "left")
+    rows = stream.join(policies, "source", "left")
     return PL.add_quality(rows, sequence_status if sequence_status is not None else F.lit("first"))
 
 
@@ -87,40 +105,31 @@ def dedup_events(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def burst_limit(stream: DataFrame, limit: int, window_ms: int, lockout_ms: int = 0) -> DataFrame:
+def burst_limit(stream: DataFrame, limit: int, window_ms: int, lockout_ms: int = 0, delay: str = "2 hours") -> DataFrame:
     """Accept at most ``limit`` records per sliding window of each key, then lock the key out.
 
-    ``stream``: key, event_id, at. State: the accepted times inside the window and the end of the lockout.
+    ``stream``: key, event_id, at. Memory: the accepted times inside the window and the end of the lockout.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, locked = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        parts = list(frames)
-        rows = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(["at", "event_id"], kind="stable")
-        allowed, retry = [], []
-        for now in rows["at"]:
-            now = int(now)
+    def fold(key: str, rows: list, memory: list | None) -> tuple[list, list]:
+        times, locked = memory or [[], 0]
+        made = []
+        for event_id, now in rows:
             times = [t for t in times if now - t < window_ms]
             if locked > now:
-                allowed.append(False)
-                retry.append(locked - now)
+                made.append([key, event_id, now, False, locked - now])
                 continue
             locked = 0
             if len(times) >= limit:
                 wait = max(1, window_ms - (now - times[0]))
                 locked = now + lockout_ms if lockout_ms > 0 else 0
-                allowed.append(False)
-                retry.append(max(wait, lockout_ms))
+                made.append([key, event_id, now, False, max(wait, lockout_ms)])
                 continue
             times.append(now)
-            allowed.append(True)
-            retry.append(0)
-        state.update((times, locked))
-        yield rows[["event_id", "at"]].assign(key=key[0], allowed=allowed, retry_after_ms=retry)[
-            ["key", "event_id", "at", "allowed", "retry_after_ms"]]
+            made.append([key, event_id, now, True, 0])
+        return made, [times, locked]
 
-    return stream.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(
-        step, "key string, event_id string, at long, allowed boolean, retry_after_ms long", "times array<long>, locked long", "append",
-        GroupStateTimeout.NoTimeout)
+    return in_order(stream, "key", "at", "event_id", ["event_id", "at"], fold,
+                    "key string, event_id string, at long, allowed boolean, retry_after_ms long", delay)
 
 
 def silence_detector(stream: DataFrame, quiet_ms: int) -> DataFrame:
@@ -149,25 +158,34 @@ def quality_windows(stream: DataFrame, width: str = "10 minutes", delay: str = "
         F.col("window.start").alias("window_start"), "stream", "status", "events")
 
 
-def live_peg(spark: SparkSession, quotes: DataFrame, out: str, checkpoint: str, bucket_ms: int, triple_listed: list[str]):
-    """Start a query that appends one peg row per (batch, snapshot, ticker) from the batch's latest quotes.
+LEGS = ("token", "perp", "listed", "equity")
 
-    The batch id is a directory of the sink, and a retried batch overwrites its own directory.
+
+def live_legs(quotes: DataFrame, out: str, checkpoint: str, bucket_ms: int):
+    """A writer that appends, per batch, the latest quote of each (snapshot, ticker, leg) among the batch's quotes.
+
+    The batch id is a directory of the sink, and a retried batch overwrites its own directory. What a leg was in
+    earlier batches stays in theirs: the newest over all batches is the leg's quote, however many batches there were.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = G.derive(snapshot_legs(batch, bucket_ms, triple_listed))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        latest = F.max_by(F.struct("ts", "event_id", "symbol", "bid", "ask", "last", "k"), F.struct("ts", "event_id"))
+        snap = ((F.floor(F.col("ts") / bucket_ms) + 1) * bucket_ms).alias("snap_ts")
+        batch.groupBy(snap, "ticker", "leg").agg(latest.alias("q")).select("snap_ts", "ticker", "leg", "q.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def snapshot_legs(quotes: DataFrame, bucket_ms: int, triple_listed: list[str]) -> DataFrame:
+def live_peg(spark: SparkSession, out: str, triple_listed: list[str]) -> DataFrame:
+    """Peg rows of all snapshots from the legs recorded so far, one per (snapshot, ticker)."""
+    return G.derive(snapshot_legs(spark.read.option("basePath", out).parquet(out), triple_listed))
+
+
+def snapshot_legs(legs: DataFrame, triple_listed: list[str]) -> DataFrame:
     """Latest quote of each leg per snapshot and ticker, legs side by side."""
     from ..functions import pricing as P
     at = F.struct("ts", "event_id")
     rec = F.struct("symbol", "bid", "ask", "last", "k")
-    pick = lambda leg: F.max_by(rec, F.when(F.col("leg") == leg, at)).alias(leg)
-    cells = quotes.groupBy(((F.floor(F.col("ts") / bucket_ms) + 1) * bucket_ms).alias("snap_ts"), "ticker").agg(*[pick(x) for x in ("token", "perp", "listed", "equity")])
+    cells = legs.groupBy("snap_ts", "ticker").agg(*[F.max_by(rec, F.when(F.col("leg") == leg, at)).alias(leg) for leg in LEGS])
     mid = lambda leg: P.mid(F.col(f"{leg}.bid"), F.col(f"{leg}.ask"), F.col(f"{leg}.last")).alias(f"{leg}_mid")
     return cells.select("snap_ts", "ticker", F.col("token.symbol").alias("token_symbol"), mid("token"), (F.col("token.k") % 3).alias("token_levels"), mid("perp"), mid("listed"),
                         F.col("equity.last").alias("equity_price"), F.lit(None).cast("string").alias("market_state"), F.col("ticker").isin(*triple_listed).alias("triple_listed"))

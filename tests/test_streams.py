@@ -3,12 +3,15 @@ from __future__ import annotations
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gapscope.operators import platform as PL
 from gapscope.streaming import flows as FL
 
 SCHEMA = "stream string, event_id string, sequence long, received_at long, backfill boolean"
+END = ("~", None, None, 10_000_000, None)
 
 
 def batches(spark, tmp_path, schema, *parts):
@@ -30,7 +33,7 @@ def test_continuity_spans_batches_and_backfill_resumes(spark, tmp_path):
     s = batches(spark, tmp_path, SCHEMA,
                 [("a", "1", 1, 10, False), ("a", "2", 2, 20, False), ("b", "1", 7, 10, False)],
                 [("a", "3", 5, 30, False), ("a", "3b", 3, 31, True), ("a", "4", 6, 40, False)],
-                [("a", "5", 6, 50, False), ("a", "6", 7, 60, False), ("b", "2", 8, 20, False)])
+                [("a", "5", 6, 50, False), ("a", "6", 7, 60, False), ("b", "2", 8, 20, False)], [END])
     out = drain(spark, tmp_path, FL.continuity(s), "out")
     got = {(r["stream"], r["event_id"]): (r["status"], r["accepted"]) for r in out.collect()}
     assert got == {("a", "1"): ("first", True), ("a", "2"): ("contiguous", True), ("b", "1"): ("first", True), ("a", "3"): ("gap", True), ("a", "3b"): ("backfill", True),
@@ -39,13 +42,25 @@ def test_continuity_spans_batches_and_backfill_resumes(spark, tmp_path):
 
 
 def test_stream_equals_its_batch_twin(spark, tmp_path):
-    rows = [("a", f"{i:03d}", (i * 7) % 40, i, False) for i in range(60)]
-    out = drain(spark, tmp_path, FL.continuity(batches(spark, tmp_path, SCHEMA, rows[:20], rows[20:45], rows[45:])), "out")
+    rows = [("a", f"{i:03d}", (i * 7) % 40, i + 1, False) for i in range(60)]
+    out = drain(spark, tmp_path, FL.continuity(batches(spark, tmp_path, SCHEMA, rows[:20], rows[20:45], rows[45:], [END])), "out")
     whole = spark.createDataFrame(rows, SCHEMA)
     twin = PL.sequence_status(whole, ["stream"])
     assert sorted((r["event_id"], r["status"]) for r in out.collect()) == sorted((r["event_id"], r["sequence_status"]) for r in twin.collect())
 
 
+@pytest.mark.parametrize("files, slices", [(1, 3), (4, 5), (100, 1)])
+def test_stream_queries_do_not_depend_on_batches(spark, monkeypatch, files, slices):
+    from gapscope.catalog import load_registry, streams
+    from test_catalog import same_as_oracle
+
+    monkeypatch.setattr(streams, "FILES", files)
+    monkeypatch.setattr(streams, "SLICES", slices)
+    registry = load_registry()
+    for name in ("stream_continuity", "stream_dedup", "live_peg"):
+        same_as_oracle(spark, registry[name])
+
+
 def test_dedup_across_batches(spark, tmp_path):
     schema = "event_id string, received_at long"
     s = batches(spark, tmp_path, schema, [("a", 1000), ("a", 1000)], [("a", 2000), ("b", 3000)])
@@ -54,7 +69,7 @@ def test_dedup_across_batches(spark, tmp_path):
 
 def test_burst_limit_locks_out(spark, tmp_path):
     schema = "key string, event_id string, at long"
-    s = batches(spark, tmp_path, schema, [("k", "1", 0), ("k", "2", 10), ("k", "3", 20)], [("k", "4", 60), ("k", "5", 125), ("j", "1", 20)])
+    s = batches(spark, tmp_path, schema, [("k", "1", 1), ("k", "2", 11), ("k", "3", 21)], [("k", "4", 61), ("k", "5", 126), ("j", "1", 21)], [("~", None, 10_000_000)])
     rows = {(r["key"], r["event_id"]): (r["allowed"], r["retry_after_ms"]) for r in drain(spark, tmp_path, FL.burst_limit(s, 2, 50, 100), "out").collect()}
     assert rows == {("k", "1"): (True, 0), ("k", "2"): (True, 0), ("k", "3"): (False, 100), ("k", "4"): (False, 60), ("k", "5"): (True, 0), ("j", "1"): (True, 0)}
 
