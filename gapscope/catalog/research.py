@@ -186,9 +186,17 @@ SECOND = ("sig AS (SELECT *, " + verdict_sql("50", "side") + " AS verdict FROM (
   SELECT *, NOT (side = 'sell' OR (guarded AND verdict = 'REJECT')) AS ok, CASE WHEN guarded AND verdict = 'ALLOW_CAPPED' THEN max_size_usd::DOUBLE ELSE 50.0::DOUBLE END AS size FROM tw), fe AS (
   SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY agent, session, ticker) AS entry_tick FROM fl), ends AS (SELECT session, max(tick) AS tick FROM st GROUP BY session), fin AS (
   SELECT s.session, s.ticker, s.token_mid AS final_mid FROM st s JOIN ends USING (session, tick)), pn AS (
-  SELECT e.*, CASE WHEN ok THEN size * (coalesce(f.final_mid, token_mid) / token_mid - 1) - size * 0.1 / 100 - size * (coalesce(f.final_mid, token_mid) / token_mid) * 0.1 / 100 END AS pnl
-  FROM fe e LEFT JOIN fin f ON f.session = e.session AND f.ticker = e.ticker WHERE entry_tick IS NULL OR e.tick <= entry_tick), second AS (
-  SELECT agent, count(*) FILTER (ok) AS fills, count(*) FILTER (NOT ok) AS blocks, coalesce(sum(pnl), 0) AS net_pnl, coalesce(-sum(least(pnl, 0)), 0) AS max_drawdown FROM pn GROUP BY agent)""")
+  SELECT e.*, f.final_mid, CASE WHEN ok THEN size * (coalesce(f.final_mid, token_mid) / token_mid - 1) - size * 0.1 / 100 - size * (coalesce(f.final_mid, token_mid) / token_mid) * 0.1 / 100 END AS pnl
+  FROM fe e LEFT JOIN fin f ON f.session = e.session AND f.ticker = e.ticker WHERE entry_tick IS NULL OR e.tick <= entry_tick), op AS (
+  SELECT agent, session, ticker, tick, size, token_mid AS entry, coalesce(final_mid, token_mid) AS final FROM pn WHERE ok), path AS (
+  SELECT a.agent, a.session, 0 AS phase, a.tick, a.ticker, sum(b.size * (coalesce(m.token_mid, b.entry) / b.entry - 1.001)) AS equity FROM op a
+  JOIN op b ON a.agent = b.agent AND a.session = b.session AND (b.tick < a.tick OR (b.tick = a.tick AND b.ticker <= a.ticker))
+  LEFT JOIN st m ON m.session = b.session AND m.ticker = b.ticker AND m.tick = a.tick GROUP BY ALL
+  UNION ALL SELECT agent, session, 1, tick, ticker, sum(size * (final / entry - 1.001)) OVER (PARTITION BY agent, session)
+    - sum(size * final / entry * 0.001) OVER (PARTITION BY agent, session ORDER BY tick, ticker ROWS UNBOUNDED PRECEDING) FROM op), falls AS (
+  SELECT agent, greatest(0, max(equity) OVER (PARTITION BY agent, session ORDER BY phase, tick, ticker ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM path), second AS (
+  SELECT agent, count(*) FILTER (ok) AS fills, count(*) FILTER (NOT ok) AS blocks, coalesce(sum(pnl), 0) AS net_pnl,
+    coalesce((SELECT max(fall) FROM falls f WHERE f.agent = pn.agent), 0) AS max_drawdown FROM pn GROUP BY agent)""")
 
 
 @query("second_arena", Q.with_(*ST_CERT, *SECOND) + " SELECT * FROM second", "net_pnl max_drawdown")
@@ -207,22 +215,28 @@ def _(spark, sf):
 
 
 @query("threshold_sweep", Q.with_(*ST_CERT) + """, th AS (
-  SELECT c.*, t.threshold, """ + verdict_sql("50", "'buy'") + """ <> 'REJECT' AS ok FROM certs c CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]) AS threshold) t
-  WHERE token_mid > 0 AND true_gap_pct <= -t.threshold), fe AS (SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY threshold, session, ticker) AS entry_tick FROM th),
+  SELECT c.*, t.threshold, CASE WHEN true_gap_pct < 0 THEN 'buy' ELSE 'sell' END AS side FROM certs c
+  CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]) AS threshold) t WHERE token_mid > 0 AND abs(true_gap_pct) >= t.threshold), tv AS (
+  SELECT *, """ + verdict_sql("50", "side") + """ AS verdict FROM th), tb AS (
+  SELECT *, verdict = 'REJECT' OR side = 'sell' AS blocked, CASE WHEN verdict = 'ALLOW_CAPPED' THEN max_size_usd::DOUBLE ELSE 50.0::DOUBLE END AS size FROM tv), to_ AS (
+  SELECT *, NOT blocked AND size > 0 AS ok FROM tb), fe AS (SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY threshold, session, ticker) AS entry_tick FROM to_),
   ends AS (SELECT session, max(tick) AS tick FROM st GROUP BY session), fin AS (SELECT s.session, s.ticker, s.token_mid AS final_mid FROM st s JOIN ends USING (session, tick))
-  SELECT threshold, count(*) FILTER (ok) AS fills, count(*) FILTER (NOT ok) AS blocks,
-    coalesce(sum(50 * (coalesce(final_mid, token_mid) / token_mid - 1) - 0.05 * (1 + coalesce(final_mid, token_mid) / token_mid)) FILTER (ok), 0) AS net_pnl
+  SELECT threshold, count(*) FILTER (ok) AS fills, count(*) FILTER (blocked) AS blocks,
+    coalesce(sum(size * (coalesce(final_mid, token_mid) / token_mid - 1) - size * 0.001 * (1 + coalesce(final_mid, token_mid) / token_mid)) FILTER (ok), 0) AS net_pnl
   FROM fe LEFT JOIN fin USING (session, ticker) WHERE entry_tick IS NULL OR fe.tick <= entry_tick GROUP BY threshold""", "net_pnl")
 def _(spark, sf):
     return AR.threshold_sweep(ticks(spark, sf))
 
 
 @query("best_threshold", Q.with_(*ST_CERT) + """, th AS (
-  SELECT c.*, t.threshold, """ + verdict_sql("50", "'buy'") + """ <> 'REJECT' AS ok FROM certs c CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]) AS threshold) t
-  WHERE token_mid > 0 AND true_gap_pct <= -t.threshold), fe AS (SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY threshold, session, ticker) AS entry_tick FROM th),
+  SELECT c.*, t.threshold, CASE WHEN true_gap_pct < 0 THEN 'buy' ELSE 'sell' END AS side FROM certs c
+  CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]) AS threshold) t WHERE token_mid > 0 AND abs(true_gap_pct) >= t.threshold), tv AS (
+  SELECT *, """ + verdict_sql("50", "side") + """ AS verdict FROM th), tb AS (
+  SELECT *, verdict = 'REJECT' OR side = 'sell' AS blocked, CASE WHEN verdict = 'ALLOW_CAPPED' THEN max_size_usd::DOUBLE ELSE 50.0::DOUBLE END AS size FROM tv), to_ AS (
+  SELECT *, NOT blocked AND size > 0 AS ok FROM tb), fe AS (SELECT *, min(CASE WHEN ok THEN tick END) OVER (PARTITION BY threshold, session, ticker) AS entry_tick FROM to_),
   ends AS (SELECT session, max(tick) AS tick FROM st GROUP BY session), fin AS (SELECT s.session, s.ticker, s.token_mid AS final_mid FROM st s JOIN ends USING (session, tick)), sw AS (
-  SELECT threshold, count(*) FILTER (ok) AS fills, count(*) FILTER (NOT ok) AS blocks,
-    coalesce(sum(50 * (coalesce(final_mid, token_mid) / token_mid - 1) - 0.05 * (1 + coalesce(final_mid, token_mid) / token_mid)) FILTER (ok), 0) AS net_pnl
+  SELECT threshold, count(*) FILTER (ok) AS fills, count(*) FILTER (blocked) AS blocks,
+    coalesce(sum(size * (coalesce(final_mid, token_mid) / token_mid - 1) - size * 0.001 * (1 + coalesce(final_mid, token_mid) / token_mid)) FILTER (ok), 0) AS net_pnl
   FROM fe LEFT JOIN fin USING (session, ticker) WHERE entry_tick IS NULL OR fe.tick <= entry_tick GROUP BY threshold)
   SELECT threshold, net_pnl, fills, blocks FROM sw ORDER BY round(net_pnl, 9) DESC, threshold LIMIT 1""", "net_pnl")
 def _(spark, sf):

@@ -216,7 +216,8 @@ def dominant_state(ticks: DataFrame) -> DataFrame:
 def second_arena(ticks: DataFrame, start_balance: float = 1000.0, fee_pct: float = 0.1) -> DataFrame:
     """The second agent set with guarded twins: fills, blocks and net PnL of long entries.
 
-    Sells are always blocked; a fill holds to the end of its session.
+    Sells are always blocked; a fill holds to the end of its session. ``max_drawdown`` is the largest fall of an
+    agent's equity below its high water in any session, seen after every fill and every closing sale.
     """
     signals = R.second_agent_signals(F.col("true_gap_pct"), F.col("premium_pct"), F.col("tick"))
     rows = with_verdict(unpivot_signals(certified(ticks), signals), NOTIONAL, F.col("side")).filter(F.col("token_mid") > 0)
@@ -234,9 +235,33 @@ def second_arena(ticks: DataFrame, start_balance: float = 1000.0, fee_pct: float
     ret = F.coalesce("final_mid", "token_mid") / F.col("token_mid") - 1
     fee = F.col("size") * fee_pct / 100
     pnl = F.when(F.col("ok"), F.col("size") * ret - fee - F.col("size") * (1 + ret) * fee_pct / 100)
-    return rows.groupBy("agent").agg(
-        F.sum(F.col("ok").cast("int")).alias("fills"), F.sum((~F.col("ok")).cast("int")).alias("blocks"),
-        F.coalesce(F.sum(pnl), F.lit(0.0)).alias("net_pnl"), F.coalesce(-F.sum(F.least(pnl, F.lit(0.0))), F.lit(0.0)).alias("max_drawdown"))
+    opened = rows.filter(F.col("ok")).select("agent", "session", "ticker", "tick", "size", F.col("token_mid").alias("entry"), F.coalesce("final_mid", "token_mid").alias("final"))
+    falls = drawdowns(opened, ticks, fee_pct).groupBy("agent").agg(F.max("drawdown").alias("max_drawdown"))
+    totals = rows.groupBy("agent").agg(F.sum(F.col("ok").cast("int")).alias("fills"), F.sum((~F.col("ok")).cast("int")).alias("blocks"), F.coalesce(F.sum(pnl), F.lit(0.0)).alias("net_pnl"))
+    return totals.join(falls, "agent", "left").withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
+
+
+def drawdowns(opened: DataFrame, ticks: DataFrame, fee_pct: float) -> DataFrame:
+    """Largest fall below the high water of each (agent, session), from its positions.
+
+    ``opened``: agent, session, ticker, tick, size, entry, final. After each opening, all positions opened so far are
+    marked at that tick (at their entry where there is no quote); at the end they are sold in opening order. A session
+    has at most one position per ticker, so the pairs of positions are bounded by the square of the universe.
+    """
+    rate = fee_pct / 100
+    one = opened.select("agent", "session", F.col("ticker").alias("at_ticker"), F.col("tick").alias("at_tick"))
+    earlier = one.join(opened, ["agent", "session"]).filter((F.col("tick") < F.col("at_tick")) | ((F.col("tick") == F.col("at_tick")) & (F.col("ticker") <= F.col("at_ticker"))))
+    marks = ticks.select("session", "ticker", F.col("tick").alias("at_tick"), F.col("token_mid").alias("mark"))
+    marked = earlier.join(marks, ["session", "ticker", "at_tick"], "left")
+    value = F.sum(F.col("size") * (F.coalesce("mark", "entry") / F.col("entry") - 1 - rate)).alias("equity")
+    opening = marked.groupBy("agent", "session", F.lit(0).alias("phase"), F.col("at_tick").alias("tick"), F.col("at_ticker").alias("ticker")).agg(value)
+    all_rows = Window.partitionBy("agent", "session")
+    so_far = all_rows.orderBy("tick", "ticker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = F.sum(F.col("size") * (F.col("final") / F.col("entry") - 1 - rate)).over(all_rows) - F.sum(F.col("size") * F.col("final") / F.col("entry") * rate).over(so_far)
+    closing = opened.select("agent", "session", F.lit(1).alias("phase"), "tick", "ticker", kept.alias("equity"))
+    path = opening.unionByName(closing)
+    high = F.greatest(F.lit(0.0), F.max("equity").over(all_rows.orderBy("phase", "tick", "ticker").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return path.withColumn("fall", high - F.col("equity")).groupBy("agent", "session").agg(F.max("fall").alias("drawdown"))
 
 
 def guard_delta(results: DataFrame) -> DataFrame:
@@ -254,19 +279,26 @@ def guard_delta(results: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(ticks: DataFrame, thresholds=(0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0), fee_pct: float = 0.1) -> DataFrame:
-    """Guarded long-only replay at several gap thresholds: fills, blocks and PnL of each."""
-    rows = with_verdict(certified(ticks), NOTIONAL, F.lit("buy")).filter((F.col("token_mid") > 0) & F.col("true_gap_pct").isNotNull())
-    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).filter(F.col("true_gap_pct") <= -F.col("threshold"))
-    rows = rows.withColumn("ok", F.col("verdict") != "REJECT")
+    """Guarded replay at several gap thresholds: fills, blocks and PnL of each.
+
+    Discounts are bought and rich gaps are sells; rejected intents and all sells are blocked, a capped one fills at its
+    cap. Each (session, ticker) is a sleeve of its own: it stops at its first fill, which holds to the session's end.
+    """
+    side = F.when(F.col("true_gap_pct") < 0, "buy").otherwise("sell")
+    rows = with_verdict(certified(ticks).filter((F.col("token_mid") > 0) & F.col("true_gap_pct").isNotNull()), NOTIONAL, side).withColumn("side", side)
+    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).filter(F.abs("true_gap_pct") >= F.col("threshold"))
+    size = F.when(F.col("verdict") == "ALLOW_CAPPED", F.col("max_size_usd").cast("double")).otherwise(F.lit(NOTIONAL).cast("double"))
+    rows = rows.withColumn("blocked", (F.col("verdict") == "REJECT") | (F.col("side") == "sell")).withColumn("size", size)
+    rows = rows.withColumn("ok", ~F.col("blocked") & (F.col("size") > 0))
     w = Window.partitionBy("threshold", "session", "ticker")
     rows = rows.withColumn("entry_tick", F.min(F.when(F.col("ok"), F.col("tick"))).over(w)).filter(
         F.col("entry_tick").isNull() | (F.col("tick") <= F.col("entry_tick")))
     ends = ticks.groupBy("session").agg(F.max("tick").alias("tick"))
-    last = ticks.join(F.broadcast(ends), ["session", "tick"]).select("session", "ticker", F.col("token_mid").alias("final_mid"))
+    last = ticks.join(ends, ["session", "tick"]).select("session", "ticker", F.col("token_mid").alias("final_mid"))
     ret = F.coalesce("final_mid", "token_mid") / F.col("token_mid") - 1
-    pnl = NOTIONAL * ret - NOTIONAL * fee_pct / 100 * (2 + ret)
+    pnl = F.col("size") * ret - F.col("size") * fee_pct / 100 * (2 + ret)
     return rows.join(last, ["session", "ticker"], "left").groupBy("threshold").agg(
-        F.sum(F.col("ok").cast("int")).alias("fills"), F.sum((~F.col("ok")).cast("int")).alias("blocks"),
+        F.sum(F.col("ok").cast("int")).alias("fills"), F.sum(F.col("blocked").cast("int")).alias("blocks"),
         F.coalesce(F.sum(F.when(F.col("ok"), pnl)), F.lit(0.0)).alias("net_pnl"))
 
 
