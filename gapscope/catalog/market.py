@@ -102,7 +102,7 @@ def _(spark, sf):
 
 
 NEWS_CTX = """pts AS (SELECT DISTINCT ticker, snap_ts AS now FROM peg), alias(ticker, pat) AS (VALUES """ + ", ".join(
-    f"('{t}', '{G.mention_pattern(a)}')" for t, names in ALIASES.items() for a in names) + f"""), named AS (
+    f"('{t}', '{G.mention_pattern(a)}')" for t, names in ALIASES.items() for a in (t, *names)) + f"""), named AS (
   SELECT a.ticker, n.published_at AS t, n.news_id, n.title, regexp_matches(n.title, '{CATALYST}') AS catalyst, regexp_matches(n.title, '{EARNINGS}') AS earnings
   FROM news n JOIN alias a ON regexp_matches(n.title, a.pat)), rel AS (
   SELECT p.ticker, p.now, count(n.t) AS relevant_count, count(n.t) FILTER (n.catalyst) AS cats, max_by(n.title, (n.t, n.news_id)) AS latest_title
@@ -280,6 +280,21 @@ def assessed(spark, sf):
     return PL.assess(A.events_prov(spark, sf), policies(spark))
 
 
+@query("book_event_quality", Q.with_(Q.QUOTES) + """, b AS (SELECT event_id, k, CASE WHEN k % 7 = 0 THEN 0 ELSE bid END AS bid, ask FROM quotes)
+  SELECT event_id, CASE WHEN bid IS NULL OR ask IS NULL THEN 'degraded' WHEN bid <= 0 OR ask <= 0 OR bid > ask THEN 'quarantined' ELSE 'valid' END AS status,
+    CASE WHEN bid IS NULL OR ask IS NULL THEN 'empty_or_one_sided_book' WHEN bid <= 0 OR ask <= 0 THEN 'invalid_book_price' WHEN bid > ask THEN 'crossed_book' END AS reason FROM b""")
+def _(spark, sf):
+    """Quotes as books of one level each side; every seventh has a zero bid."""
+    def level(price, size):
+        return F.when(price.isNotNull(), F.array(F.struct(price.cast("double").alias("price"), F.col(size).cast("double").alias("size"))))
+
+    bid = F.when((F.col("k") % 7 == 0), 0.0).otherwise(F.col("bid"))
+    books = A.quotes(spark, sf).select(
+        "event_id", F.lit("market.book").alias("kind"), F.lit(0.98).alias("reliability"), F.lit(60_000).alias("max_age_ms"), F.col("ts").alias("effective_at"), F.col("ts").alias("received_at"),
+        F.struct(F.col("bid"), F.col("ask"), F.col("last"), level(bid, "bid_size").alias("bids"), level(F.col("ask"), "ask_size").alias("asks")).alias("payload"))
+    return PL.add_quality(books, F.lit("first")).select("event_id", "quality.status", F.get("quality.reasons", F.lit(0)).alias("reason"))
+
+
 @query("sequence_status", Q.with_(Q.EVENTS_PROV, SEQ) + " SELECT event_id, prior_sequence, expected_sequence, sequence_status FROM seq")
 def _(spark, sf):
     return PL.sequence_status(A.events_prov(spark, sf)).select("event_id", "prior_sequence", "expected_sequence", "sequence_status")

@@ -269,9 +269,9 @@ GRID = """cfg AS MATERIALIZED (
       (VALUES (0, 0.75::DOUBLE), (1, 1.25::DOUBLE), (2, 2.0::DOUBLE)) e(ti, take_profit_pct), (VALUES (0, 0.75::DOUBLE), (1, 1.25::DOUBLE), (2, 2.5::DOUBLE)) f(li, stop_loss_pct),
       (VALUES (0, 15), (1, 30), (2, 9999)) g(hi, max_hold)))"""
 
-SWEEP = GRID + """, sbars AS MATERIALIZED (
-  SELECT session, ticker, tick AS i, true_gap_pct, premium_pct, price, row_number() OVER (PARTITION BY session, ticker ORDER BY tick) AS rn,
-         count(*) OVER (PARTITION BY session, ticker) AS cnt, max(tick) OVER (PARTITION BY session) AS session_end FROM st), swalk AS (
+SWEEP = GRID + """, anchored AS (SELECT session, tick, row_number() OVER (PARTITION BY session ORDER BY tick) - 1 AS i FROM (SELECT DISTINCT session, tick FROM st WHERE equity_price IS NOT NULL)), sbars AS MATERIALIZED (
+  SELECT session, ticker, i, true_gap_pct, premium_pct, price, row_number() OVER (PARTITION BY session, ticker ORDER BY i) AS rn,
+         count(*) OVER (PARTITION BY session, ticker) AS cnt, max(i) OVER (PARTITION BY session) AS session_end FROM st JOIN anchored USING (session, tick)), swalk AS (
   SELECT s.session, s.ticker, c.grid_index, c.source, c.direction, c.entry_pct, c.exit_pct, c.take_profit_pct, c.stop_loss_pct, c.max_hold, 0::BIGINT AS rn,
          false AS open, 0.0::DOUBLE AS entry, 0::BIGINT AS entry_i, NULL::DOUBLE AS ratio, NULL::BIGINT AS exit_i, NULL::DOUBLE AS ratio2, NULL::BIGINT AS exit_i2
   FROM (SELECT DISTINCT session, ticker FROM sbars) s CROSS JOIN cfg c

@@ -121,7 +121,7 @@ def mention_pattern(alias: str) -> str:
 
 def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: str = R.CATALYST,
              earnings: str = R.EARNINGS) -> DataFrame:
-    """One row per headline and ticker it names; the alias list is a fixed dimension.
+    """One row per headline and ticker it names, by its symbol or one of its names; the alias list is a fixed dimension.
 
     All plain words are found in one pass over each text, however many tickers there are: whole words never
     overlap, so one alternation misses none. Names with other characters are searched as phrases.
@@ -129,7 +129,7 @@ def mentions(news: DataFrame, aliases: Mapping[str, Sequence[str]], catalyst: st
     owners: dict[str, list[str]] = {}
     phrases = []
     for ticker, names in aliases.items():
-        for a in names:
+        for a in dict.fromkeys((ticker, *names)):
             if re.fullmatch(r"[A-Za-z0-9]+", a):
                 owners.setdefault(a.lower(), []).append(ticker)
             else:

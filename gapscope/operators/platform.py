@@ -53,17 +53,22 @@ def add_quality(rows: DataFrame, sequence_status: Column) -> DataFrame:
     """Merge policy, age, content and sequence verdicts into one quality column.
 
     Parts are merged side by side, which equals merging them in turn: the worst status, the lowest
-    score, all reasons in order.
+    score, all reasons in order. A ``market.book`` event has its book in ``payload.bids`` and ``payload.asks``; without
+    them it counts as empty.
     """
     known = F.col("reliability").isNotNull()
     clear = F.struct(F.lit("valid").alias("status"), F.col("reliability").alias("score"), F.array().cast("array<string>").alias("reasons"))
     bid, ask, last = F.col("payload.bid"), F.col("payload.ask"), F.col("payload.last")
+    has_book = {"bids", "asks"} <= set(rows.schema["payload"].dataType.fieldNames())
+    levels = "array<struct<price:double,size:double>>"
+    bids, asks = (F.col(f"payload.{c}") if has_book else F.lit(None).cast(levels) for c in ("bids", "asks"))
     parts = {
         "__policy": F.when(known, clear).otherwise(QL.verdict("degraded", 0.5, "unregistered_source")),
         "__age": F.when(F.col("received_at") - F.col("effective_at") > F.col("max_age_ms"),
                         QL.verdict("degraded", 0.4, "effective_data_stale")).otherwise(QL.verdict("valid", 1)),
         "__content": (F.when(F.col("kind") == "market.quote", QL.quote_quality(bid, ask, last))
                       .when(F.col("kind") == "equity.quote", QL.equity_quality(F.lit(None).cast("double"), last))
+                      .when(F.col("kind") == "market.book", QL.book_quality(bids, asks))
                       .otherwise(QL.verdict("valid", 1))),
         "__seq": (F.when(sequence_status == "regression", QL.verdict("quarantined", 0, "sequence_regression"))
                   .when(sequence_status == "gap", QL.verdict("degraded", 0.5, "sequence_gap")).otherwise(QL.verdict("valid", 1))),

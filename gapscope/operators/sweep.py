@@ -103,14 +103,24 @@ def _walk(bars: tuple, end: int, c: dict) -> pd.DataFrame:
     return pd.concat([f.astype({"entry_i": "Int64", "exit_i": "Int64"}) for f in found], ignore_index=True)
 
 
+def anchored_ticks(ticks: DataFrame) -> DataFrame:
+    """Ticks of snapshots in which some row has an anchor, numbered anew within their session from 0."""
+    kept = ticks.filter(F.col("equity_price").isNotNull()).select("session", "tick").distinct()
+    place = F.row_number().over(Window.partitionBy("session").orderBy("tick")) - 1  # one row per snapshot of a session
+    return ticks.join(kept.withColumn("__i", place.cast(ticks.schema["tick"].dataType)), ["session", "tick"]).withColumn("tick", F.col("__i")).drop("__i")
+
+
 def sweep_trades(ticks: DataFrame, configs: pd.DataFrame | Mapping[str, Sequence] = STANDARD_GRID, config: Sequence[str] = ("grid_index",)) -> DataFrame:
     """Trades of every rule set on every (session, ticker), as independent sleeves.
 
     ``ticks``: session, ticker, tick, true_gap_pct, premium_pct, price. ``configs``: axes of a grid, or a small
     table of rule columns named by ``config``. Spark spreads (session, ticker, block of rule sets); inside,
     rule sets are numpy vectors. ``ratio`` is exit over entry price; a rule set without trades on a series
-    keeps one row without a ratio. Rows name their rule set only; ``with_rules`` adds its columns.
+    keeps one row without a ratio. Rows name their rule set only; ``with_rules`` adds its columns. Where ``ticks`` has
+    an ``equity_price``, snapshots in which no row has one are dropped first, and holds count the snapshots that stay.
     """
+    if "equity_price" in ticks.columns:
+        ticks = anchored_ticks(ticks)
     table = configs if isinstance(configs, pd.DataFrame) else grid_configs(configs)
     table = table[[*config, *RULE_COLUMNS]].reset_index(drop=True)
     blocks = range(0, len(table), CONFIGS_PER_TASK)
