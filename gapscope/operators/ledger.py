@@ -94,7 +94,7 @@ def journal_check(events: DataFrame, slice_rows: int | None = None) -> DataFrame
 
 STATES = ("Initialized", "Submitted", "Accepted", "PartiallyFilled", "CancelPending", "Denied", "Rejected", "Filled", "Canceled", "Expired",
           "!illegal", "!post_terminal", "!overfill", "!bad_event")
-SYMBOLS = ("Submit", "Deny", "Reject", "Accept", "CancelRequest", "CancelAck", "Cancel", "Expire", "FillPartial", "FillComplete", "FillOver", "Bad")
+SYMBOLS = ("Submit", "Deny", "Reject", "Accept", "CancelRequest", "CancelAck", "Cancel", "Expire", "FillPartial", "FillComplete", "FillOver", "FillBad", "DenyBad", "Unknown")
 
 # Legal transitions of an order.
 TRANSITIONS = {
@@ -117,11 +117,11 @@ def _lifecycle_table() -> list[list[int]]:
             return "!post_terminal"
         event = "Fill" if symbol.startswith("Fill") else symbol
         legal = TRANSITIONS[state].get(event)
-        if symbol == "Bad":
+        if symbol == "DenyBad":  # a denial without reason is refused before its transition is looked at
             return "!bad_event"
         if legal is None:
             return "!illegal"
-        return {"FillOver": "!overfill", "FillComplete": "Filled"}.get(symbol, legal)
+        return {"FillBad": "!bad_event", "FillOver": "!overfill", "FillComplete": "Filled"}.get(symbol, legal)
 
     return [[at[target(s, y)] for y in SYMBOLS] for s in STATES]
 
@@ -137,13 +137,13 @@ def order_lifecycle(events: DataFrame, slice_by: Column, chunk_rows: int = CHUNK
     hot = hot_keys(events, ["order_id"], slice_by, chunk_rows)
     rows = running(add_slice(events, ["order_id"], slice_by, hot=hot), ["order_id"], ["seq"], {
         "__i": ("sum", F.lit(1).cast("long")), "filled_qty": ("sum", F.when(good_fill, F.col("fill_qty")).otherwise(0.0))}, slice_by)
-    symbol = (F.when(is_fill & ~good_fill, "Bad").when((F.col("type") == "Deny") & F.col("reason").isNull(), "Bad")
+    symbol = (F.when(is_fill & ~good_fill, "FillBad").when((F.col("type") == "Deny") & F.col("reason").isNull(), "DenyBad")
               .when(is_fill & (F.col("filled_qty") > F.col("order_qty") + 1e-9), "FillOver")
               .when(is_fill & (F.col("filled_qty") >= F.col("order_qty") - 1e-9), "FillComplete").when(is_fill, "FillPartial").otherwise(F.col("type")))
     code = F.lit(None).cast("int")
     for i, name in enumerate(SYMBOLS):
         code = F.when(symbol == name, i).otherwise(code)
-    rows = rows.withColumn("__sym", F.coalesce(code, F.lit(SYMBOLS.index("Bad"))).cast("int")).withColumn("__i", F.col("__i") - 1)
+    rows = rows.withColumn("__sym", F.coalesce(code, F.lit(SYMBOLS.index("Unknown"))).cast("int")).withColumn("__i", F.col("__i") - 1)
     scanned = automaton_scan(rows, ["order_id"], "__i", "__sym", _lifecycle_table(), "__after", "__before", hot, chunk_rows)
     names = F.array(*[F.lit(s) for s in STATES])
     return scanned.select(*events.columns, "filled_qty", F.get(names, F.col("__before")).alias("status_before"),

@@ -151,11 +151,12 @@ def test_position_ledger_against_loop(spark, market, chunk_rows):
 @pytest.mark.parametrize("chunk_rows", [2, 100_000])
 def test_order_lifecycle_violations(spark, chunk_rows):
     logs = {1: ["Submit", "Accept", 4.0, 6.0], 2: ["Submit", "Accept", 4.0, 7.0], 3: ["Accept"], 4: ["Submit", "Accept", 4.0, "CancelRequest", 2.0, "CancelAck"],
-            5: ["Submit", "Reject", "Accept"], 6: ["Submit", "Accept", 0.0], 7: ["Submit", "Accept"]}
+            5: ["Submit", "Reject", "Accept"], 6: ["Submit", "Accept", 0.0], 7: ["Submit", "Accept"], 8: ["Submit", 0.0], 9: ["Submit", "Fly"], 10: ["Submit", "Deny"]}
     rows = [(o, i, "Fill" if isinstance(e, float) else e, None, e if isinstance(e, float) else None, 10.0) for o, log in logs.items() for i, e in enumerate(log)]
     df = spark.createDataFrame(rows, "order_id long, seq long, type string, reason string, fill_qty double, order_qty double")
     r = {x["order_id"]: (x["status"], x["violation"], x["violation_seq"]) for x in L.lifecycle_audit(L.order_lifecycle(df, F.col("seq"), chunk_rows)).collect()}
-    assert r == {1: ("Filled", None, None), 2: (None, "overfill", 3), 3: (None, "illegal", 0), 4: ("Canceled", None, None), 5: (None, "post_terminal", 2), 6: (None, "bad_event", 2), 7: ("Accepted", None, None)}
+    assert r == {1: ("Filled", None, None), 2: (None, "overfill", 3), 3: (None, "illegal", 0), 4: ("Canceled", None, None), 5: (None, "post_terminal", 2), 6: (None, "bad_event", 2), 7: ("Accepted", None, None),
+                 8: (None, "illegal", 1), 9: (None, "illegal", 1), 10: (None, "bad_event", 1)}
 
 
 def test_queue_is_eaten_before_the_order(spark):
