@@ -475,24 +475,24 @@ def entries(spark, sf):
 
 
 @query("random_capture", "WITH RECURSIVE " + WALK + """, de AS (SELECT instrument, count(*) AS ne FROM walk WHERE gross IS NOT NULL GROUP BY instrument), d0 AS (
-  SELECT e.instrument, p.n, it * e.ne + j AS k FROM de e JOIN (SELECT DISTINCT instrument, n FROM premium) p USING (instrument), range(20) r(it), LATERAL (SELECT unnest(range(1, e.ne + 1)) AS j) WHERE p.n >= 8), d1 AS (
+  SELECT e.instrument, p.n, it * e.ne + j AS k FROM de e JOIN (SELECT DISTINCT instrument, n FROM premium) p USING (instrument), range(200) r(it), LATERAL (SELECT unnest(range(1, e.ne + 1)) AS j) WHERE p.n >= 8), d1 AS (
   """ + uniform_sql("d0", 12345, "k", "instrument, n") + """)
   SELECT a.instrument, CAST(sum(CASE WHEN abs(b.premium_pct) < abs(a.premium_pct) THEN 1 ELSE 0 END) AS BIGINT) AS cap_hits, count(*) AS cap_total
   FROM d1 JOIN premium a ON a.instrument = d1.instrument AND a.idx = floor(d1.u * (d1.n - 6)) JOIN premium b ON b.instrument = a.instrument AND b.idx = a.idx + 6 GROUP BY a.instrument""")
 def _(spark, sf):
-    return C.random_capture(S.positions(A.premium(spark, sf)), entries(spark, sf), 6, 20, 12345)
+    return C.random_capture(S.positions(A.premium(spark, sf)), entries(spark, sf), 6, 200, 12345)
 
 
 @query("random_entry_pnl", None)
 def _(spark, sf):
-    return C.random_entry_pnl(S.positions(A.premium(spark, sf)), entries(spark, sf), 0.3, 0.5, 48, 20, 12345)
+    return C.random_entry_pnl(S.positions(A.premium(spark, sf)), entries(spark, sf), 0.3, 0.5, 48, 200, 12345)
 
 
-@query("shuffled_capture", Q.with_(Q.PREMIUM) + ", d0 AS (SELECT instrument, idx, n, abs(premium_pct) AS a0, it FROM premium, range(20) r(it)), d1 AS (" + uniform_sql(
+@query("shuffled_capture", Q.with_(Q.PREMIUM) + ", d0 AS (SELECT instrument, idx, n, abs(premium_pct) AS a0, it FROM premium, range(50) r(it)), d1 AS (" + uniform_sql(
     "d0", 999, "it * n + idx + 1", "instrument, idx, it, a0") + """), sh AS (SELECT instrument, a0, lead(a0, 6) OVER (PARTITION BY instrument, it ORDER BY u, idx) AS b FROM d1)
   SELECT instrument, CAST(sum(CASE WHEN b < a0 THEN 1 ELSE 0 END) AS BIGINT) AS cap_hits, count(*) AS cap_total FROM sh WHERE b IS NOT NULL AND a0 >= 0.5 GROUP BY instrument""")
 def _(spark, sf):
-    return C.shuffled_capture(S.positions(A.premium(spark, sf)), 0.5, 6, 20, 999)
+    return C.shuffled_capture(S.positions(A.premium(spark, sf)), 0.5, 6, 50, 999)
 
 
 SHARPES = """tcount AS (SELECT count(DISTINCT session) AS t FROM trials), shp AS (

@@ -226,7 +226,7 @@ def add_cause(rows: DataFrame) -> DataFrame:
 
 def certify(classified: DataFrame, grades: DataFrame | None = None, ttl_sec: int = 3600) -> DataFrame:
     """Certificate of every tick; unknown quality grades count as '?'."""
-    rows = classified.join(F.broadcast(grades), "ticker", "left") if grades is not None else classified.withColumn(
+    rows = classified.join(grades, "ticker", "left") if grades is not None else classified.withColumn(
         "grade", F.lit(None).cast("string"))
     rows = rows.withColumn("grade", F.coalesce("grade", F.lit("?")))
     cert = R.certify(F.col("cause"), F.col("action"), F.col("true_gap_pct"), F.col("grade"), F.col("token_levels"),

@@ -79,7 +79,7 @@ def add_quality(rows: DataFrame, sequence_status: Column) -> DataFrame:
 
 def assess(df: DataFrame, policies: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """Quality of every event from its source policy, its payload and its sequence."""
-    rows = sequence_status(df, slice_rows=slice_rows).join(F.broadcast(policies), "source", "left")
+    rows = sequence_status(df, slice_rows=slice_rows).join(policies, "source", "left")
     return add_quality(rows, F.col("sequence_status")).select(*df.columns, "sequence_status", "expected_sequence", "quality")
 
 

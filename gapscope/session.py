@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
     folder = tempfile.mkdtemp(prefix="gapscope-")
+    warnings.warn(f"spark.checkpoint.dir is not set; this local session keeps its tables in {folder}", stacklevel=2)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -168,6 +168,9 @@ def test_queue_is_eaten_before_the_order(spark):
 def test_digest_detects_any_change(spark):
     df = spark.range(3000).select(F.col("id").alias("pos"), (F.col("id") * 7).cast("string").alias("body"))
     base = L.batch_digest(df, "pos", F.col("body")).first()[0]
+    for bad in (df.union(df.limit(1)), df.withColumn("pos", F.col("pos") + 1024 ** 4), df.withColumn("pos", -F.col("pos") - 1)):
+        with pytest.raises(Exception, match="positions"):
+            L.batch_digest(bad, "pos", F.col("body")).collect()
     assert base == L.batch_digest(df.repartition(7), "pos", F.col("body")).first()[0]
     assert base != L.batch_digest(df.withColumn("body", F.when(F.col("pos") == 1234, "x").otherwise(F.col("body"))), "pos", F.col("body")).first()[0]
 
