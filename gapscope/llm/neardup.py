@@ -5,9 +5,9 @@ group i of the first with group j of the second. Some 2 x width x HALF minima do
 ``width`` follows from the threshold, so that a link at the threshold is missed with a chance below ``MISS``.
 
 Documents with equal sets are one node before any key is made. Each table key links its members to its smallest one
-(a star, linear in the members); stars are confirmed and merged. Only tables that still hold several components are
-searched pair by pair, across components and within the size and sketch bounds that any link must meet. All large
-steps are aggregations with partial sums or joins that can be split by skew; no group is collected.
+(a star, linear in the members); stars are confirmed and merged, and again from other centers while a table holds
+several components. Only what is then still apart is searched pair by pair, across components and within the bounds of
+size, sketch and distance to the center that any link must meet. All large steps are aggregations with partial sums or joins that can be split by skew; no group is collected.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -26,6 +26,9 @@ from .common import query, slices, table
 
 HALF = 3
 MISS = 1e-4
+SKETCHED = 64
+#: Further rounds of stars, each with centers drawn anew, before what is still apart is searched pair by pair.
+ROUNDS = 2
 BLOCK_DOCS = 100
 #: Bits of the fixed-size map that keeps uninvolved texts out of confirmation (8 MB on the driver, whatever the input).
 MAP_BITS = 1 << 26
@@ -112,20 +115,21 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def sketch_bits(least: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 64 minima, as a signed 64-bit integer."""
-    bits = (mix(least[:, :64].astype(np.uint64) + np.uint64(7)) & np.uint64(1)) << np.arange(min(64, least.shape[1]), dtype=np.uint64)
-    return bits.sum(axis=1, dtype=np.uint64).view(np.int64)
+def sketch_planes(least: np.ndarray) -> np.ndarray:
+    """Four bits of each of the first 64 minima, as four planes of 64 bits each (signed integers)."""
+    mixed = mix(least[:, :SKETCHED].astype(np.uint64) + np.uint64(7))
+    place = np.arange(mixed.shape[1], dtype=np.uint64)
+    return np.stack([(((mixed >> np.uint64(k)) & np.uint64(1)) << place).sum(axis=1, dtype=np.uint64) for k in range(4)], axis=1).view(np.int64)
 
 
-def most_different(threshold: float, n: int) -> int:
-    """Sketch bits that a linked pair may differ in: the mean at the threshold and five deviations more."""
-    p = (1 - threshold) / 2
-    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+def least_agreeing(threshold: float, n: int) -> int:
+    """Sketched minima that a linked pair must share: the mean at the threshold less four and a half deviations."""
+    p = threshold + (1 - threshold) / 16
+    return math.floor(n * p - 4.5 * math.sqrt(n * p * (1 - p)))
 
 
 def signatures(documents: DataFrame, size: int, width: int) -> DataFrame:
-    """``doc_id, n, set_id, bits, least`` of every row: set size, 128-bit set digest, sketch and minima (null if empty)."""
+    """``doc_id, n, set_id, b0..b3, least`` of every row: set size, 128-bit set digest, sketch and minima (null if empty)."""
     n = 2 * width * HALF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +137,20 @@ def signatures(documents: DataFrame, size: int, width: int) -> DataFrame:
             sets = shingle_sets(block.column("text").to_pylist(), size)
             full = [i for i, s in enumerate(sets) if len(s)]
             digest: list = [None] * len(sets)
-            bits: list = [None] * len(sets)
+            planes = np.zeros((len(sets), 4), np.int64)
             least: list = [None] * len(sets)
             if full:
                 found = minima([sets[i] for i in full], n)
-                sketched = sketch_bits(found)
+                planes[full] = sketch_planes(found)
                 for row, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    bits[i], least[i] = int(sketched[row]), found[row].tobytes()
+                    least[i] = found[row].tobytes()
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.array(bits, pa.int64()), pa.array(least, pa.binary())], ["doc_id", "n", "set_id", "bits", "least"])
+                                              *[pa.array(planes[:, k]) for k in range(4)], pa.array(least, pa.binary())],
+                                             ["doc_id", "n", "set_id", "b0", "b1", "b2", "b3", "least"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_id binary, bits long, least binary")
+    return rows.mapInArrow(run, "doc_id long, n long, set_id binary, b0 long, b1 long, b2 long, b3 long, least binary")
 
 
 def table_keys(nodes: DataFrame, width: int) -> DataFrame:
@@ -165,23 +170,29 @@ def table_keys(nodes: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs ``a, b`` with share[1] * intersection >= share[0] * union on the full shingle sets of their texts."""
+    """``a, b, far, linked`` of the pairs: Jaccard distance, and whether share[1] * intersection >= share[0] * union.
+
+    Both are counted on the full shingle sets of the two texts.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_text, held = None, None
         for block in slices(batches, 50):
             mine = block.column("text_a").to_pylist()
             other = shingle_sets(block.column("text_b").to_pylist(), size)
-            keep = []
+            far, linked = [], []
             for text, there in zip(mine, other):
                 if held is None or text != held_text:
                     held_text, held = text, shingle_sets([text], size)[0]
                 both = len(np.intersect1d(held, there, assume_unique=True))
-                keep.append(both > 0 and share[1] * both >= share[0] * (len(held) + len(there) - both))
-            yield pa.RecordBatch.from_arrays([block.column("a"), block.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(held) + len(there) - both
+                far.append(1 - both / max(1, union))
+                linked.append(both > 0 and share[1] * both >= share[0] * union)
+            yield pa.RecordBatch.from_arrays([block.column("a"), block.column("b"), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())],
+                                             ["a", "b", "far", "linked"])
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, far double, linked boolean")
 
 
 def split_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,41 +254,58 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
     """
     threshold = share[0] / share[1]
     width = table_width(threshold)
+    agreeing = least_agreeing(threshold, min(SKETCHED, 2 * width * HALF)) - SKETCHED + min(SKETCHED, 2 * width * HALF)
     signed = cut_lineage(signatures(documents, size, width))
     usable = signed.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = cut_lineage(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("least").alias("least")))
+    nodes = cut_lineage(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3", "least")]))
     keys = table_keys(nodes, width)
     shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last").select("key", "center")
     members = cut_lineage(keys.join(shared, "key"))
-    known = nodes.select("node", "n", "bits")
-    bits_off, n_bits = most_different(threshold, min(64, 2 * width * HALF)), (share[0], share[1])
+    sketches = nodes.select("node", "n", "b0", "b1", "b2", "b3")
+
+    def of(side: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{side}") for c in ("n", "b0", "b1", "b2", "b3")]
+
+    def near() -> Column:
+        """Whether set sizes and sketches of both sides allow a link."""
+        fits = share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
+        differ = F.col("b0_a").bitwiseXOR(F.col("b0_b"))
+        for k in range(1, 4):
+            differ = differ.bitwiseOR(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b")))
+        return fits & (SKETCHED - F.bit_count(differ) >= agreeing)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` whose set sizes and sketches allow a link."""
-        left = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        right = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        return pairs.join(left, "a").join(right, "b").filter(near("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
+        left, right = sketches.select(F.col("node").alias("a"), *of("a")), sketches.select(F.col("node").alias("b"), *of("b"))
+        return pairs.join(left, "a").join(right, "b").filter(near()).select("a", "b")
 
-    def near(n_a: str, n_b: str, bits_a: str, bits_b: str):
-        fits = n_bits[1] * F.least(n_a, n_b) >= n_bits[0] * F.greatest(n_a, n_b)
-        return fits & (F.bit_count(F.col(bits_a).bitwiseXOR(F.col(bits_b))) <= bits_off)
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Members, with their component, of the tables that hold several components."""
+        labelled = members.join(roots, "node", "left").select("key", "center", "node", F.coalesce("root", "node").alias("root"))
+        several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        return cut_lineage(labelled.join(several, "key"))
 
-    stars = cut_lineage(possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))
-    ids = members.select(F.col("node").alias("id")).distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = cut_lineage(split_by_ids(rows, ids)[0])
-    star_links = cut_lineage(confirm(stars, texts, size, share))
-    first = cut_lineage(components(star_links))
-    labelled = members.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = cut_lineage(labelled.join(open_keys, "key").join(known, "node"))
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    across = left.join(right, "key").filter((F.col("root_a") < F.col("root_b")) & near("n_a", "n_b", "bits_a", "bits_b")).select("a", "b").distinct()
-    # a star that was looked at and not confirmed need not be looked at again
-    tried = stars.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    untried = across.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    links = star_links.union(confirm(cut_lineage(untried), texts, size, share))
+    texts = cut_lineage(split_by_ids(rows, members.select(F.col("node").alias("id")).distinct())[0])
+    stars = possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+    tried = first = cut_lineage(confirm(cut_lineage(stars), texts, size, share))
+    for turn in range(ROUNDS):
+        rest = still_open(components(tried.filter("linked").select("a", "b")))
+        # four orders of all nodes, dealt over the tables: similar tables mostly agree on the center
+        order = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(4)), F.lit(turn))
+        centers = rest.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("drawn"), F.col("root").alias("drawn_root")), order).alias("c")).select("key", "c.*")
+        drawn = rest.join(centers, "key").filter("root <> drawn_root").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("b")).distinct()
+        fresh = possible(drawn).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = cut_lineage(tried.unionByName(confirm(cut_lineage(fresh), texts, size, share)))
+    rest = still_open(components(tried.filter("linked").select("a", "b"))).join(sketches, "node")
+    # Jaccard distance is a metric: with both distances to a table's center known, their difference bounds the pair's own
+    rest = rest.join(first.select(F.col("a").alias("center"), F.col("b").alias("node"), "far"), ["center", "node"], "left")
+    rest = cut_lineage(rest.withColumn("far", F.when(F.col("node") == F.col("center"), F.lit(0.0)).otherwise(F.col("far"))))
+    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), *of("a"))
+    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), *of("b"))
+    may = near() & (F.col("root_a") != F.col("root_b")) & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - threshold + 1e-9, F.lit(True))
+    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
+    untried = cut_lineage(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    links = tried.filter("linked").select("a", "b").union(confirm(untried, texts, size, share).filter("linked").select("a", "b"))
     roots = cut_lineage(components(links))
     classes = nodes.select("set_id", "node").join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     placed = signed.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
