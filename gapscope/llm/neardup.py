@@ -6,8 +6,8 @@ group i of the first with group j of the second. Some 2 x width x HALF minima do
 
 Documents with equal sets are one node before any key is made. Each table key links its members to its smallest one
 (a star, linear in the members); stars are confirmed and merged, and again from other centers while a table holds
-several components. Only what is then still apart is searched pair by pair, across components and within the bounds of
-size, sketch and distance to the center that any link must meet. All large steps are aggregations with partial sums or joins that can be split by skew; no group is collected.
+several components. What is then still apart is joined on the shingles by which it differs from its center: a link
+between different components must share one of a short prefix of them. All large steps are aggregations with partial sums or joins that can be split by skew; no group is collected.
 """
 from __future__ import annotations
 
@@ -195,6 +195,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, far double, linked boolean")
 
 
+def delta_prefixes(grouped: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """``center, token, node, root``: tokens of which two nodes of different components must share one to be linked.
+
+    ``grouped``: center, node, root. Let D be the shingles by which a node differs from its center, and q the share of
+    the sizes' sum by which linked sets may differ. Two nodes differ by |Dx| + |Dy| - 2 |Dx and Dy|, so a link needs an
+    overlap of at least (|Dx| + |Dy| - q (|x| + |y|)) / 2, which is positive unless both are linked with the center.
+    From it follows, for each node alone, a least overlap and with it the length of the prefix of D, in one order of
+    tokens per center (those outside the center first), that has to meet the other's prefix.
+    """
+    theta = share[0] / share[1]
+    q = (1 - theta) / (1 + theta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_text, held = None, None
+        for block in slices(batches, 50):
+            centers, nodes, roots = (block.column(c).to_pylist() for c in ("center", "node", "root"))
+            other = shingle_sets(block.column("text_b").to_pylist(), size)
+            out: tuple = ([], [], [], [])
+            for center, node, root, text, there in zip(centers, nodes, roots, block.column("text_a").to_pylist(), other):
+                if held is None or text != held_text:
+                    held_text, held = text, shingle_sets([text], size)[0]
+                apart = np.concatenate([np.setdiff1d(there, held, assume_unique=True), np.setdiff1d(held, there, assume_unique=True)])
+                least = len(apart) - q * len(there) * (1 + 1 / theta)
+                if len(apart) <= q * (len(there) + len(held)):
+                    least = max(least, (len(apart) + q * (len(held) - len(there))) / 2)
+                prefix = apart[:len(apart) - max(1, math.ceil(least - 1e-9)) + 1]
+                for column, value in zip(out, ([center] * len(prefix), prefix.view(np.int64).tolist(), [node] * len(prefix), [root] * len(prefix))):
+                    column += value
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["center", "token", "node", "root"])
+
+    with_b = grouped.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
+    both = with_b.join(texts.select(F.col("doc_id").alias("center"), F.col("text").alias("text_a")), "center")
+    return both.select("center", "node", "root", "text_a", "text_b").mapInArrow(run, "center long, token long, node long, root long")
+
+
 def split_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``doc_id`` may be in ``ids`` (column ``id``), and those whose id is not, without moving any text.
 
@@ -287,7 +322,7 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = cut_lineage(split_by_ids(rows, members.select(F.col("node").alias("id")).distinct())[0])
     stars = possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    tried = first = cut_lineage(confirm(cut_lineage(stars), texts, size, share))
+    tried = cut_lineage(confirm(cut_lineage(stars), texts, size, share))
     for turn in range(ROUNDS):
         rest = still_open(components(tried.filter("linked").select("a", "b")))
         # four orders of all nodes, dealt over the tables: similar tables mostly agree on the center
@@ -296,14 +331,14 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
         drawn = rest.join(centers, "key").filter("root <> drawn_root").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("b")).distinct()
         fresh = possible(drawn).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         tried = cut_lineage(tried.unionByName(confirm(cut_lineage(fresh), texts, size, share)))
-    rest = still_open(components(tried.filter("linked").select("a", "b"))).join(sketches, "node")
-    # Jaccard distance is a metric: with both distances to a table's center known, their difference bounds the pair's own
-    rest = rest.join(first.select(F.col("a").alias("center"), F.col("b").alias("node"), "far"), ["center", "node"], "left")
-    rest = cut_lineage(rest.withColumn("far", F.when(F.col("node") == F.col("center"), F.lit(0.0)).otherwise(F.col("far"))))
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"), *of("a"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), *of("b"))
-    may = near() & (F.col("root_a") != F.col("root_b")) & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - threshold + 1e-9, F.lit(True))
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
+    rest = still_open(components(tried.filter("linked").select("a", "b")))
+    grouped = rest.filter("node <> center").select("center", "node", "root").distinct()
+    marked = cut_lineage(delta_prefixes(cut_lineage(grouped), texts, size, share))
+    met = marked.groupBy("center", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center", "token")
+    meeting = cut_lineage(marked.join(met, ["center", "token"]).join(sketches, "node"))
+    left = meeting.select("center", "token", F.col("node").alias("a"), F.col("root").alias("root_a"), *of("a"))
+    right = meeting.select("center", "token", F.col("node").alias("b"), F.col("root").alias("root_b"), *of("b"))
+    across = left.join(right, ["center", "token"]).filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near()).select("a", "b").distinct()
     untried = cut_lineage(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     links = tried.filter("linked").select("a", "b").union(confirm(untried, texts, size, share).filter("linked").select("a", "b"))
     roots = cut_lineage(components(links))
