@@ -16,7 +16,7 @@ from gapscope.catalog import load_registry
 HEADLINE = (
     "capture_by_instrument", "history_report", "basis_backtest", "signal_sweep", "strategy_search", "event_quality", "stream_coverage", "knowledge_replay",
     "gap_risk_board", "intent_verdicts", "position_summary", "order_lifecycle_audit", "session_study", "guarded_gauntlet", "bootstrap_interval", "backtest_overfitting",
-    "asof_backward", "calibration_by_tier", "token_quality", "stream_continuity")
+    "walk_forward", "asof_backward", "calibration_by_tier", "token_quality", "stream_continuity")
 
 
 def main() -> None:
