@@ -477,6 +477,39 @@ def test_leaks_found_and_paraphrased(spark, documents, texts):
     assert kept == set(planted) - {d for d, _ in got}
 
 
+def test_leaks_with_more_items_than_dimensions():
+    """The same as all items against all regions, with a space far too small for the items."""
+    rng = np.random.default_rng(8)
+    vocabulary = (rng.integers(1, 1 << 62, 3000).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+    names = {int(h): f"w{k}" for k, h in enumerate(vocabulary)}
+    texts = [" ".join(names[int(vocabulary[k])] for k in rng.zipf(1.3, 300) % 3000) for _ in range(12)]
+    hashes = [neardup.word_hashes([t], decontamination.PUNCTUATION)[0].tolist() for t in texts]
+    items, copies = [], set()
+    for n in [3, 8, 10, 12, 15, 20, 30, 48, 64, 65, 90, 150] * 25:
+        d, a = int(rng.integers(12)), int(rng.integers(0, 300 - n))
+        words = hashes[d][a:a + n]
+        copies.add((d, len(items)))
+        items.append((len(items), words, min(4, n)))
+        damaged = [int(vocabulary[0]) if rng.random() < 0.35 else w for w in words]
+        items.append((len(items), damaged, min(4, n)))
+    weights = np.ones(decontamination.BUCKETS, np.float32)
+    basis = np.linalg.qr(rng.standard_normal((decontamination.BUCKETS, 24)))[0].astype(np.float32)
+    searcher = decontamination.Searcher(weights, basis, items)
+    got = {(t, i): (common, said) for t, i, _, common, said, _ in searcher.search(texts)}
+    want = {}
+    for t, words in enumerate(hashes):
+        for i, item, answer in items:
+            n = len(item)
+            reach = decontamination.STEP if n <= decontamination.ITEM_WORDS + decontamination.STEP else n
+            whole, ending = searcher.masks[i]
+            for start in range(0, len(words), decontamination.STEP):
+                region = words[max(0, start - reach):start + decontamination.WINDOW + reach]
+                common, said = decontamination.common_words(whole, n, region) / n, decontamination.common_words(ending, answer, region) / answer
+                if common == 1 if n < decontamination.SHORT_ITEM else common >= 0.8 or (common >= 0.6 and said >= 0.5):
+                    want[t, i] = max(want.get((t, i), (0, 0)), (common, said))
+    assert copies <= set(want) and got == want
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
