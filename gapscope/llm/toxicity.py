@@ -32,11 +32,30 @@ CACHE_WORDS, BLOCK_WINDOWS = 150_000, 1024
 BLOCK_DOCS = 64
 FEATURES = 8
 STRIP = string.punctuation + "¡¿«»“”„…’‘–—"
+#: Longer runs are words in pieces of so many characters, which share enough that no n-gram is lost.
+LONGEST, SHARED = 48, 4
+#: Begins a piece, whose ends are not stripped; no text holds a lone surrogate.
+PIECE = "\ud800"
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text; runs too long for a word (no spaces, or glued by punctuation) in consecutive pieces."""
+    words = text.split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    found = []
+    for word in words:
+        core = word.strip(STRIP) if len(word) > LONGEST else word
+        if len(core) <= LONGEST:
+            found.append(word)
+        else:
+            found += [PIECE + core[a:a + LONGEST] for a in (*range(0, len(core) - LONGEST, LONGEST - SHARED), len(core) - LONGEST)]
+    return found
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, buckets of all its character n-grams (3 to 5, framed), and where each word's begin."""
-    framed = ["^" + w.lower().strip(STRIP)[:48] + "$" for w in words]
+    framed = ["^" + (w[1:].lower() if w[:1] == PIECE else w.lower().strip(STRIP)) + "$" for w in words]
     sizes = np.fromiter((len(w) for w in framed), np.int64, len(framed))
     points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
@@ -45,7 +64,7 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     salt = np.uint64(0x9E3779B97F4A7C15)
     # one polynomial per word: the sum of point x odd factor of its place
     place = np.arange(len(points)) - starts[owner]
-    factor = (np.arange(1, 52, dtype=np.uint64) * salt) | np.uint64(1)
+    factor = (np.arange(1, sizes.max(initial=0) + 1, dtype=np.uint64) * salt) | np.uint64(1)
     whole = np.add.reduceat(points * points * factor[place], starts) if len(points) else np.zeros(0, np.uint64)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     words_at = ((whole * salt) >> shift).astype(np.int64)
@@ -72,7 +91,7 @@ def evidence(texts: list[str], toxic: list[int]) -> dict[str, np.ndarray]:
     seen = {kind: np.zeros((2, BUCKETS), np.float32) for kind in ("word", "gram")}
     totals = np.zeros(2)
     for text, label in zip(texts, toxic):
-        words, grams, _ = word_buckets(list(set(text.split())))
+        words, grams, _ = word_buckets(list(set(split_words(text))))
         seen["word"][label, np.unique(words)] += 1
         seen["gram"][label, np.unique(grams)] += 1
         totals[label] += 1
@@ -125,7 +144,7 @@ def train(texts: list[str], toxic: list[int]) -> dict:
         model["scale"] = 0.0
         return model
     names: dict[str, int] = {}
-    docs = [np.fromiter((names.setdefault(w, len(names)) for w in texts[i].split()), np.int64) for i in half[1]]
+    docs = [np.fromiter((names.setdefault(w, len(names)) for w in split_words(texts[i])), np.int64) for i in half[1]]
     known = np.vstack([np.zeros((1, FEATURES), np.float32), vectors(list(names), tables)])
     label = np.array([toxic[i] for i in half[1]], np.float32)
     flat = np.concatenate([np.concatenate(docs) + 1, np.zeros(WINDOW, np.int64)])
@@ -201,7 +220,7 @@ class Scorer:
         self.used = stop
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        parts = [t.split() if t else [] for t in texts]
+        parts = [split_words(t) if t else [] for t in texts]
         fresh = list({w for w in chain.from_iterable(parts) if w not in self.names})
         if self.used + len(fresh) > CACHE_WORDS:
             self.names, self.used = {}, 1

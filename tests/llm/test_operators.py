@@ -399,6 +399,25 @@ def test_toxicity_learns_planted_words(spark):
     assert toxicity.keep_clean(docs, model).count() == sum(not r.predicted for r in got.values())
 
 
+def test_toxicity_reads_whole_runs():
+    rng = np.random.default_rng(2)
+    for n in (47, 48, 49, 92, 93, 200, 1000):
+        run = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 20_000, n))
+        for text in (run, f"«{run}».", run[:n // 2] + "_-/." * 3 + run[n // 2:]):
+            words = toxicity.split_words(f"a {text} b")
+            core = text.strip(toxicity.STRIP).lower()
+            pieces = [w.removeprefix(toxicity.PIECE).strip(toxicity.STRIP if w[:1] != toxicity.PIECE else "") for w in words[1:-1]]
+            assert max(map(len, pieces)) <= toxicity.LONGEST
+            assert {core[a:a + g] for g in (1, 3, 4, 5) for a in range(len(core) - g + 1)} == {p[a:a + g] for p in pieces for g in (1, 3, 4, 5) for a in range(len(p) - g + 1)}
+            assert len(toxicity.vectors(words, {k: np.zeros(toxicity.BUCKETS, np.float32) for k in ("word", "gram")})) == len(words)
+    assert toxicity.split_words("plain words, here") == ["plain", "words,", "here"]
+    plain = lambda: "".join(chr(0x5E00 + int(k)) for k in rng.integers(0, 300, 60))
+    mark = "\u6bd2" * 5
+    texts = [plain() + (mark if i % 4 < 2 else "") + plain() for i in range(600)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [int(i % 4 < 2) for i in range(600)]))
+    assert (scorer.score([plain() + mark + plain() for _ in range(20)]) > 0.5).all() and (scorer.score([plain() + plain() for _ in range(20)]) < 0.5).all()
+
+
 def test_toxicity_windows_cover_every_word_and_awkward_rows(awkward, empty, spark):
     doc, first, length = toxicity.window_places(np.array([0, 1, 32, 33, 100]))
     for d, n in enumerate([0, 1, 32, 33, 100]):
