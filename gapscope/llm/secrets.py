@@ -2,7 +2,8 @@
 
 Base kinds are patterns. On top of them, base64, base64url and hex candidates are decoded and reported only when the
 decoded bytes have the structure of a secret: a private key as nested DER lengths (PKCS#1, PKCS#8, SEC1), an OpenSSH
-key container, or the header and payload of a signed token. All scanning is by row, so nothing is shuffled.
+key container, a key in PEM armour, or the header and payload of a signed token. Base64 may be wrapped in lines of one
+width. All scanning is by row, so nothing is shuffled.
 """
 from __future__ import annotations
 
@@ -26,8 +27,16 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([^-]*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n(?:[\x20\t][^\r\n]*\r?\n)*)*)([^-]*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+#: Header lines of an armoured key that is encrypted, so that its bytes have no structure of their own.
+ENCRYPTED = re.compile(r"^Proc-Type:\s*4\s*,\s*ENCRYPTED\s*$(?=[\s\S]*^DEK-Info:\s*[A-Za-z0-9-]+\s*,\s*[0-9A-Fa-f]{16,}\s*$)", re.MULTILINE)
 BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
+URL_SAFE = r"[A-Za-z0-9_-]{40,}={0,2}"
+WRAPPED = r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}"
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LEAST_BASE64 = 40
+#: How a key container and armour begin in base64.
+SSH_BASE64, PEM_BASE64 = "b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi"
 ANY_HEX = r"[0-9A-Fa-f]{48,}"
 SIGNED = r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"
 SSH_MAGIC = b"openssh-key-v1\0"
@@ -94,6 +103,23 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at:at + 4], "big") <= 16
 
 
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key container that ``data`` begins with; none if it breaks off."""
+    at = len(SSH_MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    left = int.from_bytes(data[at:at + 4], "big") + 1 if at + 4 <= len(data) else 0
+    if not 2 <= left <= 17:
+        return None
+    at += 4
+    while left:
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+        left -= 1
+    return at if at <= len(data) else None
+
+
 def from_base64(text: str) -> bytes | None:
     text = text.rstrip("=")
     try:
@@ -111,6 +137,99 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def is_armoured_key(headers: str, body: str) -> bool:
+    """Whether the lines inside PEM armour are a private key, plain or encrypted as its header lines say."""
+    data = from_base64("".join(body.split()))
+    return bool(data) and (is_private_key(data) or is_ssh_key(data) or (len(data) >= 16 and ENCRYPTED.search(headers) is not None))
+
+
+def kind_of(data: bytes | None, patterns: dict) -> int | None:
+    """The kind of the secret that decoded bytes are, or hold in PEM armour."""
+    if not data:
+        return None
+    if is_private_key(data):
+        return 4
+    if is_ssh_key(data):
+        return 6
+    if b"-----BEGIN " in data and any(is_armoured_key(m[1], m[2]) for m in patterns["pem"].finditer(data.decode("latin-1"))):
+        return 3
+    return None
+
+
+def der_chars(text: str) -> int | None:
+    """How many base64 characters, without padding, the DER sequence that ``text`` begins with takes."""
+    head = from_base64(text[:8]) or b""
+    if head[:1] != b"\x30":
+        return None
+    value = read_der(head, 0, 1 << 40) if len(head) == 6 else None
+    return -(-value[2] * 4 // 3) if value else None
+
+
+def url_safe_spans(text: str, patterns: dict) -> list[Span]:
+    """Keys in the url-safe alphabet; a name may be glued to the front."""
+    found = []
+    for m in patterns["url_safe"].finditer(text):
+        run = m[0].rstrip("=")
+        if "-" not in run and "_" not in run:
+            continue
+        kind = kind_of(from_base64(run), patterns)
+        if kind is not None:
+            found.append((m.start(), kind, m.end()))
+            continue
+        tried = set()
+        for glue in re.finditer("[-_]", run):
+            rest = len(run) - glue.end()
+            armour = run.startswith(PEM_BASE64, glue.end()) and rest % 4 not in tried
+            if armour:
+                tried.add(rest % 4)  # armour further on would have been met in the same bytes
+            # the bytes say how long a key is; a container or armour is known by how it begins
+            if rest >= LEAST_BASE64 and (der_chars(run[glue.end():glue.end() + 8]) == rest or armour or run.startswith(SSH_BASE64, glue.end())):
+                kind = kind_of(from_base64(run[glue.end():]), patterns)
+                if kind is not None:
+                    found.append((m.start() + glue.end(), kind, m.end()))
+                    break
+    return found
+
+
+def wrapped_spans(text: str, patterns: dict) -> list[Span]:
+    """Keys in lines of one width, the last of which may be shorter."""
+    found = []
+    for m in patterns["wrapped"].finditer(text):
+        lines = [(x.start(), x[0]) for x in LINE.finditer(text, m.start(), m.end())]
+        done = 0
+        for first, (start, line) in enumerate(lines):
+            if first < done or len(line) < LEAST_BASE64:
+                continue
+            group, stop = der_chars(line), None
+            if group is not None:
+                # the bytes say where the key ends
+                stop = first + -(-group // len(line))
+                whole = stop <= len(lines) and all(len(x) == len(line) for _, x in lines[first:stop - 1])
+                if not whole or len("".join(x for _, x in lines[first:stop]).rstrip("=")) != group:
+                    stop = None
+            if stop is None:
+                if first and len(lines[first - 1][1]) == len(line) and not line.startswith(SSH_BASE64):
+                    continue  # part of the group before
+                stop = first + 1
+                while stop < len(lines) and len(lines[stop - 1][1]) == len(line) >= len(lines[stop][1]):
+                    stop += 1
+            if stop - first < 2:
+                continue
+            # without that, a short line after full ones may be a word of the text
+            short = stop - first > 2 and group is None and len(lines[stop - 1][1]) < len(line)
+            for end in (stop - 1, stop) if short else (stop,):
+                data = from_base64("".join(x for _, x in lines[first:end]))
+                kind = kind_of(data, patterns)
+                if kind is not None and (kind != 6 or end == stop or ssh_size(data) == len(data)):
+                    stop = end
+                    break
+            else:
+                continue
+            found.append((start, kind, lines[stop - 1][0] + len(lines[stop - 1][1])))
+            done = stop
+    return found
+
+
 def base_spans(text: str, patterns: dict) -> list[Span]:
     """(start, kind, end) of the base kinds over the whole text."""
     found = []
@@ -128,15 +247,15 @@ def structural_spans(text: str, patterns: dict) -> list[Span]:
     found = []
     if "-----BEGIN " in text:
         for m in patterns["pem"].finditer(text):
-            data = from_base64("".join(m[1].split()))
-            if data and (is_private_key(data) or is_ssh_key(data)):
+            if is_armoured_key(m[1], m[2]):
                 found.append((m.start(), 3, m.end()))
-    for m in patterns["base64"].finditer(text):
-        data = from_base64(m[0])
-        if data and is_private_key(data):
-            found.append((m.start(), 4, m.end()))
-        elif data and is_ssh_key(data):
-            found.append((m.start(), 6, m.end()))
+    armoured = list(found)
+    wrapped = [s for s in wrapped_spans(text, patterns) if not any(a <= s[0] and s[2] <= b for a, _, b in armoured)]
+    found += wrapped
+    runs = [(m.start(), kind, m.end()) for m in patterns["base64"].finditer(text) if (kind := kind_of(from_base64(m[0]), patterns)) is not None]
+    # the first part or line of a key may look like a whole one
+    url_safe = [s for s in url_safe_spans(text, patterns) if not any(a <= s[0] and s[2] <= b for a, _, b in wrapped)]
+    found += url_safe + [s for s in runs if not any(a <= s[0] and s[2] <= b for a, _, b in wrapped + url_safe)]
     for m in patterns["any_hex"].finditer(text):
         data = bytes.fromhex(m[0][:len(m[0]) // 2 * 2])
         if is_private_key(data):
@@ -148,7 +267,8 @@ def structural_spans(text: str, patterns: dict) -> list[Span]:
 
 def compiled() -> dict:
     return {"assign": re.compile(ASSIGN, re.ASCII), "access": re.compile(ACCESS), "hex": re.compile(HEX), "pem": re.compile(PEM),
-            "base64": re.compile(BASE64), "any_hex": re.compile(ANY_HEX), "signed": re.compile(SIGNED)}
+            "base64": re.compile(BASE64), "url_safe": re.compile(URL_SAFE), "wrapped": re.compile(WRAPPED),
+            "any_hex": re.compile(ANY_HEX), "signed": re.compile(SIGNED)}
 
 
 def joined(spans: list[Span]) -> str:

@@ -183,6 +183,34 @@ def test_secrets_structures():
     assert "HS256" not in secrets.redact(text, secrets.structural_spans(text, patterns)) and secrets.redact("a", []) == "a"
 
 
+def test_secrets_wrapped_url_safe_and_armoured():
+    import base64
+    import random
+    noise = random.Random(3).randbytes
+    number = der(2, b"\x01" * 64)
+    key = der(0x30, der(2, b"\0") + der(2, b"\x01" + b"\xfb\xef\xff" * 86) + number * 7)
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secrets.SSH_MAGIC + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(noise(51)) + part(noise(148))
+    patterns = secrets.compiled()
+    fold = lambda t, n, by="\n": by.join(t[a:a + n] for a in range(0, len(t), n))
+    std, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+    assert "-" in url and "_" in url
+    armour = lambda body, head="": f"-----BEGIN RSA PRIVATE KEY-----\n{head}{fold(body, 64)}\n-----END RSA PRIVATE KEY-----\n"
+    pem64 = base64.b64encode(armour(std).encode()).decode()
+    locked = armour(base64.b64encode(noise(608)).decode(), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n")
+    ssh64 = base64.b64encode(ssh).decode()
+    for secret, kind in ((url, "der_key"), (fold(std, 64), "der_key"), (fold(url, 76, "\r\n"), "der_key"), (fold(ssh64, 64), "ssh_key"), (fold(std, 64, "\n  "), "der_key"),
+                         (fold(ssh64, 76), "ssh_key"), (pem64, "pem_key"), (fold(pem64, 76), "pem_key"), (locked, "pem_key"), (armour(std, "X-Note: a-b\n\n"), "pem_key")):
+        for text in (f"see {secret.strip()} end", f"keys:\n{secret.strip()}\nThanks\nall"):
+            spans = secrets.structural_spans(text, patterns)
+            a = text.index(secret.strip())
+            assert any(s == a and secrets.KINDS[k] == kind and a + len(secret.strip().rstrip("=")) <= e <= a + len(secret.strip()) for s, k, e in spans), (kind, secret[:40], spans, a, len(secret))
+    glued = f"name-{url}"
+    assert [(a, b) for a, _, b in secrets.structural_spans(glued, patterns)] == [(5, len(glued))]
+    broken = locked.replace("Proc-Type", "Note")
+    assert not secrets.structural_spans(broken, patterns) and not secrets.structural_spans(fold(base64.b64encode(noise(900)).decode(), 64), patterns)
+
+
 def test_secrets_base_against_loop(documents, texts, awkward, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     for r in secrets.scan(documents).collect():
