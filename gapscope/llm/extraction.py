@@ -70,12 +70,8 @@ def parse(page: str) -> Node:
     """
     root = Node("html", None, "")
     open_nodes, links = [root], 0
-    at, skip_to = 0, None
-    for m in MARKUP.finditer(page):
-        if skip_to is not None:
-            if m.start() < skip_to:
-                continue
-            skip_to = None
+    at = 0
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             _text(open_nodes[-1], page[at:m.start()], links)
         at = m.end()
@@ -88,7 +84,7 @@ def parse(page: str) -> Node:
         if name in RAW or name == "title":
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = skip_to = end.end() if end else len(page)
+                at = end.end() if end else len(page)
             continue
         if name in INLINE or name in VOID:
             if name == "a":
@@ -116,7 +112,7 @@ def parse(page: str) -> Node:
             open_nodes[-1].pieces.append(child)
             open_nodes.append(child)
             links = 0
-    if skip_to is None and at < len(page):
+    if at < len(page):
         _text(open_nodes[-1], page[at:], links)
     return root
 

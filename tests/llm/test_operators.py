@@ -263,6 +263,17 @@ def ancestors(node):
         yield node
 
 
+def test_extraction_goes_on_after_raw_elements():
+    def text(page):
+        root = extraction.parse(page)
+        return extraction.text_of(root, {id(n) for n in extraction.in_order(root)})
+
+    assert text("<p>a</p><script>x = '<!--'</script><p>the article</p>") == "a\nthe article"
+    assert text("<script>if (i<n) {} // don't\n</script><p>it <b>isn't</b> lost > here</p>") == "it isn't lost > here"
+    assert text("<p>a</p><style>p {}</style>the last text") == "a\nthe last text"
+    assert text("<p>a</p><script>never closed <p>b</p>") == "a"
+
+
 def test_extraction_awkward(spark):
     prepare(spark)
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>open <b>no end &amp"), (4, "u", "plain &lt; text"), (None, "u", "<div" + "<div>" * 3000), (3, "u", "<p>x</p>")]
