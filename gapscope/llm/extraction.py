@@ -162,6 +162,7 @@ def features(order: list[Node]) -> np.ndarray:
     """One row per node of a page."""
     total = max(1, order[0].chars)
     rows, path = [], {}
+    places = {id(child): k for node in order for k, child in enumerate(node.children)}
     for node in order:
         up = node.parent
         above = path[id(up)] if up else (0,) * (len(MARKED) + 2)
@@ -169,7 +170,7 @@ def features(order: list[Node]) -> np.ndarray:
         here = tuple(int(a or node.tag == t) for a, t in zip(above, MARKED)) + (above[-2] + good, above[-1] + bad)
         path[id(node)] = here
         siblings = up.children if up else [node]
-        place = siblings.index(node) if len(siblings) < 64 else 32
+        place = places.get(id(node), 0)
         before = siblings[place - 1].chars if place and place - 1 < len(siblings) else 0
         after = siblings[place + 1].chars if place + 1 < len(siblings) else 0
         chars = max(1, node.chars)

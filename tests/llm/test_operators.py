@@ -274,6 +274,13 @@ def test_extraction_goes_on_after_raw_elements():
     assert text("<p>a</p><script>never closed <p>b</p>") == "a"
 
 
+def test_extraction_places_of_many_siblings():
+    order = extraction.in_order(extraction.parse("".join(f"<p>{'x' * (k + 1)}</p>" for k in range(100))))
+    x = extraction.features(order)[1:]
+    assert np.allclose(x[:, 9], np.arange(100) / 100)
+    assert np.allclose(x[1:, 10], np.log1p(np.arange(1, 100))) and np.allclose(x[:-1, 11], np.log1p(np.arange(2, 101))) and x[0, 10] == x[-1, 11] == 0
+
+
 def test_extraction_awkward(spark):
     prepare(spark)
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>open <b>no end &amp"), (4, "u", "plain &lt; text"), (None, "u", "<div" + "<div>" * 3000), (3, "u", "<p>x</p>")]
