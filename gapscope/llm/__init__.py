@@ -5,7 +5,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("decontamination", "secrets", "extraction", "neardup", "chat", "binary", "toxicity", "language", "packing", "rules", "negatives", "infill")
+MODULES = ("decontamination", "secrets", "extraction", "neardup", "chat", "binary", "toxicity", "language", "packing", "rules", "negatives", "licenses", "infill")
 
 
 def load() -> tuple[dict, dict[str, str]]:
