@@ -26,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTAINED = 0.9
 #: Words of all notices together up to which the prefix table goes to every executor; beyond, Spark chooses the join.
 BROADCAST_WORDS = 200_000
+#: Places into which the rows of one text are dealt.
+SALTS = 16
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Labels and public license notices.
@@ -134,12 +136,14 @@ def scan(documents: DataFrame, notices: list[tuple[str, str]] = list(NOTICES), c
                          *[places(phrase, "held").alias(f"places_{k}") for k, (phrase, _) in enumerate(PHRASES)])
     every = [F.col(f"places_{k}") for k in range(len(PHRASES))]
     base = listed.select(
-        "doc_id", "text_key", "n_words", reduce(lambda a, b: a + b, [F.size(x) for x in every]).cast("long").alias("n_base"),
+        "doc_id", "text_key", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), "n_words", reduce(lambda a, b: a + b, [F.size(x) for x in every]).cast("long").alias("n_base"),
         F.least(*[F.array_min(x) for x in every]).cast("long").alias("first_word"), F.greatest(*[F.array_max(x) for x in every]).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(x) > 0, label) for x, (_, label) in zip(every, PHRASES)])).alias("own"))
     found = (blocks_matching(documents, notices, contained).groupBy("text_key")
              .agg(F.collect_set("label").alias("more"), F.max("share").alias("share")))
-    whole = base.join(found.hint("merge"), "text_key", "left")  # as many rows as matching texts: no side of bounded size
+    # as many found rows as matching texts: no side of bounded size; the copies of one text meet them in SALTS places
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = base.join(salted.hint("merge"), ["text_key", "salt"], "left")
     return whole.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("own")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),

@@ -167,7 +167,8 @@ def met(anchors: DataFrame, candidates: DataFrame, block_count: int, slice_count
     right = candidates.select("vec_id", "label", "planes", none.alias("low"), none.alias("high"),
                               F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))).alias("block"),
                               F.pmod(F.monotonically_increasing_id(), F.lit(slice_count)).cast("int").alias("slice"), F.lit(1).alias("side"))
-    dealt = left.unionByName(right).repartition(max(1, block_count * slice_count), "block", "slice").sortWithinPartitions("block", "slice", "side")
+    units = left.unionByName(right).repartitionById(block_count * slice_count, F.col("block") * slice_count + F.col("slice"))
+    dealt = units.sortWithinPartitions("block", "slice", "side")  # one unit for each task
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, here, waiting = None, None, []
