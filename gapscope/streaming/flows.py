@@ -1,13 +1,12 @@
 """Structured Streaming operators: continuity, quality, dedup, bursts, silence, live ticks.
 
-Results do not depend on how rows fall into micro-batches. Ordered operators hold a row until the watermark passes its
-time and then fold the rows of a stream in (time, id) order, so their state is a few numbers and the rows of one delay.
-A bounded replay ends with a row that is one delay newer than all others, which lets everything before it pass.
+Results do not depend on how rows fall into micro-batches. Ordered operators (``timed``) hold a row until the watermark
+passes its chunk of time and then fold the rows of a stream in (time, id) order. A bounded replay ends with a row that is
+one delay newer than all others, which lets everything before it pass.
 """
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import quality as QL
 from ..operators import peg as G
 from ..operators import platform as PL
+from .timed import CHUNK_MS, in_order
 
 CONTINUITY_OUT = ("stream string, event_id string, sequence long, received_at long, backfill boolean, "
                   "status string, expected_sequence long, accepted boolean")
@@ -26,36 +26,7 @@ def stream_key(df: DataFrame) -> DataFrame:
     return df.withColumn("stream", F.concat_ws("|", "source", "kind", F.coalesce("instrument", F.lit("_"))))
 
 
-def in_order(stream: DataFrame, key: str, at: str, tie: str, columns: list[str], fold: Callable, out: str, delay: str) -> DataFrame:
-    """Fold the rows of each key in (``at``, ``tie``) order, whatever the micro-batches.
-
-    ``fold(key, rows, memory)`` takes rows as lists in the order of ``columns`` and gives output rows and the new memory
-    (any JSON value, null at first). Rows that come more than ``delay`` after a newer one are late and are dropped.
-    """
-    names = [f.split()[0] for f in out.split(", ")]
-    at_place, tie_place = columns.index(at), columns.index(tie)
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, rows = (json.loads(x) for x in state.get) if state.exists else (None, [])
-        if not state.hasTimedOut:
-            for frame in frames:
-                plain = frame[columns].astype(object)
-                rows += plain.where(plain.notna(), None).values.tolist()
-        passed = state.getCurrentWatermarkMs()
-        ready = sorted((r for r in rows if r[at_place] <= passed), key=lambda r: (r[at_place], r[tie_place]))
-        rest = [r for r in rows if r[at_place] > passed]
-        made, memory = fold(keys[0], ready, memory)
-        state.update((json.dumps(memory), json.dumps(rest)))
-        if rest:
-            state.setTimeoutTimestamp(max(min(r[at_place] for r in rest), passed + 1))
-        yield pd.DataFrame(made, columns=names)
-
-    timed = stream.withColumn("event_time", F.timestamp_millis(at)).withWatermark("event_time", delay)
-    return timed.select(key, *[c for c in columns if c != key], "event_time").groupBy(key).applyInPandasWithState(
-        step, out, "memory string, rows string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def continuity(stream: DataFrame, delay: str = "2 hours", carry: str | None = None) -> DataFrame:
+def continuity(stream: DataFrame, delay: str = "2 hours", carry: str | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Sequence status of each record: first, contiguous, gap or regression.
 
     ``stream``: stream, event_id, sequence, received_at, backfill, and a string column to ``carry`` along. Regressions
@@ -78,7 +49,7 @@ def continuity(stream: DataFrame, delay: str = "2 hours", carry: str | None = No
         return made, last
 
     columns = ["event_id", "sequence", "received_at", "backfill", *([carry] if carry else [])]
-    return in_order(stream, "stream", "received_at", "event_id", columns, fold, CONTINUITY_OUT + (f", {carry} string" if carry else ""), delay)
+    return in_order(stream, "stream", "received_at", "event_id", columns, fold, CONTINUITY_OUT + (f", {carry} string" if carry else ""), delay, chunk_ms)
 
 
 def gap_feed(checked: DataFrame) -> DataFrame:
@@ -105,10 +76,11 @@ def dedup_events(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def burst_limit(stream: DataFrame, limit: int, window_ms: int, lockout_ms: int = 0, delay: str = "2 hours") -> DataFrame:
+def burst_limit(stream: DataFrame, limit: int, window_ms: int, lockout_ms: int = 0, delay: str = "2 hours", chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Accept at most ``limit`` records per sliding window of each key, then lock the key out.
 
-    ``stream``: key, event_id, at. Memory: the accepted times inside the window and the end of the lockout.
+    ``stream``: key, event_id, at. Memory: the accepted times inside the window (``limit`` at most) and the end of the
+    lockout.
     """
     def fold(key: str, rows: list, memory: list | None) -> tuple[list, list]:
         times, locked = memory or [[], 0]
@@ -129,11 +101,35 @@ def burst_limit(stream: DataFrame, limit: int, window_ms: int, lockout_ms: int =
         return made, [times, locked]
 
     return in_order(stream, "key", "at", "event_id", ["event_id", "at"], fold,
-                    "key string, event_id string, at long, allowed boolean, retry_after_ms long", delay)
+                    "key string, event_id string, at long, allowed boolean, retry_after_ms long", delay, chunk_ms)
+
+
+def silences(stream: DataFrame, quiet_ms: int, delay: str = "2 hours", chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """A row for every time a stream sends nothing for longer than ``quiet_ms`` of event time.
+
+    ``stream``: stream, event_id, received_at. Told either by the next record, or, where none comes, by a timer once the
+    records of other streams have moved the clock past the silence. Memory: the last time and whether it was told.
+    """
+    def fold(key: str, rows: list, memory: list | None) -> tuple[list, list | None]:
+        if not rows:
+            memory, now = memory
+            if memory is None or memory[1] or now <= memory[0] + quiet_ms:
+                return [], memory
+            return [[key, memory[0], memory[0] + quiet_ms]], [memory[0], True]
+        made = []
+        for at, _ in rows:
+            if memory is not None and not memory[1] and at - memory[0] > quiet_ms:
+                made.append([key, memory[0], memory[0] + quiet_ms])
+            if memory is None or at > memory[0]:
+                memory = [at, False]
+        return made, memory
+
+    return in_order(stream, "stream", "received_at", "event_id", ["received_at", "event_id"], fold,
+                    "stream string, last_received_at long, silent_at long", delay, chunk_ms, quiet_ms)
 
 
 def silence_detector(stream: DataFrame, quiet_ms: int) -> DataFrame:
-    """A row for every stream that sends nothing for ``quiet_ms`` of processing time."""
+    """A row for every stream that sends nothing for ``quiet_ms`` of processing time; ``silences`` is its replayable twin."""
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             last = state.get[0]

@@ -57,7 +57,7 @@ def test_stream_queries_do_not_depend_on_batches(spark, monkeypatch, files, slic
     monkeypatch.setattr(streams, "FILES", files)
     monkeypatch.setattr(streams, "SLICES", slices)
     registry = load_registry()
-    for name in ("stream_continuity", "stream_dedup", "live_peg"):
+    for name in ("stream_continuity", "stream_dedup", "live_peg") if files != 4 else ("stream_bursts", "stream_silences"):
         same_as_oracle(spark, registry[name])
 
 
@@ -86,6 +86,79 @@ def test_silence_is_reported_after_the_timeout(spark, tmp_path):
         q.stop()
 
 
+def test_silences_are_told_by_the_next_row_or_by_the_clock(spark, tmp_path):
+    """Stream a is quiet between 10 and 700 and after 1500; b keeps the clock going; a gap of just ``quiet_ms`` is none."""
+    schema = "stream string, event_id string, received_at long"
+    s = batches(spark, tmp_path, schema, [("a", "1", 0), ("a", "2", 10), ("b", "1", 5)], [("b", "2", 300), ("b", "3", 600), ("a", "3", 700)],
+                [("a", "4", 1200), ("a", "5", 1500), ("b", "4", 1100)], [("b", "5", 1600), ("b", "6", 2000)], [("b", "7", 2400), ("~", None, 2700)])
+    rows = drain(spark, tmp_path, FL.silences(s, 500, "400 milliseconds", 50), "out").collect()
+    assert sorted((r["stream"], r["last_received_at"], r["silent_at"]) for r in rows) == [("a", 10, 510), ("a", 1500, 2000)]
+
+
+class FakeState:
+    """State variables of one key in memory, with the largest value ever held."""
+
+    def __init__(self):
+        self.values, self.largest = {}, 0
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+        self.largest = max(self.largest, len(str(value)))
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def keys(self):
+        return iter(list(self.values))
+
+    def exists(self):
+        return "value" in self.values
+
+    def get(self):
+        return self.values["value"]
+
+    def update(self, value):
+        self.updateValue("value", value)
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, FakeState())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_no_state_value_grows_with_a_hot_stream():
+    """200,000 pending rows of one key and one chunk lie in entries of at most PART_ROWS rows and leave in order."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    from gapscope.streaming.timed import PART_ROWS, Release
+
+    def fold(key, rows, memory):
+        return [[r[0], r[1]] for r in rows], len(rows) + (memory or 0)
+
+    handle, processor = FakeHandle(), Release(fold, ["at", "id"], "at", "id", ["at", "id"], 1_000_000)
+    processor.init(handle)
+    for part in range(20):
+        assert not list(processor.handleInputRows(("k",), iter([Row(at=(i * 7919) % 999_983, id=str(i)) for i in range(part * 10_000, part * 10_000 + 10_000)]), None))
+    assert handle.states["pending"].largest < 40 * PART_ROWS and len(handle.states["pending"].values) >= 200_000 // PART_ROWS
+    assert handle.timers == {1_000_000}
+    assert list(processor.handleExpiredTimer(("k",), TimerValues(-1, 999_999), ExpiredTimerInfo(999_999))) == []
+    out = list(processor.handleExpiredTimer(("k",), TimerValues(-1, 1_000_000), ExpiredTimerInfo(1_000_000)))
+    assert len(out) == 200_000 and out == sorted(out, key=lambda r: (r.at, r.id))
+    assert not handle.states["pending"].values and not handle.states["parts"].values
+
+
 def test_quality_windows_close_behind_the_watermark(spark, tmp_path):
     schema = "stream string, received_at long, quality struct<status:string>"
     s = batches(spark, tmp_path, schema, [("a", 0, ("valid",)), ("a", 1000, ("degraded",))], [("a", 7_300_000, ("valid",))], [("a", 7_400_000, ("valid",))])
