@@ -1,8 +1,7 @@
-"""Ordered trade folds over premium series, cut into independent episodes.
+"""Ordered trade folds over premium series, cut into independent parts.
 
-With ``entry > exit``, every open position closes at the latest at a bar inside the exit band, so
-the state after such a bar is always flat. Those bars cut a series into episodes that do not depend
-on each other; only an episode is ever folded in one place.
+Trades of bounded length are walked in chunks of bars (``intervals``). Perp trades have no time stop; there every bar
+inside the exit band leaves the state flat, so those bars cut a series into episodes of one aggregation each.
 """
 from __future__ import annotations
 
@@ -11,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals as I
+
 KEYS = ("instrument",)
 
 
@@ -23,48 +24,27 @@ def episodes(series: DataFrame, value: str, exit_pct: float, keys: Sequence[str]
                          F.coalesce(resets, F.lit(0)).cast("long").alias("episode"))
 
 
-def _trade(side: Column, entry_idx: Column, exit_idx: Column, gross: Column, forced: Column) -> Column:
-    return F.struct(entry_idx.alias("entry_idx"), exit_idx.alias("exit_idx"), side.alias("side"),
-                    gross.alias("gross_pct"), forced.alias("forced"))
-
-
-def _close(acc: Column, x: Column, forced: Column) -> Column:
-    """The trade that leaves the position of ``acc`` at bar ``x``."""
-    gross = F.when(acc["side"] == 1, x["p"] - acc["entry_p"]).otherwise(acc["entry_p"] - x["p"])
-    return _trade(acc["side"], acc["entry_i"], x["i"], gross, forced)
-
-
-def basis_trades(series: DataFrame, entry: float = 1.0, exit_: float = 0.3, max_hold: int | None = 48,
-                 value: str = "premium_pct", keys: Sequence[str] = KEYS) -> DataFrame:
+def basis_trades(series: DataFrame, entry: float = 1.0, exit_: float = 0.3, max_hold: int = 48,
+                 value: str = "premium_pct", keys: Sequence[str] = KEYS, chunk_bars: int = I.CHUNK_BARS, group: int = I.GROUP) -> DataFrame:
     """One position at a time: enter beyond ``entry``, leave inside ``exit_``, after ``max_hold`` bars,
-    or at the end of the series. Gross PnL in premium points per trade."""
+    or at the end of the series. Gross PnL in premium points per trade.
+
+    The trade that each stretched bar would open ends at most ``max_hold`` bars later, whatever was open before; the
+    walk over these trades is cut into chunks (``intervals``), also where a series never comes back inside the band.
+    """
     if not entry > exit_:
         raise ValueError("entry must exceed exit")
-    bars = F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), F.col(value).alias("p"))))
-    packed = episodes(series, value, exit_, keys).groupBy(*keys, "episode").agg(bars.alias("bars"))
-    packed = packed.filter(F.exists("bars", lambda x: F.abs(x["p"]) >= entry))
-    empty = "array<struct<entry_idx:bigint,exit_idx:bigint,side:int,gross_pct:double,forced:boolean>>"
-    start = F.struct(F.lit(0).alias("side"), F.lit(0.0).alias("entry_p"), F.lit(0).cast("long").alias("entry_i"),
-                     F.array().cast(empty).alias("trades"))
-
-    def step(acc: Column, x: Column) -> Column:
-        converged = F.when(acc["side"] == 1, x["p"] >= -exit_).otherwise(x["p"] <= exit_)
-        late = F.lit(False) if max_hold is None else x["i"] - acc["entry_i"] >= max_hold
-        closes = (acc["side"] != 0) & (converged | late)
-        opens = (acc["side"] == 0) & (F.abs(x["p"]) >= entry)
-        return F.struct(
-            F.when(closes, 0).when(opens, F.when(x["p"] < 0, 1).otherwise(-1)).otherwise(acc["side"]).alias("side"),
-            F.when(opens, x["p"]).otherwise(acc["entry_p"]).alias("entry_p"),
-            F.when(opens, x["i"]).otherwise(acc["entry_i"]).alias("entry_i"),
-            F.when(closes, F.concat(acc["trades"], F.array(_close(acc, x, ~converged)).cast(empty)))
-            .otherwise(acc["trades"]).alias("trades"))
-
-    folded = packed.select(*keys, "bars", F.aggregate("bars", start, step).alias("s"))
-    last = F.element_at("bars", -1)
-    trades = F.when(F.col("s.side") != 0,
-                    F.concat("s.trades", F.array(_close(F.col("s"), last, F.lit(True))).cast(empty))
-                    ).otherwise(F.col("s.trades"))
-    return folded.select(*keys, F.explode(trades).alias("t")).select(*keys, "t.*")
+
+    def trade(x: Column, k: Column, bars: Column) -> Column:
+        side = F.when(x["p"] < 0, 1).otherwise(-1)
+        back = F.get(F.filter(F.slice(bars, k + 2, max_hold), lambda b: F.when(x["p"] < 0, b["p"] >= -exit_).otherwise(b["p"] <= exit_)), F.lit(0))
+        last = F.coalesce(back, F.get(bars, F.least(k + max_hold, F.size(bars) - 1)))
+        gross = F.when(x["p"] < 0, last["p"] - x["p"]).otherwise(x["p"] - last["p"])
+        return F.when(F.abs(x["p"]) >= entry, F.struct(x["i"].alias("i"), last["i"].alias("j"), side.alias("side"), gross.alias("gross_pct"), back.isNull().alias("forced")))
+
+    chunks = I.bar_chunks(series, keys, "ts", value, max_hold, chunk_bars)
+    taken = I.choose(chunks, keys, trade, max_hold, chunk_bars, group).select(*keys, F.explode("taken").alias("t"))
+    return taken.select(*keys, F.col("t.i").alias("entry_idx"), F.col("t.j").alias("exit_idx"), "t.side", "t.gross_pct", "t.forced")
 
 
 def basis_summary(trades: DataFrame, fee: float = 0.5, by: Sequence[str] = KEYS) -> DataFrame:
@@ -110,24 +90,16 @@ def perp_trades(series: DataFrame, entry: float = 1.0, exit_: float = 0.3, value
 
 
 def clairvoyant(series: DataFrame, entry: float = 1.0, fee: float = 0.5, max_hold: int = 48,
-                value: str = "premium_pct", keys: Sequence[str] = KEYS) -> DataFrame:
+                value: str = "premium_pct", keys: Sequence[str] = KEYS, chunk_bars: int = I.CHUNK_BARS, group: int = I.GROUP) -> DataFrame:
     """Perfect-hindsight bound: at each stretched bar the best exit within the hold window, never
-    overlapping. Only bars with a profitable exit enter the fold."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    size = F.abs(F.col(value))
-    rows = series.select(*keys, "ts", (F.row_number().over(w) - 1).cast("long").alias("i"), size.alias("p"))
-    best = rows.select(*keys, "i", "p", F.min(F.struct("p", "i")).over(
-        Window.partitionBy(*keys).orderBy("i").rowsBetween(1, max_hold)).alias("best"))
-    net = F.col("p") - F.col("best.p") - fee
-    jumps = best.filter((F.col("p") >= entry) & (net > 0)).select(
-        *keys, F.struct("i", F.col("best.i").alias("j"), net.alias("net")).alias("jump"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("pnl"), F.lit(-1).cast("long").alias("busy"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = x["i"] > acc["busy"]
-        return F.struct(F.when(take, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                        F.when(take, acc["pnl"] + x["net"]).otherwise(acc["pnl"]).alias("pnl"),
-                        F.when(take, x["j"]).otherwise(acc["busy"]).alias("busy"))
-
-    walked = jumps.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("jump")), start, step).alias("s"))
-    return walked.select(*keys, F.col("s.n").alias("opportunities"), F.col("s.pnl").alias("max_pnl_pct"))
+    overlapping. Only bars with a profitable exit are walked over, in chunks; a chunk leaves its count and sum."""
+    def jump(x: Column, k: Column, bars: Column) -> Column:
+        best = F.array_min(F.transform(F.slice(bars, k + 2, max_hold), lambda b: F.struct(F.abs(b["p"]).alias("p"), b["i"].alias("i"))))
+        net = F.abs(x["p"]) - best["p"] - fee
+        return F.when((F.abs(x["p"]) >= entry) & (net > 0), F.struct(x["i"].alias("i"), best["i"].alias("j"), net.alias("net")))
+
+    chunks = I.bar_chunks(series, keys, "ts", value, max_hold, chunk_bars)
+    taken = I.choose(chunks, keys, jump, max_hold, chunk_bars, group)
+    # a key with jumps always takes its first one
+    return taken.select(*keys, F.size("taken").cast("long").alias("n"), F.aggregate("taken", F.lit(0.0), lambda acc, x: acc + x["net"]).alias("pnl")).groupBy(*keys).agg(
+        F.sum("n").alias("opportunities"), F.sum("pnl").alias("max_pnl_pct")).filter("opportunities > 0")

@@ -26,8 +26,8 @@ def position_ledger(fills: DataFrame, order: Sequence[str] = ("ts", "event_key",
     funding = F.col("rate").isNotNull()
     signed = F.when(funding, 0.0).when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     by = F.col(order[0])
-    hot = hot_keys(fills, keys, by, chunk_rows)
-    rows = add_slice(fills.withColumn("__d", signed), keys, by, hot=hot)
+    hot = hot_keys(fills, keys, chunk_rows)
+    rows = add_slice(fills.withColumn("__d", signed), keys, order, chunk_rows)
     rows = running(rows, keys, order, {"__i": ("sum", F.lit(1).cast("long")), "__s": ("sum", F.col("__d"))}, by)
     # Lowest running total before each row: how much selling below zero the spot floor has absorbed.
     rows = running(rows, keys, order, {"__low": ("min", F.col("__s"))}, by, exclusive=True)
@@ -134,8 +134,8 @@ def order_lifecycle(events: DataFrame, slice_by: Column, chunk_rows: int = CHUNK
     """
     is_fill = F.col("type") == "Fill"
     good_fill = is_fill & F.coalesce(F.col("fill_qty") > 0, F.lit(False))
-    hot = hot_keys(events, ["order_id"], slice_by, chunk_rows)
-    rows = running(add_slice(events, ["order_id"], slice_by, hot=hot), ["order_id"], ["seq"], {
+    hot = hot_keys(events, ["order_id"], chunk_rows)
+    rows = running(add_slice(events, ["order_id"], ["seq"], chunk_rows), ["order_id"], ["seq"], {
         "__i": ("sum", F.lit(1).cast("long")), "filled_qty": ("sum", F.when(good_fill, F.col("fill_qty")).otherwise(0.0))}, slice_by)
     symbol = (F.when(is_fill & ~good_fill, "FillBad").when((F.col("type") == "Deny") & F.col("reason").isNull(), "DenyBad")
               .when(is_fill & (F.col("filled_qty") > F.col("order_qty") + 1e-9), "FillOver")

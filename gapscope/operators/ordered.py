@@ -1,8 +1,8 @@
 """Ordered operators that stay parallel when one key holds a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` sorts each key in one task. Here a cheap count finds the hot keys;
-each of those is cut into slices along its order, worked on per slice, and the one-row summaries of the
-slices are carried along the key. Other keys take the plain path in the same plan. Results equal the
+A plain ``Window.partitionBy(key)`` sorts each key in one task. Here a small drawn share of the rows finds the hot keys;
+each of those is cut into slices of about equal rows along its order, worked on per slice, and the one-row
+summaries of the slices are carried along the key. Other keys take the plain path in the same plan. Results equal the
 plain window, but for the last bits of floating sums.
 """
 from __future__ import annotations
@@ -11,29 +11,48 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 CHUNK_ROWS = 100_000
 SLICE_ROWS = 1_000_000
+#: Drawn rows per slice, and cuts that one step of the search looks at.
+DRAWN, STRIDE = 16, 64
 
 _SLICE = "__slice"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], by: Column, rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows, with the origin and width of their slices.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows, and their number: at most (all rows / ``rows``) keys."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
 
-    The table holds at most (all rows / ``rows``) keys, which bounds its broadcast: half a million keys per
-    5e11 rows at the default.
-    """
-    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(by).alias("__lo"), F.max(by).alias("__hi"))
-    width = F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo")) * float(rows) / F.col("__n"))
-    return agg.filter(F.col("__n") > rows).select(*keys, "__n", "__lo", width.alias("__width"))
 
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """For each key with more than about ``rows`` rows, the places in its order that cut it into slices of about as many.
 
-def add_slice(df: DataFrame, keys: Sequence[str], by: Column, rows: int = SLICE_ROWS, hot: DataFrame | None = None) -> DataFrame:
-    """Number the slices of hot keys along ``by``; NULL for every other key."""
-    table = hot if hot is not None else hot_keys(df, keys, by, rows)
-    joined = df.withColumn("__by", by).join(F.broadcast(table), list(keys), "left")
-    spot = F.floor((F.col("__by") - F.col("__lo")) / F.col("__width"))
+    A hash of key and order draws about ``DRAWN`` rows per slice, the same ones whenever the plan is run, and every
+    ``DRAWN``-th of them in order is a cut. Cuts are whole order tuples, so rows of one time are cut by what breaks
+    their tie, and gaps in the order values do not matter. Keys with fewer rows are not in the table, which therefore
+    holds about (all rows / ``rows``) cuts: a million for 1e12 rows at the default.
+    """
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    space = 1 << 30
+    share = min(space, max(1, space * DRAWN // max(1, rows)))
+    drawn = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(space)) < share).groupBy(*keys, at.alias("__at")).agg(F.count(F.lit(1)).alias("__c"))
+    weighed = drawn.select(*keys, F.explode(F.array_repeat("__at", F.least(F.col("__c"), F.lit(DRAWN)).cast("int"))).alias("__at"))
+    listed = weighed.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__l")).filter(F.size("__l") > DRAWN)
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(DRAWN), F.size("__l") - 1, F.lit(DRAWN)), lambda i: F.get(F.col("__l"), i)))
+    tops = F.transform(F.sequence(F.lit(0), F.size("__cuts") - 1, F.lit(STRIDE)), lambda i: F.get(F.col("__cuts"), i))
+    return listed.select(*keys, cuts.alias("__cuts")).withColumn("__tops", tops)
+
+
+def add_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """Number the slices of hot keys along ``order``; NULL for every other key."""
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    # the table of cuts is a millionth of the rows: its bound is stated in cut_points
+    joined = df.withColumn("__at", at).join(F.broadcast(cut_points(df, keys, order, rows)), list(keys), "left")
+    base = (F.size(F.filter("__tops", lambda e: e <= F.col("__at"))) - 1) * STRIDE
+    inside = F.size(F.filter(F.slice("__cuts", base + 1, STRIDE), lambda e: e <= F.col("__at")))
+    spot = F.when(F.col("__cuts").isNotNull(), F.when(base < 0, 0).otherwise(base + inside)).cast("long")
     return joined.select(*df.columns, spot.alias(_SLICE))
 
 
@@ -81,9 +100,10 @@ def running(
     """Running ``sum``/``max``/``min``/``last`` (non-null) from the start of each key.
 
     ``exclusive`` leaves out the current row. ``reverse`` runs from the end of the key, so ``last``
-    then means the next non-null value. ``slice_by`` is a number that never falls along ``order``; pass
-    ``None`` only where the rows of a key are bounded by construction. Slices already numbered by
-    ``add_slice`` are used and kept, so several passes share one partitioning.
+    then means the next non-null value. Pass ``None`` as ``slice_by`` only where the rows of a key are bounded by
+    construction; otherwise it names what the order runs along, and hot keys are sliced along the whole ``order``.
+    Slices already numbered by ``add_slice`` over the same order are used and kept, so several passes share one
+    partitioning.
     """
     end = -1 if exclusive else Window.currentRow
     by = [F.col(c).desc() if reverse else F.col(c) for c in order]
@@ -91,7 +111,7 @@ def running(
         win = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[_local(k, v, win).alias(n) for n, (k, v) in aggs.items()])
 
-    base = df if _SLICE in df.columns else add_slice(df, keys, slice_by, slice_rows or SLICE_ROWS)
+    base = df if _SLICE in df.columns else add_slice(df, keys, order, slice_rows or SLICE_ROWS)
     groups = [*keys, _SLICE]
     win = Window.partitionBy(*groups).orderBy(*by).rowsBetween(Window.unboundedPreceding, end)
     local = base.select("*", *[_local(k, v, win).alias(f"__l_{n}") for n, (k, v) in aggs.items()])
@@ -188,11 +208,13 @@ def asof_join(
     ties = [F.col(t).alias(f"__tie{i}") for i, t in enumerate(tie)]
     no_ties = [F.lit(None).cast(right.schema[t].dataType).alias(f"__tie{i}") for i, t in enumerate(tie)]
     r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(rank_right).alias("__side"), *ties,
-                     packed.alias("__right"))
+                     F.lit(0).cast("long").alias("__mix"), packed.alias("__right"))
+    # left rows of one time may stand in any order, so a hash of theirs lets them be cut apart
+    plain = [f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType) and f.dataType.typeName() != "variant"]
     l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(rank_left).alias("__side"), *no_ties,
-                    F.struct(*left.columns).alias("__left"))
+                    F.xxhash64(*plain).alias("__mix"), F.struct(*left.columns).alias("__left"))
     both = r.unionByName(l, allowMissingColumns=True)
-    order = ["__t", "__side", *[f"__tie{i}" for i in range(len(tie))]]
+    order = ["__t", "__side", *[f"__tie{i}" for i in range(len(tie))], "__mix"]
     filled = running(both, keys, order, {"__hit": ("last", F.col("__right"))}, F.col("__t"),
                      reverse=forward, slice_rows=slice_rows)
     rows = filled.filter(F.col("__left").isNotNull())

@@ -72,7 +72,7 @@ def test_asof_join_against_brute_force(skewed, forward):
 def test_affine_scan_against_loop(spark, skewed, chunk_rows):
     rows = O.dense_index(skewed, ["key"], ["t", "id"], F.col("t"), "i").select(
         "key", "i", "id", "t", (F.col("id") % 7 / 7.0).alias("a"), (F.col("id") % 5).cast("double").alias("b"))
-    hot = O.hot_keys(rows, ["key"], F.col("t"), chunk_rows)
+    hot = O.hot_keys(rows, ["key"], chunk_rows)
     got = {r["id"]: (r["x0"], r["x"]) for r in SC.affine_scan(rows, ["key"], "i", "a", "b", "x", "x0", hot, chunk_rows).collect()}
     by_key = {}
     for r in sorted(rows.collect(), key=lambda r: (r["key"], r["i"])):
@@ -85,10 +85,43 @@ def test_affine_scan_against_loop(spark, skewed, chunk_rows):
 def test_automaton_scan_against_loop(skewed, chunk_rows):
     table = [[1, 2, 0], [2, 2, 1], [0, 1, 2]]
     rows = O.dense_index(skewed, ["key"], ["t", "id"], F.col("t"), "i").select("key", "i", "id", "t", (F.col("id") % 3).cast("int").alias("s"))
-    hot = O.hot_keys(rows, ["key"], F.col("t"), chunk_rows)
+    hot = O.hot_keys(rows, ["key"], chunk_rows)
     got = {r["id"]: (r["p"], r["q"]) for r in SC.automaton_scan(rows, ["key"], "i", "s", table, "q", "p", hot, chunk_rows).collect()}
     state = {}
     for r in sorted(rows.collect(), key=lambda r: (r["key"], r["i"])):
         before = state.get(r["key"], 0)
         state[r["key"]] = table[before][r["s"]]
         assert got[r["id"]] == (before, state[r["key"]])
+
+
+@pytest.mark.parametrize("shape", ["even", "clusters", "one_time", "one_time_but_few", "negative_and_null"])
+def test_hot_keys_are_cut_into_slices_of_equal_rows(spark, shape):
+    """Whatever the order values look like, no slice holds far more rows than asked for, and slices follow the order."""
+    rng = random.Random(3)
+    time = {"even": lambda i: i, "clusters": lambda i: i % 3000 if i % 2 else 10**15 + i % 50, "one_time": lambda i: 7,
+            "one_time_but_few": lambda i: 7 if i > 30 else i, "negative_and_null": lambda i: None if i % 100 == 0 else -i * i}[shape]
+    rows = [("hot", time(i), rng.randrange(10**9) * 10**4 + i) for i in range(6000)] + [("cold", i, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "key string, t long, id long")
+    cut = O.add_slice(df, ["key"], ["t", "id"], 500)
+    sizes = {(r["key"], r["__slice"]): r["count"] for r in cut.groupBy("key", "__slice").count().collect()}
+    assert sizes.pop(("cold", None)) == 90 and len(sizes) >= 8 and max(sizes.values()) < 1500
+    spans = sorted((r["__slice"], r["lo"], r["hi"]) for r in cut.filter("key = 'hot'").groupBy("__slice").agg(
+        F.min(F.struct(F.coalesce("t", F.lit(-10**18)), "id")).alias("lo"), F.max(F.struct(F.coalesce("t", F.lit(-10**18)), "id")).alias("hi")).collect())
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_many_slices_are_found_in_two_steps(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("key"), F.col("id").alias("t"))
+    cut = O.add_slice(df, ["key"], ["t"], 16).collect()
+    assert max(r["__slice"] for r in cut) > 3 * O.STRIDE
+    assert [r["__slice"] for r in sorted(cut, key=lambda r: r["t"])] == sorted(r["__slice"] for r in cut)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_join_of_one_time_is_split(spark, forward):
+    """All left rows at one time: a hash cuts them apart, the result stays."""
+    left = spark.createDataFrame([("k", 5, i) for i in range(400)] + [("k", 3, 900), ("k", 9, 901)], "key string, t long, id long")
+    right = spark.createDataFrame([("k", 4, 1), ("k", 5, 2), ("k", 5, 3), ("k", 7, 4)], "key string, rt long, rid long")
+    got = {r["id"]: r["rid"] for r in O.asof_join(left, right, ["key"], "t", "rt", ["rid"], forward, ["rid"], slice_rows=20).collect()}
+    assert {got[i] for i in range(400)} == {2 if forward else 3}
+    assert (got[900], got[901]) == ((1, None) if forward else (None, 4))

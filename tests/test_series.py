@@ -68,6 +68,32 @@ def test_episodes_equal_the_sequential_walk(spark, seed):
     assert [(t["entry_idx"], t["exit_idx"], t["side"], round(t["gross_pct"], 9), t["forced"]) for t in got] == loop_backtest(values, 1.0, 0.3, 5)
 
 
+def loop_clairvoyant(values, entry, fee, hold):
+    busy, n, total = -1, 0, 0.0
+    for i, p in enumerate(values):
+        ahead = [(abs(q), j) for j, q in enumerate(values) if i < j <= i + hold]
+        if i > busy and abs(p) >= entry and ahead and abs(p) - min(ahead)[0] - fee > 0:
+            n, total, busy = n + 1, total + abs(p) - min(ahead)[0] - fee, min(ahead)[1]
+    return n, round(total, 9)
+
+
+@pytest.mark.parametrize("chunk_bars, group", [(5, 2), (7, 3), (16, 1024), (1024, 1024)])
+@pytest.mark.parametrize("shape", ["noise", "never_in_band", "flips"])
+def test_chunked_walks_equal_the_sequential_ones(spark, shape, chunk_bars, group):
+    """Also on a series without one bar inside the exit band, where nothing but the time stop ends a trade."""
+    rng = random.Random(chunk_bars)
+    make = {"noise": lambda: rng.gauss(0, 1.2), "never_in_band": lambda: 1.5 + rng.random(), "flips": lambda: rng.choice([-1, 1]) * (0.5 + rng.random())}[shape]
+    values, other = [make() for _ in range(203)], [make() for _ in range(chunk_bars)]
+    both = premium(spark, values).unionByName(premium(spark, other).withColumn("instrument", F.lit("other")))
+    got = B.basis_trades(both, 1.0, 0.3, 5, chunk_bars=chunk_bars, group=group).orderBy("instrument", "entry_idx").collect()
+    for name, series in (("X", values), ("other", other)):
+        mine = [t for t in got if (t["instrument"] == "other") == (name == "other")]
+        assert [(t["entry_idx"], t["exit_idx"], t["side"], round(t["gross_pct"], 9), t["forced"]) for t in mine] == loop_backtest(series, 1.0, 0.3, 5)
+    bound = {r["instrument"] == "other": (r["opportunities"], round(r["max_pnl_pct"], 9)) for r in B.clairvoyant(both, 1.0, 0.1, 5, chunk_bars=chunk_bars, group=group).collect()}
+    want = {name == "other": loop_clairvoyant(series, 1.0, 0.1, 5) for name, series in (("X", values), ("other", other))}
+    assert bound == {k: v for k, v in want.items() if v[0]}
+
+
 def test_perp_trades_drop_an_open_position(spark):
     df = spark.createDataFrame([("X", i * DAY, px, d) for i, (px, d) in enumerate([(100.0, 2.0), (98.0, 0.1), (97.0, -1.5), (99.0, -0.9)])],
                                "instrument string, ts long, perp_close double, deviation_pct double")
