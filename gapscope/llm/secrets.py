@@ -2,8 +2,9 @@
 
 Base kinds are patterns. On top of them, base64, base64url and hex candidates are decoded and reported only when the
 decoded bytes have the structure of a secret: a private key as nested DER lengths (PKCS#1, PKCS#8, SEC1), an OpenSSH
-key container, a key in PEM armour, or the header and payload of a signed token. Base64 may be wrapped in lines of one
-width. All scanning is by row, so nothing is shuffled.
+key container, a key in PEM armour (whose line breaks may be escaped), or the header and payload of a signed token.
+Base64 may be wrapped in lines of one width, and a name or path may be glued to its front. Every run is read once, so
+the time for a text grows with its length. All scanning is by row, so nothing is shuffled.
 """
 from __future__ import annotations
 
@@ -32,13 +33,16 @@ PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[
 ENCRYPTED = re.compile(r"^Proc-Type:\s*4\s*,\s*ENCRYPTED\s*$(?=[\s\S]*^DEK-Info:\s*[A-Za-z0-9-]+\s*,\s*[0-9A-Fa-f]{16,}\s*$)", re.MULTILINE)
 BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 URL_SAFE = r"[A-Za-z0-9_-]{40,}={0,2}"
-WRAPPED = r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}"
+#: Runs are taken whole and from their border on, so a long one is read once.
+WRAPPED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}"
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LEAST_BASE64 = 40
 #: How a key container and armour begin in base64.
 SSH_BASE64, PEM_BASE64 = "b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi"
 ANY_HEX = r"[0-9A-Fa-f]{48,}"
-SIGNED = r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"
+DOTTED = r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"
+#: Line breaks as they stand in quoted strings.
+ESCAPED_BREAK = re.compile(r"\\[nrt]")
 SSH_MAGIC = b"openssh-key-v1\0"
 BLOCK_DOCS = 200
 
@@ -139,7 +143,7 @@ def is_signed_token(header: str, payload: str) -> bool:
 
 def is_armoured_key(headers: str, body: str) -> bool:
     """Whether the lines inside PEM armour are a private key, plain or encrypted as its header lines say."""
-    data = from_base64("".join(body.split()))
+    data = from_base64("".join(ESCAPED_BREAK.sub(" ", body).split()))
     return bool(data) and (is_private_key(data) or is_ssh_key(data) or (len(data) >= 16 and ENCRYPTED.search(headers) is not None))
 
 
@@ -165,25 +169,30 @@ def der_chars(text: str) -> int | None:
     return -(-value[2] * 4 // 3) if value else None
 
 
-def url_safe_spans(text: str, patterns: dict) -> list[Span]:
-    """Keys in the url-safe alphabet; a name may be glued to the front."""
+def run_spans(text: str, pattern: re.Pattern, glued: re.Pattern, patterns: dict, only_glued: bool) -> list[Span]:
+    """Keys in runs of one alphabet; a name or a path may be glued to the front with one of its own characters.
+
+    ``only_glued`` passes over runs without such a character.
+    """
     found = []
-    for m in patterns["url_safe"].finditer(text):
+    for m in pattern.finditer(text):
         run = m[0].rstrip("=")
-        if "-" not in run and "_" not in run:
+        if only_glued and not glued.search(run):
             continue
         kind = kind_of(from_base64(run), patterns)
         if kind is not None:
             found.append((m.start(), kind, m.end()))
             continue
-        tried = set()
-        for glue in re.finditer("[-_]", run):
+        tried, containers = set(), 0
+        for glue in glued.finditer(run):
             rest = len(run) - glue.end()
             armour = run.startswith(PEM_BASE64, glue.end()) and rest % 4 not in tried
             if armour:
                 tried.add(rest % 4)  # armour further on would have been met in the same bytes
+            container = run.startswith(SSH_BASE64, glue.end()) and not containers
+            containers += container  # one that breaks off holds any further one
             # the bytes say how long a key is; a container or armour is known by how it begins
-            if rest >= LEAST_BASE64 and (der_chars(run[glue.end():glue.end() + 8]) == rest or armour or run.startswith(SSH_BASE64, glue.end())):
+            if rest >= LEAST_BASE64 and (der_chars(run[glue.end():glue.end() + 8]) == rest or armour or container):
                 kind = kind_of(from_base64(run[glue.end():]), patterns)
                 if kind is not None:
                     found.append((m.start() + glue.end(), kind, m.end()))
@@ -191,12 +200,31 @@ def url_safe_spans(text: str, patterns: dict) -> list[Span]:
     return found
 
 
+def signed_spans(text: str, patterns: dict) -> list[Span]:
+    """Signed tokens: three parts with dots between, the first one's header from its first ``eyJ`` on."""
+    found = []
+    for m in patterns["dotted"].finditer(text):
+        parts, ends = m[0].split("."), []
+        for part in parts:
+            ends.append((ends[-1] + 1 if ends else m.start()) + len(part))
+        k = 0
+        while k + 2 < len(parts):
+            at = parts[k].find("eyJ")
+            if 0 <= at < len(parts[k]) - 3 and is_signed_token(parts[k][at:], parts[k + 1]):
+                found.append((ends[k] - len(parts[k]) + at, 7, ends[k + 2]))
+                k += 2
+            k += 1
+    return found
+
+
 def wrapped_spans(text: str, patterns: dict) -> list[Span]:
     """Keys in lines of one width, the last of which may be shorter."""
     found = []
     for m in patterns["wrapped"].finditer(text):
         lines = [(x.start(), x[0]) for x in LINE.finditer(text, m.start(), m.end())]
-        done = 0
+        done, alike = 0, [len(lines)] * len(lines)  # the first line after each one that has another width
+        for at in range(len(lines) - 2, -1, -1):
+            alike[at] = alike[at + 1] if len(lines[at][1]) == len(lines[at + 1][1]) else at + 1
         for first, (start, line) in enumerate(lines):
             if first < done or len(line) < LEAST_BASE64:
                 continue
@@ -204,15 +232,14 @@ def wrapped_spans(text: str, patterns: dict) -> list[Span]:
             if group is not None:
                 # the bytes say where the key ends
                 stop = first + -(-group // len(line))
-                whole = stop <= len(lines) and all(len(x) == len(line) for _, x in lines[first:stop - 1])
-                if not whole or len("".join(x for _, x in lines[first:stop]).rstrip("=")) != group:
+                whole = stop <= len(lines) and alike[first] >= stop - 1
+                if not whole or (stop - 1 - first) * len(line) + len(lines[stop - 1][1].rstrip("=")) != group:
                     stop = None
             if stop is None:
                 if first and len(lines[first - 1][1]) == len(line) and not line.startswith(SSH_BASE64):
                     continue  # part of the group before
-                stop = first + 1
-                while stop < len(lines) and len(lines[stop - 1][1]) == len(line) >= len(lines[stop][1]):
-                    stop += 1
+                stop = alike[first]
+                stop += stop < len(lines) and len(lines[stop][1]) < len(line)
             if stop - first < 2:
                 continue
             # without that, a short line after full ones may be a word of the text
@@ -252,23 +279,20 @@ def structural_spans(text: str, patterns: dict) -> list[Span]:
     armoured = list(found)
     wrapped = [s for s in wrapped_spans(text, patterns) if not any(a <= s[0] and s[2] <= b for a, _, b in armoured)]
     found += wrapped
-    runs = [(m.start(), kind, m.end()) for m in patterns["base64"].finditer(text) if (kind := kind_of(from_base64(m[0]), patterns)) is not None]
     # the first part or line of a key may look like a whole one
-    url_safe = [s for s in url_safe_spans(text, patterns) if not any(a <= s[0] and s[2] <= b for a, _, b in wrapped)]
+    url_safe = [s for s in run_spans(text, patterns["url_safe"], patterns["url_glue"], patterns, True) if not any(a <= s[0] and s[2] <= b for a, _, b in wrapped)]
+    runs = run_spans(text, patterns["base64"], patterns["path_glue"], patterns, False)
     found += url_safe + [s for s in runs if not any(a <= s[0] and s[2] <= b for a, _, b in wrapped + url_safe)]
-    for m in patterns["any_hex"].finditer(text):
-        data = bytes.fromhex(m[0][:len(m[0]) // 2 * 2])
-        if is_private_key(data):
-            found.append((m.start(), 5, m.end()))
+    found += [(m.start(), 5, m.end()) for m in patterns["any_hex"].finditer(text) if kind_of(bytes.fromhex(m[0][:len(m[0]) // 2 * 2]), patterns) is not None]
     if "eyJ" in text:
-        found += [(m.start(), 7, m.end()) for m in patterns["signed"].finditer(text) if is_signed_token(m[1], m[2])]
+        found += signed_spans(text, patterns)
     return found
 
 
 def compiled() -> dict:
     return {"assign": re.compile(ASSIGN, re.ASCII), "access": re.compile(ACCESS), "hex": re.compile(HEX), "pem": re.compile(PEM),
             "base64": re.compile(BASE64), "url_safe": re.compile(URL_SAFE), "wrapped": re.compile(WRAPPED),
-            "any_hex": re.compile(ANY_HEX), "signed": re.compile(SIGNED)}
+            "any_hex": re.compile(ANY_HEX), "dotted": re.compile(DOTTED), "url_glue": re.compile("[-_]"), "path_glue": re.compile("[/+]")}
 
 
 def joined(spans: list[Span]) -> str:
