@@ -33,9 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The table survives the loss of executors, is computed once, and later readers prune its columns.
+    The table survives the loss of executors, is computed once, and later readers prune its columns. ``discard`` removes
+    it once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut_lineage`` whose readers have all been written; other frames are passed over."""
+    for table in tables:
+        path = table.__dict__.pop("_cut_path", None)
+        if path is not None:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
