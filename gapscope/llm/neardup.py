@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .common import query, slices, table
 
 HALF = 3
 MISS = 1e-4
 SKETCHED = 64
-#: Further rounds of stars, each with centers drawn anew, before what is still apart is searched pair by pair.
-ROUNDS = 2
+#: Further rounds of stars, each with centers drawn anew, before what is still apart is joined.
+ROUNDS = 1
+#: 64-bit words of the bitmap of what tells a node from its center.
+BITMAP = 16
 BLOCK_DOCS = 100
 #: Bits of the fixed-size map that keeps uninvolved texts out of confirmation (8 MB on the driver, whatever the input).
 MAP_BITS = 1 << 26
@@ -129,7 +131,7 @@ def least_agreeing(threshold: float, n: int) -> int:
 
 
 def signatures(documents: DataFrame, size: int, width: int) -> DataFrame:
-    """``doc_id, n, set_id, b0..b3, least`` of every row: set size, 128-bit set digest, sketch and minima (null if empty)."""
+    """``doc_id, k1, k2, n, set_id, b0..b3, least`` of every row: text keys, set size, 128-bit set digest, sketch and minima (null if empty)."""
     n = 2 * width * HALF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +147,13 @@ def signatures(documents: DataFrame, size: int, width: int) -> DataFrame:
                 for row, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     least[i] = found[row].tobytes()
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
                                               *[pa.array(planes[:, k]) for k in range(4)], pa.array(least, pa.binary())],
-                                             ["doc_id", "n", "set_id", "b0", "b1", "b2", "b3", "least"])
+                                             ["doc_id", "k1", "k2", "n", "set_id", "b0", "b1", "b2", "b3", "least"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_id binary, b0 long, b1 long, b2 long, b3 long, least binary")
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_keys(text))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, set_id binary, b0 long, b1 long, b2 long, b3 long, least binary")
 
 
 def table_keys(nodes: DataFrame, width: int) -> DataFrame:
@@ -196,23 +199,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int
 
 
 def delta_prefixes(grouped: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """``center, token, node, root``: tokens of which two nodes of different components must share one to be linked.
+    """``center, token, node, root, apart, f0..``: tokens of which two nodes of different components must share one to be linked.
 
     ``grouped``: center, node, root. Let D be the shingles by which a node differs from its center, and q the share of
     the sizes' sum by which linked sets may differ. Two nodes differ by |Dx| + |Dy| - 2 |Dx and Dy|, so a link needs an
     overlap of at least (|Dx| + |Dy| - q (|x| + |y|)) / 2, which is positive unless both are linked with the center.
     From it follows, for each node alone, a least overlap and with it the length of the prefix of D, in one order of
-    tokens per center (those outside the center first), that has to meet the other's prefix.
+    tokens per center (those outside the center first), that has to meet the other's prefix. ``apart`` is |D|, and the
+    ``f`` columns are a bitmap of hashes of D: each bit that one node has and the other lacks is a token they do not share.
     """
     theta = share[0] / share[1]
     q = (1 - theta) / (1 + theta)
+    names = ["center", "token", "node", "root", "apart", *(f"f{k}" for k in range(BITMAP))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_text, held = None, None
         for block in slices(batches, 50):
             centers, nodes, roots = (block.column(c).to_pylist() for c in ("center", "node", "root"))
             other = shingle_sets(block.column("text_b").to_pylist(), size)
-            out: tuple = ([], [], [], [])
+            out: tuple = tuple([] for _ in range(5 + BITMAP))
             for center, node, root, text, there in zip(centers, nodes, roots, block.column("text_a").to_pylist(), other):
                 if held is None or text != held_text:
                     held_text, held = text, shingle_sets([text], size)[0]
@@ -221,13 +226,15 @@ def delta_prefixes(grouped: DataFrame, texts: DataFrame, size: int, share: tuple
                 if len(apart) <= q * (len(there) + len(held)):
                     least = max(least, (len(apart) + q * (len(held) - len(there))) / 2)
                 prefix = apart[:len(apart) - max(1, math.ceil(least - 1e-9)) + 1]
-                for column, value in zip(out, ([center] * len(prefix), prefix.view(np.int64).tolist(), [node] * len(prefix), [root] * len(prefix))):
-                    column += value
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["center", "token", "node", "root"])
+                bits = np.zeros(64 * BITMAP, bool)
+                bits[(apart % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+                for column, value in zip(out, (center, None, node, root, len(apart), *np.packbits(bits).view(np.int64).tolist())):
+                    column += prefix.view(np.int64).tolist() if value is None else [value] * len(prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
     with_b = grouped.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
     both = with_b.join(texts.select(F.col("doc_id").alias("center"), F.col("text").alias("text_a")), "center")
-    return both.select("center", "node", "root", "text_a", "text_b").mapInArrow(run, "center long, token long, node long, root long")
+    return both.select("center", "node", "root", "text_a", "text_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def split_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,11 +260,11 @@ def split_by_ids(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     return documents.filter(looked), documents.filter(~looked)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
     """``node, root`` (smallest node reachable) for every node with a link, by alternating large and small stars.
 
     Rounds grow with the logarithm of a component's size; each writes its links to the shared folder, so nothing long
-    has to be recomputed after a loss.
+    has to be recomputed after a loss. The table that the result reads is added to ``tables``, those before it go.
     """
     links = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _checksum(links)
@@ -267,10 +274,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        links = cut_lineage(small.distinct())
+        old, links = links, cut_lineage(small.distinct())
         before, state = state, _checksum(links)
+        discard(old)
         if state == before:
             break
+    if tables is not None:
+        tables.append(links)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b"), F.col("b")).distinct())
 
 
@@ -287,6 +297,16 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
     it. Null and empty texts have no shingle and are alone. Rows with a null id take no part: component null, kept. Rows
     that repeat an id and its text repeat in the result. An empty table gives no row.
     """
+    return grouped_rows(documents, size, share)[0].drop("set_id", "k1", "k2")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two independent hashes that tell texts apart."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def grouped_rows(documents: DataFrame, size: int, share: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``link_groups`` with ``set_id`` and the ``text_keys``, and the tables that they are still read from."""
     threshold = share[0] / share[1]
     width = table_width(threshold)
     agreeing = least_agreeing(threshold, min(SKETCHED, 2 * width * HALF)) - SKETCHED + min(SKETCHED, 2 * width * HALF)
@@ -301,6 +321,9 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
     def of(side: str) -> list[Column]:
         return [F.col(c).alias(f"{c}_{side}") for c in ("n", "b0", "b1", "b2", "b3")]
 
+    def seen_from(side: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{side}") for c in ("root", "apart", *(f"f{k}" for k in range(BITMAP)))]
+
     def near() -> Column:
         """Whether set sizes and sketches of both sides allow a link."""
         fits = share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
@@ -319,46 +342,83 @@ def link_groups(documents: DataFrame, size: int = 5, share: tuple[int, int] = (8
         several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         return cut_lineage(labelled.join(several, "key"))
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        held = cut_lineage(pairs)
+        found = cut_lineage(confirm(held, texts, size, share))
+        discard(held)
+        return found
+
+    def apart(tried: DataFrame) -> DataFrame:
+        used: list[DataFrame] = []
+        found = still_open(components(tried.filter("linked").select("a", "b"), used))
+        discard(*used)
+        return found
+
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = cut_lineage(split_by_ids(rows, members.select(F.col("node").alias("id")).distinct())[0])
-    stars = possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    tried = cut_lineage(confirm(cut_lineage(stars), texts, size, share))
+    done = [confirmed(possible(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))]
+    tried = done[0]
     for turn in range(ROUNDS):
-        rest = still_open(components(tried.filter("linked").select("a", "b")))
+        rest = apart(tried)
         # four orders of all nodes, dealt over the tables: similar tables mostly agree on the center
         order = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(4)), F.lit(turn))
         centers = rest.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("drawn"), F.col("root").alias("drawn_root")), order).alias("c")).select("key", "c.*")
         drawn = rest.join(centers, "key").filter("root <> drawn_root").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("b")).distinct()
-        fresh = possible(drawn).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = cut_lineage(tried.unionByName(confirm(cut_lineage(fresh), texts, size, share)))
-    rest = still_open(components(tried.filter("linked").select("a", "b")))
-    grouped = rest.filter("node <> center").select("center", "node", "root").distinct()
-    marked = cut_lineage(delta_prefixes(cut_lineage(grouped), texts, size, share))
+        done.append(confirmed(possible(drawn).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+        discard(rest)
+        tried = tried.unionByName(done[-1])
+    rest = apart(tried)
+    grouped = cut_lineage(rest.filter("node <> center").select("center", "node", "root").distinct())
+    discard(rest, members)
+    marked = cut_lineage(delta_prefixes(grouped, texts, size, share))
+    discard(grouped)
     met = marked.groupBy("center", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center", "token")
     meeting = cut_lineage(marked.join(met, ["center", "token"]).join(sketches, "node"))
-    left = meeting.select("center", "token", F.col("node").alias("a"), F.col("root").alias("root_a"), *of("a"))
-    right = meeting.select("center", "token", F.col("node").alias("b"), F.col("root").alias("root_b"), *of("b"))
-    across = left.join(right, ["center", "token"]).filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near()).select("a", "b").distinct()
+    discard(marked)
+    left = meeting.select("center", "token", F.col("node").alias("a"), *seen_from("a"), *of("a"))
+    right = meeting.select("center", "token", F.col("node").alias("b"), *seen_from("b"), *of("b"))
+    # twice the overlap that a link needs, in parts of share[0] + share[1], against the most that the bitmaps allow
+    whole = share[0] + share[1]
+    needed = whole * (F.col("apart_a") + F.col("apart_b")) - (share[1] - share[0]) * (F.col("n_a") + F.col("n_b"))
+    overlap = F.least(*[F.col(f"apart_{x}") - sum(F.bit_count(F.col(f"f{k}_{x}").bitwiseAND(F.bitwise_not(f"f{k}_{y}"))) for k in range(BITMAP))
+                        for x, y in ("ab", "ba")])
+    differ = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    across = left.join(right, ["center", "token"]).filter(differ & near() & (2 * whole * overlap >= needed)).select("a", "b").distinct()
     untried = cut_lineage(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(meeting)
     links = tried.filter("linked").select("a", "b").union(confirm(untried, texts, size, share).filter("linked").select("a", "b"))
-    roots = cut_lineage(components(links))
+    used: list[DataFrame] = []
+    roots = cut_lineage(components(links, used))
+    discard(texts, untried, *done, *used)
     classes = nodes.select("set_id", "node").join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
-    placed = signed.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    placed = signed.select("doc_id", "n", "set_id", "k1", "k2").join(classes, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    told = placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_id", "k1", "k2")
+    return told, [signed, nodes, roots]
 
 
 def keep_one(documents: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of ``documents``, of each group of near duplicates only the one with the smallest id, once.
 
-    Rows with a null id stay. Only rows of groups, and of ids that repeat, are moved to be told apart.
+    Rows with a null id stay. Rows that share an id are told apart by their texts: of those with the same shingles (without
+    any, the same text) one stays, the one whose columns have the least hash; a different text with a kept id of its own group stays too.
+    An empty table gives an empty one. Only rows of groups, and of ids that repeat, are moved to be told apart.
     """
-    groups = cut_lineage(link_groups(documents, size, share).filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
-                         .agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 or not kept"))
+    told, tables = grouped_rows(documents, size, share)
+    same = F.coalesce(F.hex("set_id"), F.concat_ws(":", "k1", "k2"))
+    each = told.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "k1", "k2").agg(F.max("kept").alias("kept"), F.first(same).alias("same"), F.count("*").alias("n"))
+    unclear = each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("kept").alias("kept")).filter("n > 1 or not kept").select("doc_id")
+    groups = cut_lineage(each.join(unclear, "doc_id").select("doc_id", "k1", "k2", "kept", "same"))
+    discard(*tables)
     touched, others = split_by_ids(documents, groups.select(F.col("doc_id").alias("id")))
-    decided = touched.join(groups.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), F.col("doc_id") == F.col("__id"), "left")
-    kept = decided.filter(F.coalesce("__kept", F.lit(True))).select(*documents.columns).dropDuplicates(["doc_id"])
-    return others.unionByName(kept)
+    text = F.col("text").cast("string")
+    packed = touched.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text), F.struct(*touched.columns).alias("row"))
+    decided = packed.join(groups, ["doc_id", "k1", "k2"], "left").filter(F.coalesce("kept", F.lit(True)))
+    hashed = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    alone = decided.filter(F.col("same").isNull()).select("row")
+    one = decided.filter(F.col("same").isNotNull()).groupBy("doc_id", "same").agg(F.min_by("row", hashed).alias("row")).select("row")
+    return others.unionByName(alone.union(one).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns]))
 
 
 @query("op4_neardup")
