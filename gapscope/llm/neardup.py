@@ -28,7 +28,7 @@ HALF = 3
 MISS = 1e-4
 SKETCHED = 64
 #: Further rounds of stars, each with centers drawn anew, before what is still apart is joined.
-ROUNDS = 1
+ROUNDS = 0
 #: 64-bit words of the bitmap of what tells a node from its center.
 BITMAP = 16
 BLOCK_DOCS = 100
@@ -217,7 +217,7 @@ def delta_prefixes(grouped: DataFrame, texts: DataFrame, size: int, share: tuple
         for block in slices(batches, 50):
             centers, nodes, roots = (block.column(c).to_pylist() for c in ("center", "node", "root"))
             other = shingle_sets(block.column("text_b").to_pylist(), size)
-            out: tuple = tuple([] for _ in range(5 + BITMAP))
+            tokens, seen = [], []
             for center, node, root, text, there in zip(centers, nodes, roots, block.column("text_a").to_pylist(), other):
                 if held is None or text != held_text:
                     held_text, held = text, shingle_sets([text], size)[0]
@@ -228,9 +228,12 @@ def delta_prefixes(grouped: DataFrame, texts: DataFrame, size: int, share: tuple
                 prefix = apart[:len(apart) - max(1, math.ceil(least - 1e-9)) + 1]
                 bits = np.zeros(64 * BITMAP, bool)
                 bits[(apart % np.uint64(64 * BITMAP)).astype(np.int64)] = True
-                for column, value in zip(out, (center, None, node, root, len(apart), *np.packbits(bits).view(np.int64).tolist())):
-                    column += prefix.view(np.int64).tolist() if value is None else [value] * len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+                tokens.append(prefix.view(np.int64))
+                seen.append((center, node, root, len(apart), *np.packbits(bits).view(np.int64).tolist(), len(prefix)))
+            table = np.array(seen, np.int64).reshape(len(seen), 5 + BITMAP)
+            spread = np.repeat(table[:, :-1], table[:, -1], axis=0)
+            columns = [spread[:, 0], np.concatenate([*tokens, np.zeros(0, np.int64)]), *(spread[:, k] for k in range(1, 4 + BITMAP))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
     with_b = grouped.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_b")), "node")
     both = with_b.join(texts.select(F.col("doc_id").alias("center"), F.col("text").alias("text_a")), "center")
