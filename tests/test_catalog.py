@@ -16,7 +16,7 @@ def test_registry_is_complete():
     registry = load_registry()
     assert len(registry) >= 150
     without = {n for n, e in registry.items() if e.sql is None}
-    assert without == {"random_agent_entries", "random_entry_pnl", "stream_bursts", "family_sweep", "stability_surface", "latency_sweep"}
+    assert without == {"random_agent_entries", "random_entry_pnl", "family_sweep", "stability_surface", "latency_sweep"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="given tables are not here")
