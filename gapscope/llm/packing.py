@@ -3,8 +3,9 @@
 Every task packs the documents of its own input partition, so nothing is shuffled and a lost task is repeated alone.
 Full windows are cut off a document first. The rests, in bounded groups, fill one window at a time: a subset-sum
 over the remaining lengths (a bitset, one bit per reachable fill) picks the multiset that comes closest to the
-capacity, and backtracking gives its counts. Rests that fit no full window wait for the next group. At the end of a
-partition what is left is cut at window ends, and the last, short window is cut into powers of two, which need no padding.
+capacity, and backtracking gives its counts. Rests in no exact fill wait for the next group. Where more than half a group
+waits, and at the end of a partition, the closest fill is placed, and its slack is cut off the longest rest that is left.
+The last, short window is cut into powers of two, which need no padding.
 """
 from __future__ import annotations
 
@@ -84,40 +85,73 @@ class Packer:
             if self.n_waiting >= GROUP_RESTS:
                 self.fill()
 
+    def take(self, chosen: dict[int, int]) -> list[tuple]:
+        """Waiting rests by length and number, longest first; they no longer wait."""
+        taken = []
+        for n in sorted(chosen, reverse=True):
+            left = len(self.waiting[n]) - chosen[n]
+            taken += self.waiting[n][left:]
+            del self.waiting[n][left:]
+            if not left:
+                del self.waiting[n]
+        self.n_waiting -= len(taken)
+        return taken
+
     def fill(self) -> None:
-        """Pack full windows while the longest rest can be completed; the others wait."""
+        """Place every exact fill, then closest fills until at most half a group waits."""
+        self.exact()
+        if self.n_waiting > GROUP_RESTS // 2:
+            self.closest(GROUP_RESTS // 2)
+
+    def exact(self) -> None:
+        """Pack full windows while some rest can be completed by others.
+
+        A length that no exact fill holds is passed with all its copies at once: what is left only shrinks, so none of
+        them can be in one later.
+        """
         counts = {n: len(items) for n, items in self.waiting.items()}
-        passed: dict[int, int] = {}
         while counts:
             longest = max(counts)
-            counts[longest] -= 1
-            if not counts[longest]:
-                del counts[longest]
-            best, chosen = closest_fill(counts, WINDOW - longest)
+            others = {**counts, longest: counts[longest] - 1}
+            best, chosen = closest_fill(others, WINDOW - longest)
             if best < WINDOW - longest:
-                passed[longest] = passed.get(longest, 0) + 1
+                del counts[longest]
                 continue
-            chosen = {**chosen, longest: chosen.get(longest, 0) + 1}
-            have = {n: counts.get(n, 0) + (n == longest) for n in chosen}
-            for _ in range(max(1, min(have[n] // chosen[n] for n in chosen))):
-                self.put([self.waiting[n].pop() for n in sorted(chosen, reverse=True) for _ in range(chosen[n])])
+            chosen[longest] = chosen.get(longest, 0) + 1
+            for _ in range(min(counts[n] // chosen[n] for n in chosen)):
+                self.put(self.take(chosen))
             for n in chosen:
-                left = len(self.waiting[n]) - passed.get(n, 0)
-                counts.pop(n, None)
-                if left:
-                    counts[n] = left
-        self.waiting = {n: items for n, items in self.waiting.items() if items}
-        self.n_waiting = sum(map(len, self.waiting.values()))
+                counts[n] = len(self.waiting.get(n, ()))
+                if not counts[n]:
+                    del counts[n]
+
+    def closest(self, most: int) -> None:
+        """Place the closest fill of the longest rest, and cut its slack off another, until at most ``most`` wait.
+
+        What is left then holds more than the slack, as it would else be in the fill. Tokens of less than one window stay.
+        """
+        tokens = sum(n * len(items) for n, items in self.waiting.items())
+        while self.n_waiting > most and tokens >= WINDOW:
+            longest = max(self.waiting)
+            counts = {n: len(items) - (n == longest) for n, items in self.waiting.items()}
+            best, chosen = closest_fill(counts, WINDOW - longest)
+            chosen[longest] = chosen.get(longest, 0) + 1
+            pieces, slack = self.take(chosen), WINDOW - longest - best
+            if slack:
+                doc_id, start, ids, total = self.take({max(self.waiting): 1})[0]
+                pieces.append((doc_id, start, ids[:slack], total))
+                self.waiting.setdefault(len(ids) - slack, []).append((doc_id, start + slack, ids[slack:], total))
+                self.n_waiting += 1
+            self.put(pieces)
+            tokens -= WINDOW
 
     def finish(self) -> None:
-        """Close the partition: full windows, then windows cut at their ends, then powers of two."""
-        self.fill()
-        rest = [item for n in sorted(self.waiting, reverse=True) for item in self.waiting[n]]
-        self.waiting, self.n_waiting = {}, 0
-        left = sum(len(item[2]) for item in rest)
-        sizes = [WINDOW] * (left // WINDOW) + [1 << b for b in range(WINDOW.bit_length() - 1, -1, -1) if (left % WINDOW) >> b & 1]
-        at, used = 0, 0
-        for size in sizes:
+        """Close the partition: full windows, then the last tokens in powers of two."""
+        self.exact()
+        self.closest(0)
+        rest = self.take({n: len(items) for n, items in self.waiting.items()})
+        left, at, used = sum(len(item[2]) for item in rest), 0, 0
+        for size in [1 << b for b in range(WINDOW.bit_length() - 2, -1, -1) if left >> b & 1]:
             pieces = []
             while size:
                 doc_id, start, ids, total = rest[at]
