@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Learning counts the n-grams of a bounded labelled sample in the workers and sums them in Spark; the driver sees one
-matrix of languages x buckets. Scoring needs no shuffle: the log-probability matrix is broadcast, and each task turns
-a block of texts into counts by bucket and multiplies.
+matrix of languages x buckets and the share of each language. Scoring needs no shuffle: the log-probability matrix is
+broadcast, and each task adds up, for a block of texts, only the rows of the buckets that occur, times their counts.
 """
 from __future__ import annotations
 
@@ -22,8 +22,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 1500
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Texts whose counts are held at once.
-BLOCK_DOCS = 64
+#: Texts that are scored together, and products of a count and a log probability held at once.
+BLOCK_DOCS, BLOCK_TERMS = 64, 1 << 21
 
 
 def letter_table() -> np.ndarray:
@@ -64,9 +64,9 @@ def gram_buckets(points: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def learn(documents: DataFrame, lang: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (buckets x languages); prior included as the last row.
+    """Languages and their log-probability matrix (buckets x languages), with the log prior as one further row.
 
-    ``documents`` holds only rows that may be learned from. Null texts and null languages are passed over; an empty
+    ``documents`` holds only rows that may be learned from; the prior is a language's share of all of them. Null texts and null languages are passed over; an empty
     table gives no language.
     """
     labelled = documents.filter(F.col(lang).isNotNull() & F.col("text").isNotNull())
@@ -86,16 +86,47 @@ def learn(documents: DataFrame, lang: str = "lang", rows: int = SAMPLE_ROWS) ->
     parts = sample.select("text", "lang").mapInArrow(count, "lang string, counts array<long>")
     summed = (parts.select("lang", F.posexplode("counts").alias("bucket", "n")).filter("n > 0")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect())
+    rows_of = {r["lang"]: r["count"] for r in labelled.select(F.col(lang).alias("lang")).groupBy("lang").count().collect()}
     names = sorted({r["lang"] for r in summed})
     place = {name: i for i, name in enumerate(names)}
     counts = np.zeros((BUCKETS, len(names)))
     for r in summed:
         counts[r["bucket"], place[r["lang"]]] = r["n"]
     smooth = counts + SMOOTHING
-    matrix = np.log(smooth / smooth.sum(axis=0, keepdims=True)) if names else smooth
+    if not names:
+        return names, np.zeros((BUCKETS + 1, 0), np.float32)
+    prior = np.array([rows_of[name] for name in names], float)
+    matrix = np.vstack([np.log(smooth / smooth.sum(axis=0)), np.log(prior / prior.sum())])
     return names, matrix.astype(np.float32)
 
 
+def logits_of(texts: list[str | None], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joint log probability of each text and language (texts x languages), and whether the text has a letter.
+
+    Texts are sparse rows: their distinct buckets, one after the other, and the counts of these. So many texts are summed
+    at once as hold ``BLOCK_TERMS`` products.
+    """
+    logits = np.tile(matrix[-1].astype(np.float64), (len(texts), 1))
+    lettered = np.zeros(len(texts), bool)
+    rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        points = code_points(text) if text else np.zeros(0, np.uint32)
+        lettered[i] = points.any()
+        if lettered[i]:
+            tally = np.bincount(gram_buckets(points))
+            keys = np.flatnonzero(tally)
+            rows.append((i, keys, tally[keys]))
+            held += len(keys) * matrix.shape[1]
+        if rows and (held >= BLOCK_TERMS or i == len(texts) - 1):
+            at, keys, counts = zip(*rows)
+            sizes = np.array([len(k) for k in keys])
+            terms = matrix[np.concatenate(keys)] * np.concatenate(counts)[:, None]
+            logits[list(at)] += np.add.reduceat(terms, np.cumsum(sizes) - sizes, axis=0)
+            rows, held = [], 0
+    return logits, lettered
+
+
 def predict(documents: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row; whole texts, no shuffle.
 
@@ -108,15 +139,8 @@ def predict(documents: DataFrame, names: list[str], matrix: np.ndarray) -> DataF
         langs, logs = model.value
         for block in slices(batches, BLOCK_DOCS):
             texts = block.column("text").to_pylist()
-            counts = np.zeros((len(texts), BUCKETS), np.float32)
-            lettered = np.zeros(len(texts), bool)
-            for i, text in enumerate(texts):
-                points = code_points(text) if text else np.zeros(0, np.uint32)
-                lettered[i] = points.any()
-                if lettered[i]:
-                    counts[i] = np.bincount(gram_buckets(points), minlength=BUCKETS)
+            logits, lettered = logits_of(texts, logs)
             if langs:
-                logits = (counts @ logs).astype(np.float64)
                 best = logits.argmax(axis=1)
                 top = 1.0 / np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1)
             predicted = [langs[best[i]] if langs and lettered[i] else UNKNOWN for i in range(len(texts))]

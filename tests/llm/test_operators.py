@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gapscope.llm import (binary, chat, decontamination, extraction, language, load, neardup, packing, rans, rules,
@@ -141,6 +142,33 @@ def test_packing_awkward(awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def packed(lengths):
+    """Pieces of documents of the given token numbers, with what waited at most between two documents."""
+    ids = {i: np.arange(n, dtype="<u2") for i, n in enumerate(lengths)}
+    packer, most = packing.Packer(0), 0
+    for i, x in ids.items():
+        packer.add(i, x)
+        most = max(most, packer.n_waiting)
+        assert packer.n_waiting == sum(map(len, packer.waiting.values()))
+    packer.finish()
+    rows = [Row(**r) for r in packer.drain().to_pylist()]
+    return check_packing(rows, {i: x.tolist() for i, x in ids.items()}), most
+
+
+@pytest.mark.parametrize("lengths", [[1500] * 30_000, [4095] * 9000 + [2, 3], [n % 3 + 1365 for n in range(20_000)], [4096] * 3 + [1], [7]])
+def test_packing_of_equal_lengths_is_bounded(lengths):
+    sizes, most = packed(lengths)
+    assert sum(sizes) == sum(lengths) and most < packing.GROUP_RESTS
+    short = [n for n in sizes if n != packing.WINDOW]
+    assert len(set(short)) == len(short) and all(n & (n - 1) == 0 for n in short)
+
+
+def test_packing_of_mixed_lengths_cuts_few():
+    lengths = np.random.default_rng(2).lognormal(6, 1, 12_000).astype(int).clip(1, 20_000).tolist()
+    sizes, most = packed(lengths)
+    assert sum(sizes) == sum(lengths) and most < packing.GROUP_RESTS and sum(n != packing.WINDOW for n in sizes) <= 12
+
+
 def test_closest_fill_against_all_subsets():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -392,6 +420,16 @@ def folds(documents):
     return [(r.doc_id, r.text or "", zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in documents.collect()]
 
 
+def test_language_prior(spark):
+    """Equal evidence leaves the shares of the languages in the corpus."""
+    rows = [(i, "abc def", "aa" if i % 10 else "bb") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, matrix = language.learn(frame)
+    assert names == ["aa", "bb"] and np.allclose(np.exp(matrix[-1]), [0.9, 0.1]) and matrix.shape == (language.BUCKETS + 1, 2)
+    assert np.isclose(np.exp(matrix[:-1].astype(float)).sum(axis=0), 1, atol=1e-4).all()
+    assert {r.lang_pred for r in language.predict(frame, names, matrix).collect()} == {"aa"}
+
+
 def test_language_held_out(spark, documents, awkward, empty):
     names, matrix = language.learn(documents.filter(~language.held_out()))
     got = {r.doc_id: r for r in language.predict(documents, names, matrix).collect()}
@@ -401,6 +439,22 @@ def test_language_held_out(spark, documents, awkward, empty):
     assert np.mean([got[i].lang_pred == lang[i] for i in out]) >= 0.97
     said = {r.doc_id: r.lang_pred for r in language.predict(awkward, names, matrix).collect()}
     assert said[1] == said[2] == said[3] == "und" and len(said) == 10
+    texts = [None, "", "1 2", "añb", "xyz " * 9000] + [r.text for r in documents.limit(90).collect()]
+    logits, lettered = language.logits_of(texts, matrix)
+    for text, row, known in zip(texts, logits, lettered):  # a plain sum over the n-grams, after the prior
+        points = [c if chr(c).isalpha() else 0 for c in map(ord, f"\n{(text or '').lower()}\n")]
+        assert known == any(points)
+        if len(points) < 3000:
+            want = matrix[-1].astype(float)
+            for n in language.ORDERS:
+                for a in range(len(points) - n + 1):
+                    gram = np.array(points[a:a + n], np.uint32)
+                    if gram[0] or gram[-1]:
+                        mixed = 0
+                        for c in gram.tolist():
+                            mixed = (mixed * 0x9E3779B1 + c + 1) % 2 ** 32
+                        want = want + matrix[(mixed * 0x85EBCA6B % 2 ** 32) >> 18]
+            assert np.allclose(row, want, rtol=1e-6)
     none, blank = language.learn(empty)
     assert {r.lang_pred for r in language.predict(awkward, none, blank).collect()} == {"und"} and language.predict(empty, names, matrix).count() == 0
 
