@@ -611,7 +611,7 @@ def test_leaks_with_more_items_than_dimensions():
         items.append((len(items), words, min(4, n)))
         damaged = [int(vocabulary[0]) if rng.random() < 0.35 else w for w in words]
         items.append((len(items), damaged, min(4, n)))
-    weights = np.ones(decontamination.BUCKETS, np.float32)
+    weights = rng.gamma(0.5, 1.0, decontamination.BUCKETS).astype(np.float32) + np.float32(0.01)
     basis = np.linalg.qr(rng.standard_normal((decontamination.BUCKETS, 24)))[0].astype(np.float32)
     searcher = decontamination.Searcher(weights, basis, items)
     got = {(t, i): (common, said) for t, i, _, common, said, _ in searcher.search(texts)}
@@ -619,13 +619,15 @@ def test_leaks_with_more_items_than_dimensions():
     for t, words in enumerate(hashes):
         for i, item, answer in items:
             n = len(item)
-            reach = decontamination.STEP if n <= decontamination.ITEM_WORDS + decontamination.STEP else n
+            size, step = (n, 1) if n < decontamination.SHORT_ITEM else (math.ceil(1.5 * n), max(1, n // 8))
             whole, ending = searcher.masks[i]
-            for start in range(0, len(words), decontamination.STEP):
-                region = words[max(0, start - reach):start + decontamination.WINDOW + reach]
-                common, said = decontamination.common_words(whole, n, region) / n, decontamination.common_words(ending, answer, region) / answer
+            weight = [float(weights[h >> 50]) for h in item]
+            for start in range(0, len(words), step):
+                span = words[start:start + size]
+                common, said = decontamination.common_words(whole, n, span) / n, decontamination.common_words(ending, answer, span) / answer
                 if common == 1 if n < decontamination.SHORT_ITEM else common >= 0.8 or (common >= 0.6 and said >= 0.5):
-                    want[t, i] = max(want.get((t, i), (0, 0)), (common, said))
+                    if n < decontamination.SHORT_ITEM or heaviest(item, span, weight) >= 0.5 * sum(weight) - 1e-9:
+                        want[t, i] = max(want.get((t, i), (0, 0)), (common, said))
     assert copies <= set(want) and got == want
 
 
@@ -638,11 +640,54 @@ def lcs(a, b):
     return row[-1]
 
 
+def heaviest(a, b, weight):
+    row = [0.0] * (len(b) + 1)
+    for x, w in zip(a, weight):
+        last = 0.0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], max(row[j + 1], row[j], last + w if x == y else 0.0)
+    return row[-1]
+
+
+EVERYDAY = [
+    "In the morning the name on the door was the first thing we saw, and it is still there today. The keys were in the hall, and a "
+    "map of the coast lay on the table next to the letters. The road to the river is closed in winter, as everyone in the village "
+    "knows. What the driver told us about it was of no use at all.",
+    "When we asked how many people would come to the party, nobody in the office knew. There are a lot of chairs in the hall and the "
+    "team of the kitchen is ready. How the guests get home in the night is another question, and the players of the band have to "
+    "carry their things on foot.",
+    "The war of words between the two neighbours did not end in that year. Who was right about the fence is hard to say, and the first "
+    "of them to be asked was away. He said it was the president of the club who should decide on the matter in the United Kingdom.",
+]
+QUESTIONS = [
+    "What is the name of the river in Egypt?",
+    "How many players are there in a team of football?",
+    "Who was the first president of the United States?",
+    "What is the capital of Australia? The capital of Australia is Canberra.",
+    "At what temperature does water boil at sea level? It boils at one hundred degrees Celsius.",
+]
+
+
+def test_leaks_leave_everyday_prose_alone(spark):
+    """Ordinary questions hit no text that merely uses the same small words; copies and paraphrases of them are found."""
+    documents = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    made = [(900_000 + k, text) for k, text in enumerate(EVERYDAY)]
+    held = [(910_000 + k, f"{EVERYDAY[0]} {q.replace('?', '')} {EVERYDAY[1]}") for k, q in enumerate(QUESTIONS)]
+    held.append((920_000, f"{EVERYDAY[2]} Name the capital of Australia. The capital city of Australia is Canberra. {EVERYDAY[1]}"))
+    frame = documents.unionByName(spark.createDataFrame(made + held, "doc_id long, text string"))
+    benchmark = spark.createDataFrame(list(enumerate(QUESTIONS)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, benchmark).collect()}
+    assert got == {(910_000 + k, k) for k in range(len(QUESTIONS))} | {(920_000, 3)}
+
+
 def test_bit_parallel_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(100):
         a, b = rng.integers(0, 6, rng.integers(1, 70)).tolist(), rng.integers(0, 6, rng.integers(0, 90)).tolist()
         assert decontamination.common_words(decontamination.masks_of(a), len(a), b) == lcs(a, b)
+        if a:
+            weight = rng.random(len(a))
+            assert math.isclose(decontamination.common_weight(a, weight, b), heaviest(a, b, weight), abs_tol=1e-9)
 
 
 def test_leaks_awkward(spark, awkward, empty):
