@@ -1,11 +1,14 @@
 """Queries of fills, ledgers, order lifecycles, decisions, gates, logs and performance records."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import execution as X
 from ..functions import rules as R
 from ..operators import backtests as B
+from ..operators import hashtree as HT
 from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import peg as G
@@ -13,6 +16,7 @@ from ..operators import sweep as W
 from ..operators import verdicts as V
 from ..sources import adapters as A
 from ..sources import readers as RD
+from ..session import shared_dir
 from . import sqlbase as Q
 from .core import query
 from .history import TOKEN_QUALITY, WALK
@@ -415,6 +419,35 @@ def _(spark, sf):
     return L.batch_digest(o, "o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"))
 
 
+ORDER_HASH = "sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus)"
+
+
+@query("tamper_location", f"""WITH b AS (SELECT o_orderkey AS n, {ORDER_HASH} AS h FROM orders), a AS (
+  SELECT o_orderkey AS n, {ORDER_HASH.replace("o_custkey", "(o_custkey + CASE WHEN o_orderkey % 1009 = 0 THEN 1 ELSE 0 END)")} AS h FROM orders WHERE o_orderkey % 5003 <> 1
+  UNION ALL SELECT o_orderkey + 100000000000, {ORDER_HASH} FROM orders WHERE o_orderkey % 2003 = 5)
+  SELECT n AS position, CASE WHEN a.h IS NULL THEN 'removed' WHEN b.h IS NULL THEN 'added' ELSE 'changed' END AS change, b.h AS stored_hash, a.h AS found_hash
+  FROM b FULL JOIN a USING (n) WHERE b.h IS DISTINCT FROM a.h""")
+def _(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderkey").alias("at"))
+    edited = o.filter("o_orderkey % 5003 <> 1").withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % 1009 == 0, 1).otherwise(0))
+    forged = o.filter("o_orderkey % 2003 = 5").withColumn("at", F.col("at") + 100_000_000_000)
+    body = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus")
+    folder = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    HT.write_tree(o, "at", body, f"{folder}/stored")
+    HT.write_tree(edited.unionByName(forged), "at", body, f"{folder}/found")
+    return HT.tampered(spark, f"{folder}/stored", f"{folder}/found")
+
+
+@query("landing_partitions", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_date, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-15' THEN 'settled' ELSE 'forming' END AS status,
+  count(*) AS rows, true AS has_bytes FROM events GROUP BY CAST(ts AS DATE)""")
+def _(spark, sf):
+    events = A.table(spark, sf, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    folder = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    RD.append_by_day(events, folder, "at")
+    return RD.partition_status(spark, folder, "2024-01-15").groupBy("session_date", "status").agg(
+        F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("has_bytes"))
+
+
 @query("replay_state", """WITH l0 AS (SELECT o_orderkey AS n, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders WHERE o_orderkey % 3 <> 0), l1 AS (SELECT n // 1024 AS n, sha256(string_agg(h, chr(10) ORDER BY n)) AS h FROM l0 GROUP BY n // 1024),
   l2 AS (SELECT n // 1024 AS n, sha256(string_agg(h, chr(10) ORDER BY n)) AS h FROM l1 GROUP BY n // 1024), l3 AS (SELECT n // 1024 AS n, sha256(string_agg(h, chr(10) ORDER BY n)) AS h FROM l2 GROUP BY n // 1024), d AS (SELECT sha256(string_agg(h, chr(10) ORDER BY n)) AS digest FROM l3)
   SELECT round(sum(o_totalprice), 6) AS pnl, count(*) FILTER (o_orderkey % 3 <> 0) AS orders, max(o_orderkey) AS last_seq, (SELECT digest FROM d) AS digest FROM orders""", "pnl", 4)

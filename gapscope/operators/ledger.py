@@ -290,22 +290,32 @@ def promotion_decision(sessions: DataFrame, freeze_after: Column) -> DataFrame:
 FANOUT = 1024
 
 
+def digest_leaves(records: DataFrame, position: str, content: Column, levels: int) -> DataFrame:
+    """(n, h): the hash of every record; fails on positions that are null, negative or reach FANOUT ** levels."""
+    n = F.col(position).cast("long")
+    fits = (n >= 0) & (n < FANOUT ** levels) if FANOUT ** levels < 1 << 63 else n >= 0
+    checked = F.when(F.coalesce(fits, F.lit(False)), n).otherwise(F.raise_error(F.lit(f"positions must lie in 0 .. {FANOUT}^{levels} - 1")).cast("long"))
+    return records.select(checked.alias("n"), F.sha2(content, 256).alias("h"))
+
+
+def digest_parents(nodes: DataFrame) -> DataFrame:
+    """(n, h) one level up; fails on positions that repeat."""
+    grouped = nodes.groupBy(F.floor(F.col("n") / FANOUT).alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("kids"))
+    places = F.transform("kids", lambda k: k["n"])
+    hashes = F.transform("kids", lambda k: k["h"])
+    text = F.concat_ws("\n", F.when(F.size(F.array_distinct(places)) == F.size(places), hashes).otherwise(F.raise_error(F.lit("positions repeat")).cast("array<string>")))
+    return grouped.select("n", F.sha2(text, 256).alias("h"))
+
+
 def batch_digest(records: DataFrame, position: str, content: Column, levels: int = 4) -> DataFrame:
     """One sha256 over ordered records, as a tree: up to ``FANOUT`` hashes are joined per node.
 
     No task ever holds more than one node. Any change of a record or of its order changes the digest. The job fails
     on positions that repeat, are null or negative, or reach FANOUT ** levels: take more levels then.
     """
-    n = F.col(position).cast("long")
-    fits = (n >= 0) & (n < FANOUT ** levels) if FANOUT ** levels < 1 << 63 else n >= 0
-    checked = F.when(F.coalesce(fits, F.lit(False)), n).otherwise(F.raise_error(F.lit(f"positions must lie in 0 .. {FANOUT}^{levels} - 1")).cast("long"))
-    nodes = records.select(checked.alias("n"), F.sha2(content, 256).alias("h"))
+    nodes = digest_leaves(records, position, content, levels)
     for _ in range(levels):
-        grouped = nodes.groupBy(F.floor(F.col("n") / FANOUT).alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("kids"))
-        places = F.transform("kids", lambda k: k["n"])
-        hashes = F.transform("kids", lambda k: k["h"])
-        text = F.concat_ws("\n", F.when(F.size(F.array_distinct(places)) == F.size(places), hashes).otherwise(F.raise_error(F.lit("positions repeat")).cast("array<string>")))
-        nodes = grouped.select("n", F.sha2(text, 256).alias("h"))
+        nodes = digest_parents(nodes)
     return nodes.select(F.col("h").alias("digest"))
 
 

@@ -216,11 +216,11 @@ def snapshot_events(rows: DataFrame) -> DataFrame:
 
 
 def partition_status(spark: SparkSession, path: str, today: str) -> DataFrame:
-    """Size, modification time and settled/forming status of each dated file under ``date=`` folders.
+    """Rows, size, modification time and settled/forming status of each dated file under ``date=`` folders.
 
-    Reads file metadata only; no data column is decoded.
+    The table's own reader tells them as file metadata; no data column is decoded.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    date = F.regexp_extract("path", r"date=(\d{4}-\d{2}-\d{2})", 1)
-    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at"), date.alias("session_date"),
-                        F.when(date < today, "settled").otherwise("forming").alias("status"))
+    files = spark.read.schema("date string").parquet(path).groupBy(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_modification_time").alias("modified_at"), F.col("date").alias("session_date")).agg(F.count(F.lit(1)).alias("rows"))
+    return files.withColumn("status", F.when(F.col("session_date") < today, "settled").otherwise("forming"))

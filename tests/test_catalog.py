@@ -20,7 +20,7 @@ def test_registry_is_complete():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="given tables are not here")
-@pytest.mark.parametrize("name", ["capture_by_instrument", "basis_backtest", "event_quality", "stream_coverage", "asof_backward", "position_summary", "leave_one_out"])
+@pytest.mark.parametrize("name", ["capture_by_instrument", "basis_backtest", "event_quality", "stream_coverage", "asof_backward", "position_summary", "leave_one_out", "tamper_location", "landing_partitions"])
 def test_query_equals_its_oracle(spark, name):
     same_as_oracle(spark, load_registry()[name])
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapscope.functions import rules as R
+from gapscope.operators import hashtree as HT
 from gapscope.operators import ledger as L
 from gapscope.operators import peg as G
 from gapscope.operators import platform as PL
@@ -175,6 +176,26 @@ def test_digest_detects_any_change(spark):
     assert base != L.batch_digest(df.withColumn("body", F.when(F.col("pos") == 1234, "x").otherwise(F.col("body"))), "pos", F.col("body")).first()[0]
 
 
+def test_tampered_records_are_located(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 7001).alias("pos"), F.col("id").cast("string").alias("body"))
+    changed, gone = 7001 * 1234, 7001 * 17
+    bad = df.filter(F.col("pos") != gone).withColumn("body", F.when(F.col("pos") == changed, "x").otherwise(F.col("body")))
+    bad = bad.unionByName(spark.createDataFrame([(5, "new")], "pos long, body string"))
+    for name, frame in {"a": df, "same": df.repartition(5), "b": bad, "none": df.filter("false"), "none2": df.filter("false")}.items():
+        HT.write_tree(frame, "pos", F.col("body"), str(tmp_path / name))
+    root = HT.read_level(spark, str(tmp_path / "a"), 4).collect()
+    assert [r.h for r in root] == [L.batch_digest(df, "pos", F.col("body")).first()[0]]
+    found = HT.tampered(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    plan = found._jdf.queryExecution().toString()
+    assert {(r.position, r.change) for r in found.collect()} == {(changed, "changed"), (gone, "removed"), (5, "added")}
+    assert plan.lower().count("dynamicpruning") >= 2  # leaf folders of equal branches are not read
+    assert HT.tampered(spark, str(tmp_path / "a"), str(tmp_path / "same")).count() == 0
+    assert HT.tampered(spark, str(tmp_path / "none"), str(tmp_path / "none2")).count() == 0
+    assert HT.tampered(spark, str(tmp_path / "none"), str(tmp_path / "a")).filter("change = 'added'").count() == 5000
+    with pytest.raises(Exception, match="positions"):
+        HT.write_tree(df.union(df.limit(1)), "pos", F.col("body"), str(tmp_path / "repeated"))
+
+
 def test_split_factor_interval_and_knowledge(spark):
     acts = spark.createDataFrame([("X", 10, 0, 2.0, 1.0, "valid"), ("X", 20, 0, 3.0, 1.0, "valid"), ("X", 20, 99, 5.0, 1.0, "valid"), ("X", 15, 0, 7.0, 1.0, "quarantined")],
                                  "instrument string, effective_at long, received_at long, ratio_from double, ratio_to double, status string")
@@ -245,6 +266,9 @@ def test_csv_round_trip_and_partition_status(spark, tmp_path):
     RD.append_by_day(spark.createDataFrame([(0, 1), (86_400_000, 2)], "ts long, v long"), str(tmp_path / "days"))
     status = {r["session_date"]: r["status"] for r in RD.partition_status(spark, str(tmp_path / "days"), "1970-01-02").collect()}
     assert status == {"1970-01-01": "settled", "1970-01-02": "forming"}
+    files = RD.partition_status(spark, str(tmp_path / "days"), "1970-01-02")
+    assert {(r["session_date"], r["rows"], r["bytes"] > 0, r["modified_at"].year >= 2024) for r in files.collect()} == {("1970-01-01", 1, True, True), ("1970-01-02", 1, True, True)}
+    assert "ReadSchema: struct<>" in files._jdf.queryExecution().toString()
 
 
 def test_request_replay_and_presence(spark):
