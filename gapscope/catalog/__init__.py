@@ -5,7 +5,7 @@ import importlib
 
 from .core import REGISTRY, Entry
 
-MODULES = ("history", "market", "research", "ledger", "streams", "composites")
+MODULES = ("history", "market", "research", "ledger", "streams", "composites", "landing")
 
 
 def load_registry() -> dict[str, Entry]:

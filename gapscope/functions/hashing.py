@@ -1,6 +1,10 @@
 """Content hashes, redaction and record migration."""
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +38,6 @@ def text_hash(*parts: Column, sep: str = "|") -> Column:
 
 def redact(df: DataFrame) -> DataFrame:
     """Replace values under secret-looking names in columns, nested fields and map keys."""
-    import re
     secret = re.compile(SECRET_KEYS)
 
     def clean(col: Column, dtype: T.DataType, name: str) -> Column:
@@ -52,6 +55,56 @@ def redact(df: DataFrame) -> DataFrame:
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text of any shape with the keys of every object in order, at every depth, and no white space.
+
+    A VARIANT holds the fields of an object sorted by key, so parsing and writing is the sort. Decimals lose trailing zeros,
+    numbers with an exponent are written as doubles. NULL where the text is no JSON or an object repeats a key.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def json_hash(text: Column) -> Column:
+    """sha256 of a record of any shape, the same for every order of its keys."""
+    return F.sha2(canonical_json(text), 256)
+
+
+_PART = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^"{}\[\]:,]+'
+
+
+def hide_values(text: str) -> str:
+    """Canonical JSON text whose values under secret-looking keys are replaced, whatever they hold.
+
+    One pass over the text's parts without recursion; numbers keep their digits.
+    """
+    secret, out, last, depth, hidden = re.compile(SECRET_KEYS), [], "", 0, -1
+    for part in re.findall(_PART, text):
+        depth += (part in ("{", "[")) - (part in ("}", "]"))
+        if hidden >= 0:
+            hidden = -1 if depth == hidden else hidden
+            continue
+        out.append(part)
+        if part == ":" and secret.search(json.loads(last)):
+            out.append('"[REDACTED]"')
+            hidden = depth
+        last = part
+    return "".join(out)
+
+
+def redact_json(text: Column) -> Column:
+    """Redaction of JSON texts of any shape; keys come out in order, NULL where ``canonical_json`` is NULL.
+
+    Only texts in which a secret-looking name occurs are sent to Python, in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series) -> pd.Series:
+        return texts.map(hide_values, na_action="ignore")
+
+    plain = canonical_json(text)
+    suspect = plain.rlike(SECRET_KEYS)
+    return F.when(suspect, hide(F.when(suspect, plain))).otherwise(plain)
+
+
 def migrate_records(v1: DataFrame, v2: DataFrame) -> DataFrame:
     """Bring version-1 records to version 2, which adds a certificate id, and union both."""
     up = v1.withColumn("schema", F.lit("v2")).withColumn(

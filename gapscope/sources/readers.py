@@ -153,9 +153,13 @@ def quote_pages(df: DataFrame, json: str = "value", source: str = "page") -> Dat
     return rows.filter(F.col("price") > 0)
 
 
+NEWS = "news array<struct<title:string,publisher:string,providerPublishTime:bigint,link:string>>"
+MACRO_DAYS = "array<struct<date:string,events:array<string>>>"
+BOOK = "bids array<array<string>>, asks array<array<string>>"
+
+
 def news_items(df: DataFrame, json: str = "value") -> DataFrame:
-    item = "struct<title:string,publisher:string,providerPublishTime:bigint,link:string>"
-    n = df.select(F.explode(F.from_json(F.col(json), f"news array<{item}>")["news"]).alias("n")).filter(F.col("n.title").isNotNull())
+    n = df.select(F.explode(F.from_json(F.col(json), NEWS)["news"]).alias("n")).filter(F.col("n.title").isNotNull())
     return n.select("n.title", F.coalesce("n.publisher", F.lit("")).alias("publisher"),
                     F.coalesce(F.col("n.providerPublishTime") * 1000, F.lit(0)).alias("published_at"),
                     F.coalesce("n.link", F.lit("")).alias("link"))
@@ -163,16 +167,15 @@ def news_items(df: DataFrame, json: str = "value") -> DataFrame:
 
 def macro_items(df: DataFrame, json: str = "value") -> DataFrame:
     """Dated event lists from a bare array or a ``{"data": [...]}`` envelope."""
-    item = "array<struct<date:string,events:array<string>>>"
-    bare = F.when(F.trim(json).startswith("["), F.from_json(F.col(json), item))
-    both = F.coalesce(bare, F.from_json(F.col(json), f"data {item}")["data"])
+    bare = F.when(F.trim(json).startswith("["), F.from_json(F.col(json), MACRO_DAYS))
+    both = F.coalesce(bare, F.from_json(F.col(json), f"data {MACRO_DAYS}")["data"])
     rows = df.select(F.explode(both).alias("d")).filter(F.col("d.date").isNotNull() & F.col("d.events").isNotNull())
     return rows.select("d.date", F.array_compact("d.events").alias("events"))
 
 
 def books(df: DataFrame, json: str = "value") -> DataFrame:
     """Order books from pairs of strings; ``levels`` is the shorter side."""
-    b = F.from_json(F.col(json), "bids array<array<string>>, asks array<array<string>>")
+    b = F.from_json(F.col(json), BOOK)
     side = lambda a: F.transform(F.coalesce(a, F.array().cast("array<array<string>>")), lambda x: F.struct(
         _number(F.get(x, F.lit(0))).alias("price"), _number(F.get(x, F.lit(1))).alias("size")))
     rows = df.select(*[c for c in df.columns if c != json], side(b["bids"]).alias("bids"), side(b["asks"]).alias("asks"))
