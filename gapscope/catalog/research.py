@@ -8,6 +8,7 @@ from ..functions import rules as R
 from ..operators import arena as AR
 from ..operators import backtests as B
 from ..operators import controls as C
+from ..operators import resample as RS
 from ..operators import series as S
 from ..operators import sweep as W
 from ..session import cut_lineage
@@ -470,6 +471,17 @@ def _(spark, sf):
     return C.bootstrap_mean_ci(smp, "v", ["instrument", "yr"], None)
 
 
+@query("bootstrap_trades", "WITH RECURSIVE " + WALK + """, smp AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY instrument, idx) - 1 AS pos, gross - 0.5 AS v, count(*) OVER () AS n FROM walk WHERE gross IS NOT NULL), d0 AS (
+  SELECT it, pos AS i, n FROM smp, range(2000) r(it)), d1 AS (""" + uniform_sql("d0", 1234567, "it * n + i + 1", "it, n") + """), mm AS (
+  SELECT it, avg(s.v) AS m FROM d1 JOIN smp s ON s.pos = floor(d1.u * d1.n) GROUP BY it), rk AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM mm)
+  SELECT (SELECT count(*) FROM smp) AS n, (SELECT avg(v) FROM smp) AS mean, max(m) FILTER (r = 50) AS lo, max(m) FILTER (r = 1950) AS hi,
+         max(m) FILTER (r = 50) > 0 OR max(m) FILTER (r = 1950) < 0 AS excludes_zero FROM rk""", "mean lo hi")
+def _(spark, sf):
+    trades = cut_lineage(B.basis_trades(A.premium(spark, sf)).select("instrument", "exit_idx", (F.col("gross_pct") - 0.5).alias("net")))
+    return RS.bootstrap_interval(trades, "net", ["instrument", "exit_idx"])
+
+
 def entries(spark, sf):
     return B.basis_summary(B.basis_trades(A.premium(spark, sf))).select("instrument", F.col("trades").alias("n_entries"))
 
